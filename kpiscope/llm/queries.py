@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kpiscope.llm import bpe_segment, token_packing
+from kpiscope.llm import blob_ledger, bpe_segment, token_packing, url_cascade
 from kpiscope.llm.common import table
+from kpiscope.llm.sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +21,26 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Longest fitting rule first decides; see the README for their origin.
+URL_RULES = (
+    url_cascade.Rule("allow", "com", "/"),
+    url_cascade.Rule("block", "example.com", "/en/"),
+    url_cascade.Rule("allow", "www.example.com", "/en/"),
+    url_cascade.Rule("block", "net", "/es/"),
+    url_cascade.Rule("block", "net", "/fr/"),
+)
+#: Sites that are blocked, with their subdomains, where no rule fits.
+BLOCKED_SITES = tuple(
+    f"{name}.example.{top}"
+    for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+    for top in ("com", "net", "org")
+)
+
+
+def op1_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_cascade.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_SITES)
+
+
 def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_packing.write_shards(table(spark, sf_dir, "documents"), vocabulary(), end_id=0)
     return token_packing.read_digests(spark, path)
@@ -29,12 +51,31 @@ def op4_bpe_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_segment.encode_documents(docs, vocabulary(), ids=None, digests=True)
 
 
+def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = blob_ledger.update_ledger(docs)
+    got = blob_ledger.findings(docs, blob_ledger.read_ledger(spark, path))
+    base = [r.kind for r in blob_ledger.BASE_RULES]
+
+    def of(kind: str):
+        return F.filter("spans", lambda s: s["kind"] == kind)
+
+    return got.select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(blob_ledger.span_text(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        blob_ledger.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_url_cascade": op1_url_cascade,
         "op3_token_packing": op3_token_packing,
         "op4_bpe_segment": op4_bpe_segment,
+        "op10_blob_ledger": op10_blob_ledger,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
