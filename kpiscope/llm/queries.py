@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiscope.llm import blob_ledger, bpe_segment, token_packing, url_cascade
+from kpiscope.llm import blob_ledger, bpe_segment, simhash_tiles, token_packing, url_cascade
 from kpiscope.llm.common import table
 from kpiscope.llm.sql import SQL
 
@@ -51,6 +51,12 @@ def op4_bpe_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_segment.encode_documents(docs, vocabulary(), ids=None, digests=True)
 
 
+def op6_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = simhash_tiles.near_duplicates(docs, words=4, radius=4, min_similarity=None)
+    return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = blob_ledger.update_ledger(docs)
@@ -73,6 +79,7 @@ def queries() -> dict[str, Query]:
         "op1_url_cascade": op1_url_cascade,
         "op3_token_packing": op3_token_packing,
         "op4_bpe_segment": op4_bpe_segment,
+        "op6_simhash_tiles": op6_simhash_tiles,
         "op10_blob_ledger": op10_blob_ledger,
     }
 
