@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiscope.llm import blob_ledger, bpe_segment, simhash_tiles, token_packing, url_cascade
+from kpiscope.llm import blob_ledger, bpe_segment, quality_cnn, simhash_tiles, suffix_decontam, token_packing, url_cascade
 from kpiscope.llm.common import table
 from kpiscope.llm.sql import SQL
 
@@ -51,12 +51,29 @@ def op4_bpe_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_segment.encode_documents(docs, vocabulary(), ids=None, digests=True)
 
 
+QUALITY_THRESHOLD = 0.3
+
+
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = quality_cnn.fit(docs, table(spark, sf_dir, "labels"))
+    got = quality_cnn.score(docs, network)
+    return got.select(
+        "doc_id", quality_cnn.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op6_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     got = simhash_tiles.near_duplicates(docs, words=4, radius=4, min_similarity=None)
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = blob_ledger.update_ledger(docs)
@@ -79,7 +96,9 @@ def queries() -> dict[str, Query]:
         "op1_url_cascade": op1_url_cascade,
         "op3_token_packing": op3_token_packing,
         "op4_bpe_segment": op4_bpe_segment,
+        "op5_quality_cnn": op5_quality_cnn,
         "op6_simhash_tiles": op6_simhash_tiles,
+        "op9_suffix_decontam": op9_suffix_decontam,
         "op10_blob_ledger": op10_blob_ledger,
     }
 
