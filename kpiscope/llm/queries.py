@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiscope.llm import blob_ledger, bpe_segment, quality_cnn, simhash_tiles, suffix_decontam, token_packing, url_cascade
+from kpiscope.llm import blob_ledger, bpe_segment, pii_crf, quality_cnn, simhash_tiles, suffix_decontam, token_packing, url_cascade
 from kpiscope.llm.common import table
 from kpiscope.llm.sql import SQL
 
@@ -41,6 +41,16 @@ def op1_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_SITES)
 
 
+def _joined(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii_crf.scan(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii_crf.KINDS]
+    return got.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
 def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_packing.write_shards(table(spark, sf_dir, "documents"), vocabulary(), end_id=0)
     return token_packing.read_digests(spark, path)
@@ -94,6 +104,7 @@ def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_url_cascade": op1_url_cascade,
+        "op2_pii_crf": op2_pii_crf,
         "op3_token_packing": op3_token_packing,
         "op4_bpe_segment": op4_bpe_segment,
         "op5_quality_cnn": op5_quality_cnn,
