@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiscope.llm import blob_ledger, bpe_segment, pii_crf, quality_cnn, simhash_tiles, suffix_decontam, token_packing, url_cascade
+from kpiscope.llm import ann_anisotropic, blob_ledger, bpe_segment, pii_crf, quality_cnn, simhash_tiles, suffix_decontam, token_packing, url_cascade
 from kpiscope.llm.common import table
 from kpiscope.llm.sql import SQL
 
@@ -47,8 +47,14 @@ def _joined(spans: str) -> Column:
 
 def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = pii_crf.scan(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii_crf.KINDS]
-    return got.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return got.select(
+        "doc_id", *map(count, pii_crf.KINDS),
+        F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"),
+    )
 
 
 def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +86,10 @@ def op6_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_ann_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_anisotropic.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 def op9_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -109,6 +119,7 @@ def queries() -> dict[str, Query]:
         "op4_bpe_segment": op4_bpe_segment,
         "op5_quality_cnn": op5_quality_cnn,
         "op6_simhash_tiles": op6_simhash_tiles,
+        "op7_ann_anisotropic": op7_ann_anisotropic,
         "op9_suffix_decontam": op9_suffix_decontam,
         "op10_blob_ledger": op10_blob_ledger,
     }
