@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiscope.llm import ann_anisotropic, blob_ledger, bpe_segment, pii_crf, quality_cnn, simhash_tiles, suffix_decontam, token_packing, url_cascade
+from kpiscope.llm import ann_anisotropic, blob_ledger, bpe_segment, page_diff, pii_crf, quality_cnn, simhash_tiles, suffix_decontam, token_packing, url_cascade
 from kpiscope.llm.common import table
 from kpiscope.llm.sql import SQL
 
@@ -90,6 +90,10 @@ def op7_ann_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_anisotropic.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
 
 
+def op8_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -120,6 +124,7 @@ def queries() -> dict[str, Query]:
         "op5_quality_cnn": op5_quality_cnn,
         "op6_simhash_tiles": op6_simhash_tiles,
         "op7_ann_anisotropic": op7_ann_anisotropic,
+        "op8_page_diff": op8_page_diff,
         "op9_suffix_decontam": op9_suffix_decontam,
         "op10_blob_ledger": op10_blob_ledger,
     }
