@@ -115,6 +115,12 @@ def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_cascade": op1_url_cascade,
@@ -127,6 +133,7 @@ def queries() -> dict[str, Query]:
         "op8_page_diff": op8_page_diff,
         "op9_suffix_decontam": op9_suffix_decontam,
         "op10_blob_ledger": op10_blob_ledger,
+        "pipeline": pipeline,
     }
 
 
