@@ -216,7 +216,7 @@ def links(nodes: DataFrame, radius: int, min_similarity: float | None = None) ->
     dealt = nodes.select(strip.cast("int").alias("strip"), "node", "fp", *["sketch"] * bool(wide))
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of one strip, one after another, become a few large binary values."""
+        """The rows of a batch that are of one strip become one row of binary values."""
         for part in parts:
             at = np.asarray(part.column(0))
             order = np.argsort(at, kind="stable")
@@ -229,8 +229,7 @@ def links(nodes: DataFrame, radius: int, min_similarity: float | None = None) ->
                         names=["strip", "nodes", "fps", "sketches"],
                     )
 
-    n_parts = max(1, min(len(spans), 1000))
-    packed = dealt.repartition(n_parts, "strip").mapInArrow(pack, "strip int, nodes binary, fps binary, sketches binary")
+    packed = dealt.mapInArrow(pack, "strip int, nodes binary, fps binary, sketches binary")
     lookup = F.array(*[F.array(*[F.lit(k) for k in ks]) for ks in of])
     sent = packed.withColumn("pair", F.explode(F.get(lookup, F.col("strip"))))
     owner = {k: i for k, (i, _) in enumerate(pairs)}
