@@ -73,11 +73,11 @@ def best_split(series: DataFrame, value: str = "value", order: str = "date", by:
     v = F.col(value).cast("double")
     got = series.where(F.col(value).isNotNull()).withColumns({
         "_i": F.row_number().over(w) - 1, "_n": F.count("*").over(every),
-        "_s": F.sum(v).over(before), "_ss": F.sum(v * v).over(before), "_S": F.sum(v).over(every), "_SS": F.sum(v * v).over(every),
+        "_s": F.sum(v).over(before), "_ss": F.sum(v * v).over(before), "_all": F.sum(v).over(every), "_all2": F.sum(v * v).over(every),
     })
     a, b = F.col("_i"), F.col("_n") - F.col("_i")
     var_b = F.greatest((F.col("_ss") - F.col("_s") * F.col("_s") / a) / (a - 1), F.lit(0.0))
-    rest, rest2 = F.col("_S") - F.col("_s"), F.col("_SS") - F.col("_ss")
+    rest, rest2 = F.col("_all") - F.col("_s"), F.col("_all2") - F.col("_ss")
     var_a = F.greatest((rest2 - rest * rest / b) / (b - 1), F.lit(0.0))
     se = F.sqrt(var_b / a + var_a / b)
     inside = (F.col("_i") >= min_segment) & (F.col("_i") <= F.col("_n") - min_segment - 1)
