@@ -40,6 +40,7 @@ CENTROIDS = 16
 BLOCK = 4096
 QUERY_BLOCK = 1024
 CANDIDATES = 120
+PARTS_LEAST, PART_ROWS = 8, 1 << 20
 
 
 @dataclass
@@ -205,7 +206,9 @@ def nearest(
                 )
 
     asked = queries.select("block", "id", "v").mapInArrow(pack_queries, "block int, ids binary, codes binary")
-    slices = 64
+    # A part holds about PART_ROWS codes. Each returns a list for each query, so there are no
+    # more parts than that; many queries make many blocks, which run side by side.
+    slices = max(PARTS_LEAST, -(-clean.count() // PART_ROWS))
     sent = blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
     sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select("block", "part", F.lit(False).alias("q"), "ids", "codes")
     spread = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select("block", "part", F.lit(True).alias("q"), "ids", "codes")
