@@ -127,6 +127,13 @@ LABELLED = (
     "w%%% <phone (###) ###-####>&&& w$$$",
     "W W!! <phone (###) ###-####>!! W",
     "w | <phone ###-###-####> | w",
+    "<phone +# (###) ###-####> <card ################> w",
+    "<phone +# (###) ###-####> w w w",
+    "w <phone +# (###) ###-####> <phone +# (###) ###-####> w",
+    "w <ip ##.###.#.##> <card ################> w",
+    "<phone (###) ###-####> w w",
+    "<card ################> <phone +# (###) ###-####> w",
+    "<ip ##.###.##.#> w w",
     # Numbers that are no personal data.
     "w w 19## w w 20##, w",
     "w w ## w w",

@@ -298,7 +298,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 def cut(text: bytes, ranges: Sequence[tuple[int, int]]) -> bytes:
     """The text without the words of the ranges and what stands between them. White space
     before a cut stays, that after it goes, so words do not run together."""
-    places = [m.span() for m in WORD.finditer(text)]
+    places = [m.span() for m in WORD.finditer(text.lower())]
     out, at = [], 0
     for a, b in ranges:
         out.append(text[at : places[a][0]])
