@@ -36,9 +36,10 @@ SEED = 42
 BINS = 128
 TILE = 256
 #: Fingerprints in a strip: at least, and at most (a task holds two strips).
-STRIP_LEAST, STRIP_MOST = 1 << 14, 1 << 18
-#: Strips are made larger rather than more than this many, until they reach STRIP_MOST.
-STRIPS = 64
+STRIP_LEAST, STRIP_MOST = 1 << 16, 1 << 19
+#: Strips are made larger rather than more than this many, until they reach STRIP_MOST: what is
+#: shuffled for the comparison is this many times the fingerprints and sketches at most.
+STRIPS = 32
 
 
 def shingle_hashes(text: bytes, words: int, block: int = 1 << 17) -> Iterator[np.ndarray]:
