@@ -69,31 +69,43 @@ def _frame(panel: DataFrame, columns: Sequence[str], cell: str, period: str) ->
 def did(panel: DataFrame, y: str, treated: str = "treated", post: str = "post", cell: str = "cell", period: str = "date", group: str | None = None, assignments: bool = True, seed: int = 7) -> dict[str, object]:
     """Cell and (group x) period effects, error clustered by cell with t(G-1), and the
     randomisation p-value over assignments of as many treated cells (the actual one included)."""
+    pdf = did_frame(panel, y, treated, post, cell, period, group)
+    out, kernel = did_kernel(pdf, y, treated, post, cell, period, group)
+    if assignments and kernel is not None:
+        out |= randomisation(panel.sparkSession, *kernel, seed)
+    return out
+
+
+def did_frame(panel: DataFrame, y: str, treated: str = "treated", post: str = "post", cell: str = "cell", period: str = "date", group: str | None = None) -> pd.DataFrame:
     cols = list(dict.fromkeys([cell, period, y, treated, post, *([group] if group else [])]))
-    pdf = _frame(panel.where(F.col(y).isNotNull()), cols, cell, period)
+    return _frame(panel.where(F.col(y).isNotNull()), cols, cell, period)
+
+
+def did_kernel(pdf: pd.DataFrame, y: str, treated: str = "treated", post: str = "post", cell: str = "cell", period: str = "date", group: str | None = None) -> tuple[dict[str, object], tuple | None]:
+    """The estimate on a collected panel, and what the randomisation needs."""
     cells = pdf[cell].to_numpy().astype(str)
-    time = pdf[period].astype(str).to_numpy()
+    time = pdf[period].astype(str).to_numpy().astype(str)
     if group:
-        time = np.char.add(np.char.add(pdf[group].to_numpy().astype(str), "|"), time.astype(str))
-    basis = stats.orthonormal(np.column_stack([_dummies(cells), _dummies(time)]))
+        time = np.char.add(np.char.add(pdf[group].to_numpy().astype(str), "|"), time)
     yy = pdf[y].to_numpy(float)
+    if not len(yy):
+        return {"status": "NOT_ESTIMABLE"}, None
+    basis = stats.orthonormal(np.column_stack([_dummies(cells), _dummies(time)]))
     d = (pdf[treated] & pdf[post]).to_numpy(float)
     y_res, d_res = stats.absorb(basis, yy), stats.absorb(basis, d)
     xx = float(d_res @ d_res)
-    if xx < 1e-10:
-        return {"status": "NOT_ESTIMABLE"}
-    beta = float(d_res @ y_res) / xx
-    u = y_res - beta * d_res
     names, at = np.unique(cells, return_inverse=True)
-    sums = np.bincount(at, d_res * u)
     g, n, k = len(names), len(yy), basis.shape[1] + 1
+    if xx < 1e-10 or g < 2:
+        return {"status": "NOT_ESTIMABLE"}, None
+    beta = float(d_res @ y_res) / xx
+    sums = np.bincount(at, d_res * (y_res - beta * d_res))
     var = float(sums @ sums) / xx**2 * g / (g - 1) * (n - 1) / max(1, n - k)
     out: dict[str, object] = {"status": "OK", **stats.inference(beta, var, g - 1), "cells": g, "n": n}
-    before = yy[pdf[treated].to_numpy(bool) & ~pdf[post].to_numpy(bool)]
+    on, after = pdf[treated].to_numpy(bool), pdf[post].to_numpy(bool)
+    before = yy[on & ~after]
     out["pct"] = 100 * beta / before.mean() if len(before) and before.mean() else None
-    if assignments:
-        out |= randomisation(panel.sparkSession, names, at, pdf[post].to_numpy(bool), pdf[treated].to_numpy(bool), basis, y_res, beta, seed)
-    return out
+    return out, (names, at, after, on, basis, y_res, beta)
 
 
 def randomisation(spark, names: np.ndarray, at: np.ndarray, post: np.ndarray, treated: np.ndarray, basis: np.ndarray, y_res: np.ndarray, beta: float, seed: int = 7) -> dict[str, object]:

@@ -47,12 +47,10 @@ def power(series: DataFrame, value: str = "value", order: str = "date", by: Sequ
 def prewhiten(df: DataFrame, y: str, out: str, date: str = "date") -> DataFrame:
     """Residual on trend and calendar; with too few values, the deviation from the mean."""
     x = design_columns(trend=True, date=date)
-    n = df.where(F.col(y).isNotNull()).count()
-    if n < max(15, len(x) + 2):
-        mean = df.agg(F.avg(y)).first()[0]
-        return df.withColumn(out, F.col(y) - F.lit(mean))
-    start = df.agg(F.min(date)).first()[0]
-    x["trend"] = F.datediff(F.col(date), F.lit(start)).cast("double")
+    row = df.agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.min(date).alias("start")).first()
+    if row["n"] < max(15, len(x) + 2):
+        return df.withColumn(out, F.col(y) - F.lit(row["mean"]))
+    x["trend"] = F.datediff(F.col(date), F.lit(row["start"])).cast("double")
     beta, _ = solve(df, y, x)
     return df.withColumn(out, F.col(y) - sum((F.lit(b) * x[k] for k, b in beta.items()), F.lit(0.0)))
 
