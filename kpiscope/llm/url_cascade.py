@@ -28,8 +28,9 @@ from kpiscope.llm.common import require_columns
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS_PER_KEY, HASHES = 16, 6
-#: A level is a literal in the plan: listed keys beyond this many are refused (8 MB of words).
-MAX_KEYS = 4_000_000
+#: A level is a literal in the plan: listed keys beyond this many are refused (1 MB of words);
+#: a longer list is split by key, a cascade for each part.
+MAX_KEYS = 500_000
 
 
 @dataclass(frozen=True)
