@@ -98,3 +98,27 @@ def points(series: DataFrame, date: str = "date") -> DataFrame:
 
 def last_stock(df: DataFrame, value: str, date: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.min_by(value, date).alias("first_value"), F.max_by(value, date).alias("last_value"))
+
+
+def segment_revenue_per_day(fact: DataFrame, segment: Column, start: dt.date, end: dt.date, value: str = "net_revenue", date: str = "date") -> DataFrame:
+    """A segment's value for each day of the window that has any of its rows."""
+    inside = fact.where(segment & F.col(date).between(F.lit(start), F.lit(end)))
+    return inside.agg((F.sum(value).cast("double") / F.greatest(F.count_distinct(date), F.lit(1))).alias("per_day"))
+
+
+def baseline_price(fact: DataFrame, segment: Column, start: dt.date, end: dt.date, value: str = "net_revenue", quantity: str = "units_sold", date: str = "date") -> DataFrame:
+    """A segment's price in the window: summed value over summed quantity."""
+    inside = fact.where(segment & F.col(date).between(F.lit(start), F.lit(end)))
+    return inside.agg(F.try_divide(F.sum(value).cast("double"), F.sum(quantity).cast("double")).alias("price"))
+
+
+def exposure(rule: str, *, effect: float | None = None, cells: int = 1, price: float | None = None, term: float | None = None, before: float | None = None, after: float | None = None) -> float:
+    """Value a day at stake: DID (effect x treated cells x price), TERM (a decomposition term),
+    or DELTA (the segment's change). What is unknown counts as nothing at stake."""
+    if rule == "DID":
+        return 0.0 if effect is None or price is None else effect * cells * price
+    if rule == "TERM":
+        return term or 0.0
+    if rule == "DELTA":
+        return 0.0 if before is None or after is None else after - before
+    raise ValueError(f"unknown exposure rule {rule!r}")

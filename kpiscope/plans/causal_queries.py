@@ -150,3 +150,32 @@ def structure_screen(spark: SparkSession, sf: str) -> DataFrame:
     from kpiscope.operators.graph import Dag
 
     return structure.screen(event_days(spark, sf), Dag.of([("x", "y"), ("z", "y"), ("z", "x")]))
+
+
+@query(f"WITH {_SERIES} SELECT date, greatest(date_diff('day', DATE '{m.T0}', date), 0) AS since, date >= DATE '{m.T0}' AS is_post FROM s", dates="date")
+def days_since_intervention(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.datediff("date", F.lit(m.T0))
+    return monthly(spark, sf).select("date", F.greatest(t, F.lit(0)).cast("long").alias("since"), (t >= 0).alias("is_post"))
+
+
+@query(f"""WITH {m.SQL_CELLS}, w AS (SELECT cell, month, net_revenue, net_revenue - lag(net_revenue) OVER (PARTITION BY cell ORDER BY month) AS d FROM cells)
+SELECT cell, count(d) AS n, round(avg(d), 4) AS mean_step, round(stddev_samp(d), 3) AS sd_step FROM w GROUP BY cell""")
+def first_differences(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("cell").orderBy("month")
+    got = m.month_cells(spark, sf).withColumn("d", F.col("net_revenue") - F.lag("net_revenue").over(w))
+    return got.groupBy("cell").agg(F.count("d").alias("n"), F.round(F.avg("d"), 4).alias("mean_step"), F.round(F.stddev_samp("d"), 3).alias("sd_step"))
+
+
+@query(f"""WITH {m.SQL_CELLS}, w AS (SELECT cell, month AS date, net_revenue AS value, row_number() OVER (PARTITION BY cell ORDER BY month) - 1 AS i, count(*) OVER (PARTITION BY cell) AS n, sum(net_revenue) OVER (PARTITION BY cell ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a,
+ sum(net_revenue) OVER (PARTITION BY cell) AS t FROM cells), q AS (SELECT *, abs((t - a) / (n - i) - a / i) AS gap FROM w WHERE i >= 10 AND i <= n - 11)
+SELECT cell, max(n) AS n, count(*) AS n_splits, round(max(gap), 2) AS widest_gap FROM q GROUP BY cell""")
+def split_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Each cell's candidate splits and the widest difference of means between two segments."""
+    w = Window.partitionBy("cell").orderBy("month")
+    every = Window.partitionBy("cell")
+    v = F.col("net_revenue")
+    got = m.month_cells(spark, sf).withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(every), "a": F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), "t": F.sum(v).over(every)})
+    least = movement.MIN_SEGMENT
+    got = got.where((F.col("i") >= least) & (F.col("i") <= F.col("n") - least - 1))
+    gap = F.abs((F.col("t") - F.col("a")) / (F.col("n") - F.col("i")) - F.col("a") / F.col("i"))
+    return got.groupBy("cell").agg(F.max("n").alias("n"), F.count("*").alias("n_splits"), F.round(F.max(gap), 2).alias("widest_gap"))

@@ -122,3 +122,19 @@ def severity_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
     seen = m.t(spark, sf, "region").select(F.element_at(F.array(F.lit("LOW"), F.lit("HIGH"), F.lit("MEDIUM")), (F.col("r_regionkey") % 3 + 1).cast("int")).alias("severity"))
     return worst_severity(seen)
+
+
+@query("""SELECT event_type AS layer, round(sum(CAST(value AS DECIMAL(18,2)))::DOUBLE, 2) AS ms, round(100 * sum(CAST(value AS DECIMAL(18,2)))::DOUBLE / (SELECT sum(CAST(value AS DECIMAL(18,2)))::DOUBLE FROM events), 4) AS pct FROM events GROUP BY 1""")
+def layer_time_split(spark: SparkSession, sf: str) -> DataFrame:
+    from kpiscope.plans.telemetry import layer_split
+
+    got = layer_split(m.t(spark, sf, "events").select(F.col("event_type").alias("layer"), F.col("value").cast("decimal(18,2)").alias("ms")))
+    return got.select("layer", F.round("ms", 2).alias("ms"), F.round("pct", 4).alias("pct"))
+
+
+@query("""WITH d AS (SELECT CASE s_suppkey % 3 WHEN 0 THEN 'ERP-00' WHEN 1 THEN 'OPS-00' ELSE 'MKT-00' END AS defect_id, round(s_acctbal / 10000, 4) AS rate FROM supplier)
+SELECT CASE split_part(defect_id, '-', 1) WHEN 'ERP' THEN 'SRC_ERP' WHEN 'OPS' THEN 'SRC_OPS' ELSE 'SRC_MKT' END AS source, max(rate) AS defect_rate FROM d GROUP BY 1""")
+def worst_defect_rate(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey") % 3
+    rows = m.t(spark, sf, "supplier").select(F.when(k == 0, "ERP-00").when(k == 1, "OPS-00").otherwise("MKT-00").alias("defect_id"), F.round(F.col("s_acctbal") / 10000, 4).alias("rate"))
+    return d.worst_defect_rate(rows, {"ERP": "SRC_ERP", "OPS": "SRC_OPS", "MKT": "SRC_MKT"})

@@ -191,3 +191,14 @@ def scalar_functions(spark: SparkSession, sf: str) -> DataFrame:
     p = spark.createDataFrame([("a", 123.4), ("b", 250000.0), ("c", 98765432.1), ("d", -1500000.0)], "region string, v double")
     text = F.lit("moved -1,234.5 to 17 units")
     return p.select("region", scalars.money(F.col("v")).alias("shown"), scalars.hash_id(8, F.col("region"), F.lit("kpi")).alias("id"), F.size(scalars.numbers_in(text)).alias("n_numbers"), scalars.token_estimate(text).alias("tokens"), scalars.has_phrase(text, "17 Units").alias("has_phrase"))
+
+
+@query(f"""WITH {m.SQL_FACTS}, s AS (SELECT CAST(sum(net_revenue) AS DOUBLE) / count(DISTINCT date) AS per_day, CAST(sum(net_revenue) AS DOUBLE) / CAST(sum(units_sold) AS DOUBLE) AS price FROM facts WHERE region = 'ASIA' AND product_line = 'PROMO' AND date BETWEEN {_B})
+SELECT round(per_day, 4) AS per_day, round(price, 4) AS price, round(-2.5 * 6 * price, 3) AS did_exposure FROM s""")
+def segment_exposure(spark: SparkSession, sf: str) -> DataFrame:
+    """A segment's revenue a day and price before, and the exposure of an assumed effect."""
+    f, seg = m.facts(spark, sf), (F.col("region") == "ASIA") & (F.col("product_line") == "PROMO")
+    day = metrics.segment_revenue_per_day(f, seg, *m.BASE)
+    price = metrics.baseline_price(f, seg, *m.BASE)
+    got = day.join(F.broadcast(price), how="cross")
+    return got.select(F.round("per_day", 4).alias("per_day"), F.round("price", 4).alias("price"), F.round(-2.5 * 6 * F.col("price"), 3).alias("did_exposure"))

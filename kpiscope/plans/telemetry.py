@@ -62,3 +62,10 @@ def latency_summary(df: DataFrame, by: str, value: str = "ms") -> DataFrame:
     s = F.sort_array(F.collect_list(value))
     got = df.groupBy(by).agg(s.alias("s"))
     return got.select(by, F.element_at("s", 1).alias("min_ms"), F.get("s", F.floor(F.size("s") / 2).cast("int")).alias("upper_median_ms"), F.element_at("s", -1).alias("max_ms"), F.size("s").cast("long").alias("n"))
+
+
+def layer_split(spans: DataFrame) -> DataFrame:
+    """Time of each layer and its share in percent; layers are few."""
+    by = spans.groupBy("layer").agg(F.sum("ms").cast("double").alias("ms"))
+    total = by.agg(F.sum("ms").alias("_total"))
+    return by.join(F.broadcast(total), how="cross").select("layer", "ms", (100 * F.try_divide("ms", "_total")).alias("pct"))
