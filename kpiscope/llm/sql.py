@@ -26,4 +26,30 @@ SELECT page_id, host, path, rule, CASE
 FROM r
 """
 
-SQL: dict[str, str] = {"op1_url_cascade": _OP1}
+#: Windows as joined words; a document's windows of each size that some item has are compared.
+_OP9 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), p AS (
+  SELECT item_id, w, least(len(w), 10) AS size, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS pos FROM i WHERE len(w) > 0
+), k AS (
+  SELECT DISTINCT item_id, size, array_to_string(list_slice(w, pos, pos + size - 1), ' ') AS words FROM p
+), s AS (
+  SELECT DISTINCT size FROM k
+), q AS (
+  SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS pos FROM d, s WHERE len(w) >= size
+), m AS (
+  SELECT q.doc_id, q.size, q.pos, k.item_id FROM q JOIN k ON k.size = q.size AND k.words = array_to_string(list_slice(q.w, q.pos, q.pos + q.size - 1), ' ')
+), h AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(generate_series(pos, pos + size - 1)) AS place FROM m) GROUP BY doc_id
+), n AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM m GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+SQL: dict[str, str] = {"op1_url_cascade": _OP1, "op9_suffix_decontam": _OP9}
