@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from kpiscope.llm import blob_ledger
+
 #: Longest rule first; a host fits a rule's host itself or as a subdomain.
 _OP1 = r"""
 WITH u AS (
@@ -52,4 +54,36 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-SQL: dict[str, str] = {"op1_url_cascade": _OP1, "op9_suffix_decontam": _OP9}
+
+
+def _op10() -> str:
+    """Each rule's matches and the pieces between them, whose lengths add up to the places."""
+    parts = []
+    for no, r in enumerate(blob_ledger.RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, {no} AS no, '{r.kind}' AS kind, string_split_regex(text, '{pattern}') AS gaps, "
+            f"regexp_extract_all(text, '{pattern}', 0) AS found, regexp_extract_all(text, '{pattern}', {r.group}) AS tested, {r.at_least} AS least FROM docs"
+        )
+    base = len(blob_ledger.BASE_RULES)
+    counts = ", ".join(f"count(CASE WHEN no = {k} THEN 1 END) AS n_{r.kind}" for k, r in enumerate(blob_ledger.BASE_RULES))
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+i AS (SELECT *, unnest(generate_series(1, len(found))) AS n FROM m WHERE len(found) > 0),
+p AS (
+  SELECT doc_id, no, kind, length(found[n]) AS size, length(tested[n]) AS tested, least,
+    list_sum(list_transform(list_slice(gaps, 1, n), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(found, 1, n - 1), lambda x: length(x))), 0) AS place
+  FROM i
+),
+s AS (SELECT *, kind || ':' || CAST(CAST(place AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(place + size AS BIGINT) AS VARCHAR) AS span FROM p WHERE tested >= least),
+g AS (
+  SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY place, no) FILTER (no < {base}) AS base, string_agg(span, ',' ORDER BY place, no) AS spans FROM s GROUP BY doc_id
+)
+SELECT d.doc_id, {", ".join(f"CAST(coalesce(n_{r.kind}, 0) AS BIGINT) AS n_{r.kind}" for r in blob_ledger.BASE_RULES)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+
+SQL: dict[str, str] = {"op10_blob_ledger": _op10(), "op1_url_cascade": _OP1, "op9_suffix_decontam": _OP9}
