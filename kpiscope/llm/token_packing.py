@@ -36,8 +36,8 @@ from kpiscope.llm.common import new_path, require_columns, utf8
 MAGIC = b"KPT1"
 HEAD = struct.Struct("<4sIIQQQQ")
 BLOCK = 4096
-#: A shard is closed at so many ids (32 MB at 16 bits).
-SHARD_TOKENS = 1 << 24
+#: A shard is closed at so many ids (8 MB at 16 bits).
+SHARD_TOKENS = 1 << 22
 
 
 def min_bits(vocab_size: int) -> int:
