@@ -13,8 +13,11 @@ Copies cost nothing: only distinct fingerprints are compared. Links are not expa
 pairs: each task returns a spanning forest of what it found, and components are found by star
 contraction over tables in the shared folder, with nothing collected to the driver.
 
-With ``min_similarity`` a link also needs that share of common shingles, estimated from a
-128-bin one-permutation sketch (standard error 0.035 at 0.8) that travels with the fingerprint.
+With ``min_similarity`` a link needs that share of common distinct shingles, and the shingle
+sets decide it. Sets whose sizes alone exclude it are not compared; of the others those within
+the radius whose 128-bin one-permutation sketch estimates at least ``SLACK`` less are candidates.
+Their Jaccard similarity is taken from the sets: first along a spanning forest of the candidates,
+then, where a pair of the forest fails, for all candidates of its component that are still apart.
 
 Null texts count as empty; texts without words have fingerprint zero and are linked like any
 other. Rows with a null id take part (as copies of what they equal) and get their component;
@@ -23,17 +26,21 @@ repeated ids give repeated rows. An empty table gives no rows. Other columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpiscope.llm.common import delete_path, materialise, new_path, require_columns, utf8
 
 SEED = 42
 BINS = 128
+#: A sketch may fall this far below the similarity asked for: of pairs at 0.8 exactly, less than
+#: one in 10^7 does (128 bins, binomial).
+SLACK = 0.2
 TILE = 256
 #: Fingerprints in a strip: at least, and at most (a task holds two strips).
 STRIP_LEAST, STRIP_MOST = 1 << 16, 1 << 19
@@ -62,40 +69,67 @@ def shingle_hashes(text: bytes, words: int, block: int = 1 << 17) -> Iterator[np
         yield np.fromiter((digest(joined[x:y], SEED) for x, y in zip(a, b)), np.uint64, len(a))
 
 
-def fingerprint(text: bytes, words: int, sketch: bool = False) -> tuple[int, bytes]:
-    """The fingerprint (as a signed integer) and, if asked, the one-permutation sketch."""
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingles' hashes, ascending."""
+    blocks = [np.unique(h) for h in shingle_hashes(text, words)]
+    return np.unique(np.concatenate(blocks)) if blocks else np.empty(0, np.uint64)
+
+
+def set_node(hashes: np.ndarray) -> int:
+    """The XXH64 of a set of shingles, as a signed integer."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, key, raw): key tells texts without an id apart."""
+    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), utf8(f"`{text}`").alias("raw"))
+    return slim.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("raw")).alias("key"), "raw")
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The places set in over half of the hashes, as a signed integer."""
     ones, n = np.zeros(64, np.int64), 0
-    least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64) if sketch else None
-    for h in shingle_hashes(text, words):
+    for h in blocks:
         n += len(h)
         ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        if sketch:
-            order = np.sort(h)
-            bins = (order >> np.uint64(57)).astype(np.int64)
-            first = np.flatnonzero(np.diff(bins, prepend=-1))
-            least[bins[first]] = np.minimum(least[bins[first]], order[first])
-    bits = np.packbits(2 * ones > n, bitorder="little").view("<i8")[0]
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: bytes, words: int, sketch: bool = False) -> tuple[int, bytes, int, int]:
+    """The fingerprint, the one-permutation sketch, the number of distinct shingles and the node.
+
+    With ``sketch`` the node is the hash of the set of shingles; without, it is the fingerprint,
+    and the sketch stays empty.
+    """
     if not sketch:
-        return int(bits), b""
-    byte = 1 + ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(255)
-    return int(bits), np.where(least == np.iinfo(np.uint64).max, 0, byte).astype(np.uint8).tobytes()
+        bits = majority(shingle_hashes(text, words))
+        return bits, b"", 0, bits
+    h = shingle_set(text, words)
+    bits = majority(shingle_hashes(text, words))
+    bins = (h >> np.uint64(57)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    got = np.zeros(BINS, np.uint8)
+    got[bins[first]] = 1 + ((h[first] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(255)
+    return bits, got.tobytes(), len(h), set_node(h)
 
 
 def fingerprints(docs: DataFrame, words: int, sketch: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp, sketch, node): node stands for what is compared, equal for copies."""
+    """(doc_id, key, fp, sketch, size, node): node stands for what is compared, equal for copies."""
     require_columns(docs, [text, doc_id])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            got = [fingerprint(t.as_py(), words, sketch) for t in part.column(1)]
+            got = [fingerprint(t.as_py(), words, sketch) for t in part.column(2)]
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())],
-                names=["doc_id", "fp", "sketch"],
+                [part.column(0), part.column(1), *[pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds)]],
+                names=["doc_id", "key", "fp", "sketch", "size", "node"],
             )
 
-    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), utf8(f"`{text}`").alias("raw"))
-    got = slim.mapInArrow(run, "doc_id long, fp long, sketch binary")
-    return got.withColumn("node", F.xxhash64("fp", "sketch") if sketch else F.col("fp"))
+    return keyed(docs, text, doc_id).mapInArrow(run, "doc_id long, key long, fp long, sketch binary, size long, node long")
 
 
 class Forest:
@@ -116,6 +150,27 @@ class Forest:
                 self.root = up
 
 
+    def choose(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The positions of pairs that, taken in turn, join two components; they are joined."""
+        up: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while (w := up.get(v, v)) != v:
+                up[v] = up.get(w, w)
+                v = w
+            return v
+
+        chosen = []
+        for k, (a, b) in enumerate(zip(self.root[i].tolist(), self.root[j].tolist())):
+            a, b = find(a), find(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                chosen.append(k)
+        got = np.array(chosen, np.int64)
+        self.join(i[got], j[got])
+        return got
+
+
 def quarter_counts(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(np.ascontiguousarray(fps).view("<u2").reshape(-1, 4)).astype(np.int16)
 
@@ -172,14 +227,62 @@ def link_tiles(fps: np.ndarray, sketches: np.ndarray | None, split: int, radius:
     return forest.root
 
 
-def strips_of(counts: dict[int, int]) -> tuple[list[int], list[int], list[tuple[int, int]]]:
+def candidate_tiles(
+    fps: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, labels: np.ndarray | None, split: int, radius: int, least: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of indices whose sets may share ``least`` of their shingles (see the module).
+
+    Without ``labels`` a spanning forest of the candidates, of candidate pairs only; with labels
+    all candidates whose labels differ. ``split`` as in ``link_tiles``.
+    """
+    forest, firsts, seconds = Forest(len(fps)), [], []
+
+    def tiles(start: int, end: int) -> list[np.ndarray]:
+        order = start + np.lexsort((fps[start:end], sizes[start:end]))
+        return [order[k : k + TILE] for k in range(0, len(order), TILE)]
+
+    left = tiles(0, split or len(fps))
+    right = tiles(split, len(fps)) if split else left
+    low, high = (np.array([sizes[t[k]] for t in right]) for k in (0, -1))
+    for x, rows in enumerate(left):
+        small, large = sizes[rows[0]], sizes[rows[-1]]
+        near = np.flatnonzero((low * least <= large) & (small * least <= high))
+        if not split:
+            near = near[near >= x]
+        mine = fps[rows]
+        for y in near:
+            other = right[y]
+            at = np.flatnonzero(np.bitwise_count(mine[:, None] ^ fps[other][None, :]) <= radius)
+            k, l = at // len(other), at % len(other)
+            if not split and y == x:
+                k, l = k[k < l], l[k < l]
+            i, j = rows[k], other[l]
+            si, sj = sizes[i], sizes[j]
+            keep = np.minimum(si, sj) >= least * np.maximum(si, sj)
+            keep &= (forest.root[i] != forest.root[j]) if labels is None else (labels[i] != labels[j])
+            i, j, gap = i[keep], j[keep], np.abs(k - l)[keep]
+            if not len(i):
+                continue
+            keep = similarity(sketches[i], sketches[j]) >= least - SLACK
+            i, j, gap = i[keep], j[keep], gap[keep]
+            if labels is None and len(i):  # neighbours first: chains rather than stars
+                order = np.argsort(gap, kind="stable")
+                chosen = forest.choose(i[order], j[order])
+                i, j = i[order][chosen], j[order][chosen]
+            firsts.append(i)
+            seconds.append(j)
+    none = [np.empty(0, np.int64)]
+    return np.concatenate(firsts or none), np.concatenate(seconds or none)
+
+
+def strips_of(counts: dict[int, int], kinds: int = 65) -> tuple[list[int], list[int], list[tuple[int, int]]]:
     """From the number of fingerprints for each bit count: the first strip and the number of
     strips of each bit count, and each strip's least and largest bit count."""
     n = sum(counts.values())
     size = min(STRIP_MOST, max(STRIP_LEAST, -(-n // STRIPS)))
-    first, many, spans = [0] * 65, [1] * 65, []
+    first, many, spans = [0] * kinds, [1] * kinds, []
     filled = size
-    for p in range(65):
+    for p in range(kinds):
         c = counts.get(p, 0)
         if c > size:
             many[p] = -(-c // size)
@@ -197,24 +300,27 @@ def strips_of(counts: dict[int, int]) -> tuple[list[int], list[int], list[tuple[
     return first, many, spans
 
 
-def links(nodes: DataFrame, radius: int, min_similarity: float | None = None) -> DataFrame:
-    """Edges (a, b) between nodes, a spanning forest of each task's links.
+Compare = Callable[[dict[str, np.ndarray], int], tuple[np.ndarray, np.ndarray]]
+
+
+def compared(nodes: DataFrame, kind: Column, kinds: int, reach: int, columns: dict[str, str], compare: Compare) -> DataFrame:
+    """Edges (a, b) that ``compare`` finds between nodes whose kinds differ by ``reach`` at most.
 
-    Nodes are dealt into strips by their bit count (at most 65 counts reach the driver) and
-    each pair of strips that the radius does not exclude is one task.
+    Nodes are dealt into strips by kind (a count for each kind reaches the driver) and each pair
+    of strips within reach is one task. ``compare`` takes the columns, node among them, by name
+    and the length of the first strip (0 if there is one only), and returns pairs of indices.
     """
-    pop = F.bit_count("fp")
-    counts = {r[0]: r[1] for r in nodes.groupBy(pop.alias("p")).count().collect()}
-    first, many, spans = strips_of(counts)
-    pairs = [(i, j) for i in range(len(spans)) for j in range(i, len(spans)) if spans[j][0] - spans[i][1] <= radius]
+    counts = {r[0]: r[1] for r in nodes.groupBy(kind.alias("p")).count().collect()}
+    first, many, spans = strips_of(counts, kinds)
+    pairs = [(i, j) for i in range(len(spans)) for j in range(i, len(spans)) if spans[j][0] - spans[i][1] <= reach]
     of: list[list[int]] = [[] for _ in spans]
     for k, (i, j) in enumerate(pairs):
         of[i].append(k)
         if j != i:
             of[j].append(k)
-    wide = BINS if min_similarity is not None else 0
-    strip = F.get(F.lit(np.array(first)), pop) + F.pmod(F.xxhash64("node", F.lit(7)), F.get(F.lit(np.array(many)), pop))
-    dealt = nodes.select(strip.cast("int").alias("strip"), "node", "fp", *["sketch"] * bool(wide))
+    names = list(columns)
+    strip = F.get(F.lit(np.array(first)), kind) + F.pmod(F.xxhash64("node", F.lit(7)), F.get(F.lit(np.array(many)), kind))
+    dealt = nodes.select(strip.cast("int").alias("strip"), *names)
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of a batch that are of one strip become one row of binary values."""
@@ -224,35 +330,114 @@ def links(nodes: DataFrame, radius: int, min_similarity: float | None = None) ->
             for rows in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
                 if len(rows):
                     take = part.take(pa.array(rows))
-                    sk = b"".join(take.column(3).to_pylist()) if wide else b""
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(at[rows[0]])], pa.int32()), *[pa.array([np.asarray(take.column(c)).astype("<i8").tobytes()], pa.binary()) for c in (1, 2)], pa.array([sk], pa.binary())],
-                        names=["strip", "nodes", "fps", "sketches"],
-                    )
+                    cells = [b"".join(take.column(n).to_pylist()) if columns[n] == "bytes" else np.asarray(take.column(n)).astype("<i8").tobytes() for n in names]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(at[rows[0]])], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]], names=["strip", *names])
 
-    packed = dealt.mapInArrow(pack, "strip int, nodes binary, fps binary, sketches binary")
+    packed = dealt.mapInArrow(pack, "strip int, " + ", ".join(f"{n} binary" for n in names))
     lookup = F.array(*[F.array(*[F.lit(k) for k in ks]) for ks in of])
     sent = packed.withColumn("pair", F.explode(F.get(lookup, F.col("strip"))))
     owner = {k: i for k, (i, _) in enumerate(pairs)}
     same = {k for k, (i, j) in enumerate(pairs) if i == j}
 
-    def compare(key: tuple, got: pa.Table) -> pa.Table:
+    def run(key: tuple, got: pa.Table) -> pa.Table:
         pair = key[0].as_py()
         is_left = np.array([s == owner[pair] for s in got.column("strip").to_pylist()])
         order = np.concatenate([np.flatnonzero(is_left), np.flatnonzero(~is_left)])
 
         def whole(name: str) -> np.ndarray:
             col = got.column(name).to_pylist()
-            return np.frombuffer(b"".join(col[i] for i in order), np.uint8)
+            joined = np.frombuffer(b"".join(col[i] for i in order), np.uint8)
+            return joined.reshape(-1, BINS) if columns[name] == "bytes" else joined.view(columns[name])
+
+        split = 0 if pair in same else sum(len(v.as_py()) // 8 for v, l in zip(got.column("node"), is_left) if l)
+        table = {n: whole(n) for n in names}
+        i, j = compare(table, split) if pair in same or split < len(table["node"]) else (np.empty(0, np.int64),) * 2
+        return pa.table({"a": pa.array(table["node"][i], pa.int64()), "b": pa.array(table["node"][j], pa.int64())})
+
+    return sent.groupBy("pair").applyInArrow(run, "a long, b long")
 
-        node, fps = whole("nodes").view("<i8"), whole("fps").view("<u8")
-        sk = whole("sketches").reshape(-1, wide) if wide else None
-        split = 0 if pair in same else sum(len(v.as_py()) // 8 for v, l in zip(got.column("nodes"), is_left) if l)
-        root = link_tiles(fps, sk, split, radius, min_similarity or 0.0)
+
+def links(nodes: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) between nodes within the radius, a spanning forest of each task's links."""
+
+    def compare(t: dict[str, np.ndarray], split: int) -> tuple[np.ndarray, np.ndarray]:
+        root = link_tiles(t["fp"], None, split, radius, 0.0)
         child = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": pa.array(node[child]), "b": pa.array(node[root[child]])})
+        return child, root[child]
+
+    return compared(nodes, F.bit_count("fp"), 65, radius, {"node": "<i8", "fp": "<u8"}, compare)
+
+
+def candidates(nodes: DataFrame, radius: int, least: float) -> DataFrame:
+    """Edges (a, b) between nodes (node, fp, sketch, size): candidates for ``least`` (see
+    ``candidate_tiles``), a spanning forest of each task's, or all with differing ``label`` if
+    there is such a column. Sizes are dealt by their logarithm: those of one or of neighbouring
+    kinds cover all ratios from ``least`` up, with a margin for rounding."""
+    base = math.log(1.01 / least)
+    labelled = "label" in nodes.columns
+    kind = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / base).cast("int")
+    columns = {"node": "<i8", "fp": "<u8", "sketch": "bytes", "size": "<i8"} | ({"label": "<i8"} if labelled else {})
+
+    def compare(t: dict[str, np.ndarray], split: int) -> tuple[np.ndarray, np.ndarray]:
+        return candidate_tiles(t["fp"], t["sketch"], t["size"], t.get("label"), split, radius, least)
 
-    return sent.groupBy("pair").applyInArrow(compare, "a long, b long")
+    return compared(nodes, kind, int(math.log(2**40) / base) + 1, 1, columns, compare)
+
+
+def similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, holds) for distinct edges (a, b): whether the Jaccard similarity of the nodes' sets,
+    of ``sets`` (node, hashes), is ``least`` or more."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            holds = []
+            for x, y in zip(part.column("x"), part.column("y")):
+                x, y = (np.frombuffer(v.as_py(), "<u8") for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                holds.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(holds, pa.bool_())], names=["a", "b", "holds"])
+
+    pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x, y = (sets.select(F.col("node").alias(k), F.col("hashes").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, holds boolean")
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, words: int, radius: int, least: float, text: str, doc_id: str) -> DataFrame:
+    """Edges (a, b) between nodes that connect all candidates of at least that similarity."""
+
+    def checked(edges: DataFrame, name: str) -> DataFrame:
+        edges = materialise(edges, name)
+        ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+        ids = nodes.join(ends, "node").select("node", F.col("first").alias("_id"), F.col("key").alias("_key"))
+        slim = keyed(docs, text, doc_id)
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A repeated id may stand for several texts: only the node's own counts."""
+            for part in parts:
+                nodes_, got = [], []
+                for node, raw in zip(part.column(0).to_pylist(), part.column(1)):
+                    hashes = shingle_set(raw.as_py(), words)
+                    if set_node(hashes) == node:
+                        nodes_.append(node)
+                        got.append(hashes.astype("<u8").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes_, pa.int64()), pa.array(got, pa.binary())], names=["node", "hashes"])
+
+        own = slim.join(ids, slim["doc_id"].eqNullSafe(ids["_id"]) & slim["key"].eqNullSafe(ids["_key"]))
+        sets = own.select("node", "raw").mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
+        return materialise(similar(edges, sets, least), name)
+
+    tried = checked(candidates(nodes, radius, least), "tried")
+    found = tried.where("holds").select("a", "b")
+    failed = tried.where("not holds")
+    if failed.isEmpty():
+        return found
+    groups = materialise(components(tried.select("a", "b")), "groups")
+    open_ = failed.select(F.col("a").alias("node")).join(groups, "node").select("root").distinct()
+    left = nodes.join(groups.join(open_, "root").select("node"), "node")
+    labels = components(found).withColumnRenamed("root", "label")
+    left = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    more = checked(candidates(materialise(left, "left"), radius, least), "more")
+    return found.union(more.where("holds").select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -304,9 +489,14 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links."""
     prints = materialise(fingerprints(docs, words, min_similarity is not None, text, doc_id), "prints")
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
-    nodes = materialise(nodes, "nodes")
-    found = components(links(nodes, radius, min_similarity))
+    parts = [F.first(c).alias(c) for c in (["fp"] if min_similarity is None else ["fp", "sketch", "size"])]
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), *parts)
+    nodes = materialise(nodes.withColumn("key", F.when(F.col("first").isNull(), F.col("key"))), "nodes")
+    if min_similarity is None:
+        edges = links(nodes, radius)
+    else:
+        edges = similar_links(nodes, docs, words, radius, min_similarity, text, doc_id)
+    found = components(edges)
     linked = nodes.select("node", "first").join(found, "node")
     least = linked.groupBy("root").agg(F.min("first").alias("component"))
     moved = linked.join(least, "root").select("node", "component")

@@ -65,3 +65,38 @@ def test_near_copies_of_high_similarity_go(spark, empty):
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
     assert s.keep_one(empty).count() == 0 and s.near_duplicates(empty, 4, 4, None).count() == 0
+
+
+def test_similarities_about_the_threshold_are_exact(spark):
+    """Pairs at 0.77 to 0.84: a sketch alone mistakes many of them."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        near = list(words)
+        for k in rng.sample(range(10, 290, 8), 5 + g % 4):
+            near[k] = "changed"
+        rows += [(2 * g, " ".join(words), "en", "s", 1), (2 * g + 1, " ".join(near), "en", "s", 1)]
+    sets = [brute.shingles(r[1], 5) for r in rows]
+    share = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(rows), 2)]
+    assert min(share) < 0.8 <= max(share) and sum(0.78 <= v <= 0.85 for v in share) > 50
+    got = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(spark.createDataFrame(rows, DOCS), radius=64).collect()}
+    assert [got[2 * g + 1] == 2 * g for g in range(150)] == [v >= 0.8 for v in share]
+    assert all(got[2 * g] == 2 * g for g in range(150))
+
+
+def test_candidates_behind_a_failed_pair_are_tried(spark):
+    """In a crowd of pairs below and above the threshold the components are those of all pairs."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for _ in range(20):
+            words = list(base)
+            for k in rng.sample(range(10, 290, 8), rng.randrange(1, 6)):
+                words[k] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words), "en", "s", 1))
+    sets = [brute.shingles(r[1], 5) for r in rows]
+    want = brute.components([r[0] for r in rows], lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(spark.createDataFrame(rows, DOCS), radius=64).collect()}
+    assert got == want
