@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share 0.8 of their five-word shingles or more, directly or through
     others, the one of the smallest doc_id stays."""
-    return simhash_tiles.keep_one(docs, words=5, radius=14, min_similarity=0.8)
+    return simhash_tiles.keep_one(docs, words=5, radius=24, min_similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

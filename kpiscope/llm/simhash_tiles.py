@@ -17,7 +17,8 @@ With ``min_similarity`` a link needs that share of common distinct shingles, and
 sets decide it. Sets whose sizes alone exclude it are not compared; of the others those within
 the radius whose 128-bin one-permutation sketch estimates at least ``SLACK`` less are candidates.
 Their Jaccard similarity is taken from the sets: first along a spanning forest of the candidates,
-then, where a pair of the forest fails, for all candidates of its component that are still apart.
+then, where a pair of the forest fails, along further forests between what is still apart, and at
+last for all candidates that are.
 
 Null texts count as empty; texts without words have fingerprint zero and are linked like any
 other. Rows with a null id take part (as copies of what they equal) and get their component;
@@ -41,6 +42,10 @@ BINS = 128
 #: A sketch may fall this far below the similarity asked for: of pairs at 0.8 exactly, less than
 #: one in 10^7 does (128 bins, binomial).
 SLACK = 0.2
+#: Sets of up to SMALL shingles have a radius larger by WIDER, as their fingerprints scatter more.
+SMALL, WIDER = 32, 4
+#: Forests of candidates that are tried before all that are still apart are.
+ROUNDS = 6
 TILE = 256
 #: Fingerprints in a strip: at least, and at most (a task holds two strips).
 STRIP_LEAST, STRIP_MOST = 1 << 16, 1 << 19
@@ -98,17 +103,17 @@ def majority(blocks: Iterable[np.ndarray]) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprint(text: bytes, words: int, sketch: bool = False) -> tuple[int, bytes, int, int]:
+def fingerprint(text: bytes, words: int, sketch: bool = False, block: int = 1 << 17) -> tuple[int, bytes, int, int]:
     """The fingerprint, the one-permutation sketch, the number of distinct shingles and the node.
 
-    With ``sketch`` the node is the hash of the set of shingles; without, it is the fingerprint,
-    and the sketch stays empty.
+    With ``sketch`` all are of the set of shingles, and the node is the hash of the set; without,
+    repeated shingles count, the node is the fingerprint, and the sketch stays empty.
     """
     if not sketch:
         bits = majority(shingle_hashes(text, words))
         return bits, b"", 0, bits
     h = shingle_set(text, words)
-    bits = majority(shingle_hashes(text, words))
+    bits = majority(h[i : i + block] for i in range(0, len(h), block))
     bins = (h >> np.uint64(57)).astype(np.int64)
     first = np.flatnonzero(np.diff(bins, prepend=-1))
     got = np.zeros(BINS, np.uint8)
@@ -228,14 +233,19 @@ def link_tiles(fps: np.ndarray, sketches: np.ndarray | None, split: int, radius:
 
 
 def candidate_tiles(
-    fps: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, labels: np.ndarray | None, split: int, radius: int, least: float
+    fps: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, labels: np.ndarray | None, split: int, radius: int, least: float, turn: int = 0
 ) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of indices whose sets may share ``least`` of their shingles (see the module).
 
-    Without ``labels`` a spanning forest of the candidates, of candidate pairs only; with labels
-    all candidates whose labels differ. ``split`` as in ``link_tiles``.
+    A spanning forest of the candidates, of candidate pairs only, those of high estimate first.
+    With ``labels``, rows of one label count as joined and the order is random by ``turn``; from
+    turn ``ROUNDS`` on all candidates whose labels differ. ``split`` as in ``link_tiles``.
     """
     forest, firsts, seconds = Forest(len(fps)), [], []
+    rng = np.random.default_rng(turn)
+    if labels is not None:
+        _, at, inverse = np.unique(labels, return_index=True, return_inverse=True)
+        forest.root = at[inverse]
 
     def tiles(start: int, end: int) -> list[np.ndarray]:
         order = start + np.lexsort((fps[start:end], sizes[start:end]))
@@ -252,21 +262,23 @@ def candidate_tiles(
         mine = fps[rows]
         for y in near:
             other = right[y]
-            at = np.flatnonzero(np.bitwise_count(mine[:, None] ^ fps[other][None, :]) <= radius)
+            within = radius + WIDER * int(min(small, low[y]) <= SMALL)
+            at = np.flatnonzero(np.bitwise_count(mine[:, None] ^ fps[other][None, :]) <= within)
             k, l = at // len(other), at % len(other)
             if not split and y == x:
                 k, l = k[k < l], l[k < l]
             i, j = rows[k], other[l]
             si, sj = sizes[i], sizes[j]
             keep = np.minimum(si, sj) >= least * np.maximum(si, sj)
-            keep &= (forest.root[i] != forest.root[j]) if labels is None else (labels[i] != labels[j])
+            keep &= forest.root[i] != forest.root[j]
             i, j, gap = i[keep], j[keep], np.abs(k - l)[keep]
             if not len(i):
                 continue
-            keep = similarity(sketches[i], sketches[j]) >= least - SLACK
-            i, j, gap = i[keep], j[keep], gap[keep]
-            if labels is None and len(i):  # neighbours first: chains rather than stars
-                order = np.argsort(gap, kind="stable")
+            share = similarity(sketches[i], sketches[j])
+            keep = share >= least - SLACK
+            i, j, gap, share = i[keep], j[keep], gap[keep], share[keep]
+            if turn < ROUNDS and len(i):  # of like estimates, neighbours first: chains rather than stars
+                order = np.lexsort((gap, -np.round(share * 20))) if labels is None else rng.permutation(len(i))
                 chosen = forest.choose(i[order], j[order])
                 i, j = i[order][chosen], j[order][chosen]
             firsts.append(i)
@@ -368,10 +380,9 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     return compared(nodes, F.bit_count("fp"), 65, radius, {"node": "<i8", "fp": "<u8"}, compare)
 
 
-def candidates(nodes: DataFrame, radius: int, least: float) -> DataFrame:
+def candidates(nodes: DataFrame, radius: int, least: float, turn: int = 0) -> DataFrame:
     """Edges (a, b) between nodes (node, fp, sketch, size): candidates for ``least`` (see
-    ``candidate_tiles``), a spanning forest of each task's, or all with differing ``label`` if
-    there is such a column. Sizes are dealt by their logarithm: those of one or of neighbouring
+    ``candidate_tiles``; a column ``label`` is optional). Sizes are dealt by their logarithm: those of one or of neighbouring
     kinds cover all ratios from ``least`` up, with a margin for rounding."""
     base = math.log(1.01 / least)
     labelled = "label" in nodes.columns
@@ -379,7 +390,7 @@ def candidates(nodes: DataFrame, radius: int, least: float) -> DataFrame:
     columns = {"node": "<i8", "fp": "<u8", "sketch": "bytes", "size": "<i8"} | ({"label": "<i8"} if labelled else {})
 
     def compare(t: dict[str, np.ndarray], split: int) -> tuple[np.ndarray, np.ndarray]:
-        return candidate_tiles(t["fp"], t["sketch"], t["size"], t.get("label"), split, radius, least)
+        return candidate_tiles(t["fp"], t["sketch"], t["size"], t.get("label"), split, radius, least, turn)
 
     return compared(nodes, kind, int(math.log(2**40) / base) + 1, 1, columns, compare)
 
@@ -434,10 +445,15 @@ def similar_links(nodes: DataFrame, docs: DataFrame, words: int, radius: int, le
     groups = materialise(components(tried.select("a", "b")), "groups")
     open_ = failed.select(F.col("a").alias("node")).join(groups, "node").select("root").distinct()
     left = nodes.join(groups.join(open_, "root").select("node"), "node")
-    labels = components(found).withColumnRenamed("root", "label")
-    left = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    more = checked(candidates(materialise(left, "left"), radius, least), "more")
-    return found.union(more.where("holds").select("a", "b"))
+    left = materialise(left, "left")
+    for turn in range(1, ROUNDS + 1):
+        labels = components(found).withColumnRenamed("root", "label")
+        now = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        tried = checked(candidates(materialise(now, "left"), radius, least, turn), "tried")
+        found = found.union(tried.where("holds").select("a", "b"))
+        if tried.where("not holds").isEmpty():
+            break
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -484,7 +500,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, radius: int = 14, min_similarity: float | None = 0.8,
+    docs: DataFrame, words: int = 5, radius: int = 24, min_similarity: float | None = 0.8,
     text: str = "text", doc_id: str = "doc_id",
 ) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links."""

@@ -100,3 +100,32 @@ def test_candidates_behind_a_failed_pair_are_tried(spark):
     want = brute.components([r[0] for r in rows], lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     got = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(spark.createDataFrame(rows, DOCS), radius=64).collect()}
     assert got == want
+
+
+def test_repeated_lines_do_not_move_the_fingerprint():
+    rng = random.Random(13)
+    for n, times in ((300, 10), (300, 100), (1000, 100)):
+        for _ in range(20):
+            text = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            line = " ".join(f"l{rng.randrange(10**6)}" for _ in range(10))
+            a, b = (" ".join([*text, *[line] * k]).encode() for k in (1, times))
+            assert len(set(s.shingle_set(a, 5)) & set(s.shingle_set(b, 5))) >= 0.9 * len(s.shingle_set(b, 5))
+            x, y = (s.fingerprint(t, 5, True)[0] for t in (a, b))
+            assert ((x ^ y) & (1 << 64) - 1).bit_count() <= 14
+
+
+def test_radius_reaches_pairs_at_the_threshold(spark):
+    """Pairs that share 8 of 10 shingles, of small and large sets."""
+    rng = random.Random(14)
+    rows, pairs = [], []
+    for g in range(600):
+        n = (4, 36, 180)[g % 3]
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n + n // 4 + 4)]
+        pairs.append((len(rows), len(rows) + 1))
+        for w in (words[: n + 4], words):
+            rows.append((len(rows), " ".join(w), "en", "s", 1))
+    for i, j in pairs:
+        a, b = (brute.shingles(rows[k][1], 5) for k in (i, j))
+        assert len(a & b) == 0.8 * len(a | b)
+    got = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[j] == i for i, j in pairs)
