@@ -5,7 +5,9 @@ Bloom filter of the listed keys; the second encodes those keys of the universe,
 that the first lets through; the third the listed keys that the second lets through; and so
 on until a level lets nothing wrong through. A key of the universe is listed exactly if the
 first level that rejects it has an even number (counting from one), so membership needs no
-join: a level is an array literal of 64-bit words, whose size the number of listed keys bounds.
+join: a level is an array literal of 64-bit words (several for long lists). The first level has so
+many bits a key that it lets through about as many keys of the universe as are listed, so levels
+are bounded by the list, however large the corpus is.
 
 The universe is every key that a url of the corpus can ask for: each suffix of its host at a
 label boundary, with each prefix of its path that is as long as some listed path.
@@ -18,19 +20,21 @@ input columns other than the url and the key are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiscope.llm.common import require_columns
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BITS_PER_KEY, HASHES = 16, 6
-#: A level is a literal in the plan: listed keys beyond this many are refused (1 MB of words);
-#: a longer list is split by key, a cascade for each part.
+#: A literal holds the bits of at most about this many keys (1 MB); a longer list is split by the
+#: keys' hashes, with a literal for each part, of which a lookup touches one.
 MAX_KEYS = 500_000
+#: Levels after the first see about as many keys as they hold and let half of a percent through.
+LATER_BITS = 12
 
 
 @dataclass(frozen=True)
@@ -74,42 +78,51 @@ def candidate_keys(host: Column, path: Column, lengths: Sequence[int]) -> Column
 
 #: The 64-bit words with one bit set, as signed integers.
 ONE_BIT = [1 << i for i in range(63)] + [-(1 << 63)]
+HALF = (1 << 31) - 1
+
+
+def places(key: Column, salt: int, hashes: int, bits: int) -> list[Column]:
+    """The key's bit places: sums of two hashes."""
+    one, two = (F.xxhash64(key, F.lit(salt + i)).bitwiseAND(F.lit(HALF)) for i in (0, 1))
+    return [F.pmod(one + F.lit(i) * two, F.lit(bits)) for i in range(hashes)]
 
 
 @dataclass(frozen=True)
 class Level:
-    words: tuple[int, ...]
+    parts: tuple[tuple[int, ...], ...]  # the words of each part of the keys
     salt: int
+    hashes: int
 
     def passes(self, key: Column) -> Column:
         """Whether all the key's bits are set."""
-        words = F.lit(list(self.words))
-        n = 64 * len(self.words)
-        at = [F.pmod(F.xxhash64(key, F.lit(self.salt + i)), F.lit(n)) for i in range(HASHES)]
+        words, part = F.lit(list(self.parts[0])), part_of(key, self.salt, len(self.parts))
+        for i, more in enumerate(self.parts[1:], 1):
+            words = F.when(part == i, F.lit(list(more))).otherwise(words)
         powers = F.lit(ONE_BIT)
-        bits = [
-            F.get(words, F.shiftright(p, 6).cast("int")).bitwiseAND(F.get(powers, p.bitwiseAND(F.lit(63)).cast("int"))) != 0
-            for p in at
-        ]
-        out = bits[0]
-        for b in bits[1:]:
-            out = out & b
+        out = F.lit(True)
+        for p in places(key, self.salt, self.hashes, 64 * len(self.parts[0])):
+            word = F.get(words, F.shiftright(p, 6).cast("int"))
+            out = out & (word.bitwiseAND(F.get(powers, p.bitwiseAND(F.lit(63)).cast("int"))) != 0)
         return out
 
 
-def build_level(keys: DataFrame, n_keys: int, salt: int) -> Level:
-    """A Bloom filter of the column ``key``: bit positions are or-ed per 64-bit word, so the
+def part_of(key: Column, salt: int, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(salt + 2)), F.lit(parts)) if parts > 1 else F.lit(0).cast("long")
+
+
+def build_level(keys: DataFrame, n_keys: int, salt: int, bits_per_key: int) -> Level:
+    """A Bloom filter of the column ``key``: bit places are or-ed per 64-bit word, so the
     driver gets at most one number a word, and ``n_keys`` bounds the words."""
-    words = max(1, -(-n_keys * BITS_PER_KEY // 64))
-    at = F.array(*[F.pmod(F.xxhash64("key", F.lit(salt + i)), F.lit(64 * words)) for i in range(HASHES)])
-    powers = F.lit(ONE_BIT)
+    parts = max(1, -(-n_keys // MAX_KEYS))
+    words, hashes = max(1, -(-n_keys * bits_per_key // (64 * parts))), max(1, round(bits_per_key * math.log(2)))
+    key, powers = F.col("key"), F.lit(ONE_BIT)
     got = (
-        keys.select(F.explode(at).alias("p"))
-        .groupBy(F.shiftright("p", 6).alias("word"))
+        keys.select(part_of(key, salt, parts).alias("part"), F.explode(F.array(*places(key, salt, hashes, 64 * words))).alias("p"))
+        .groupBy("part", F.shiftright("p", 6).alias("word"))
         .agg(F.bit_or(F.get(powers, F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
     )
-    found = {r["word"]: r["bits"] for r in got.collect()}
-    return Level(tuple(found.get(i, 0) for i in range(words)), salt)
+    found = {(r["part"], r["word"]): r["bits"] for r in got.collect()}
+    return Level(tuple(tuple(found.get((k, i), 0) for i in range(words)) for k in range(parts)), salt, hashes)
 
 
 @dataclass(frozen=True)
@@ -124,59 +137,86 @@ class Cascade:
         return out
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, max_levels: int = 24) -> Cascade:
+def first_bits(listed: int, universe: int) -> int:
+    """Bits a key of the first level, such that of the universe it lets through about as many
+    keys as are listed: with them the later levels grow with the list, not with the corpus."""
+    return max(LATER_BITS, math.ceil(math.log2(max(2, universe / max(1, listed))) / math.log(2)))
+
+
+def build_cascade(listed: DataFrame, universe: DataFrame, size: int | None = None, max_levels: int = 64) -> Cascade:
     """A cascade of the listed keys over the universe; both have the column ``key``.
 
-    The universe is scanned once, through the first level: what that lets through is a small
-    part of it (about 1 in 2000 keys), which is made distinct; later levels see only that.
+    ``size`` is the number of the universe's keys, or more (counted if not given). The universe is
+    scanned once more, through the first level: what that lets through is made distinct; later
+    levels see only that. Nulls in either are ignored.
     """
-    listed = listed.select("key").where("key is not null").distinct()
-    n = listed.count()
-    if n > MAX_KEYS:
-        raise ValueError(f"{n} listed keys exceed {MAX_KEYS}; split the list")
-    levels = [build_level(listed, n, 0)]
-    passed = universe.select("key").where(levels[0].passes(F.col("key"))).distinct()
-    wrong, right = passed.join(listed, "key", "left_anti"), listed
-    while len(levels) < max_levels:
-        wrong = wrong.persist()
-        n_wrong = wrong.count()
-        if not n_wrong:
-            wrong.unpersist()
-            return Cascade(tuple(levels))
-        if n_wrong > MAX_KEYS:
-            raise ValueError(f"{n_wrong} keys at level {len(levels)} exceed {MAX_KEYS}")
-        level = build_level(wrong, n_wrong, 1000 * len(levels))
-        levels.append(level)
-        wrong, right = right.where(level.passes(F.col("key"))), wrong
-    raise RuntimeError(f"more than {max_levels} levels")
+    if size is None:
+        size = universe.count()
+    held = [listed.select("key").where("key is not null").distinct().persist()]
+    try:
+        n = held[0].count()
+        levels = [build_level(held[0], n, 0, first_bits(n, size))]
+        passed = universe.select("key").where(F.col("key").isNotNull() & levels[0].passes(F.col("key"))).distinct()
+        wrong, right = passed.join(held[0], "key", "left_anti"), held[0]
+        while len(levels) < max_levels:
+            wrong = wrong.persist()
+            held.append(wrong)
+            n_wrong = wrong.count()
+            if not n_wrong:
+                return Cascade(tuple(levels))
+            level = build_level(wrong, n_wrong, 1000 * len(levels), LATER_BITS)
+            levels.append(level)
+            wrong, right = right.where(level.passes(F.col("key"))), wrong
+        raise RuntimeError(f"more than {max_levels} levels")
+    finally:
+        for df in held:
+            df.unpersist()
+
+
+def values(spark: SparkSession, keys: Sequence[str], name: str) -> DataFrame:
+    """Rows of literals, made by the JVM; for lists of some thousands (longer ones are tables)."""
+    if not keys:
+        return spark.range(0).select(F.lit("").alias(name))
+    return spark.range(1).select(F.explode(F.lit(list(keys))).alias(name))
 
 
 def judge_urls(
-    pages: DataFrame, rules: Sequence[Rule], blocked_hosts: Sequence[str],
+    pages: DataFrame, rules: Sequence[Rule] | DataFrame, blocked_hosts: Sequence[str] | DataFrame,
     url: str = "url", keep: Sequence[str] = ("page_id",),
 ) -> DataFrame:
     """Each url's host, path, rule and verdict.
 
     The longest fitting rule decides; where none fits, a url is blocked if its host or a
-    parent of it is in ``blocked_hosts``. Three cascades over the urls' keys answer: all rules,
-    the blocking rules among them, and the blocked hosts. The only shuffles are those of the
-    few keys that pass a first level.
+    parent of it is in ``blocked_hosts``. Both lists may be tables: rules with the columns
+    (verdict, host, path), hosts with the column host; null hosts are ignored, a null path is empty.
+    Three cascades over the urls' keys answer: all rules, the blocking rules among them, and the
+    blocked hosts. The only shuffles are those of the few keys that pass a first level.
     """
     require_columns(pages, [url, *keep])
-    if len({str(r) for r in rules}) < len(rules):
-        raise ValueError("a rule is listed twice")
     spark = pages.sparkSession
-    lengths = sorted({len(r.path) for r in rules})
-    hosts = pages.select(url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
-    rule_keys = hosts.select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("key"))
-    host_keys = hosts.select(F.explode(host_suffixes(F.col("host"))).alias("key"))
-
-    def cascade(keys: Sequence[str], universe: DataFrame) -> Cascade:
-        return build_cascade(spark.createDataFrame([(k,) for k in keys], "key string"), universe)
+    if isinstance(rules, DataFrame):
+        require_columns(rules, ["verdict", "host", "path"])
+        path = F.coalesce("path", F.lit(""))
+        rule_rows = rules.where("host is not null").select(F.concat("host", path).alias("key"), F.length(path).alias("n"), (F.col("verdict") == "block").alias("block"))
+        all_rules, blocking_rules = rule_rows.select("key"), rule_rows.where("block").select("key")
+        lengths = sorted(r["n"] for r in rule_rows.select("n").distinct().collect())  # at most one for each length of a path
+        twice = rule_rows.groupBy("key").count().where("count > 1").limit(1).count()
+    else:
+        all_rules, blocking_rules = values(spark, [str(r) for r in rules], "key"), values(spark, [str(r) for r in rules if r.verdict == "block"], "key")
+        lengths = sorted({len(r.path) for r in rules})
+        twice = len({str(r) for r in rules}) < len(rules)
+    if twice:
+        raise ValueError("a rule is listed twice")
+    sites = blocked_hosts if isinstance(blocked_hosts, DataFrame) else values(spark, blocked_hosts, "host")
+    sites = sites.select(F.translate("host", UPPER, LOWER).alias("key"))
 
-    known = cascade([str(r) for r in rules], rule_keys)
-    blocking = cascade([str(r) for r in rules if r.verdict == "block"], rule_keys)
-    listed = cascade([h.lower() for h in blocked_hosts], host_keys)
+    hosts = pages.select(url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
+    rule_keys, host_keys = candidate_keys(F.col("host"), F.col("path"), lengths), host_suffixes(F.col("host"))
+    sizes = hosts.agg(F.coalesce(F.sum(F.size(rule_keys)), F.lit(0)), F.coalesce(F.sum(F.size(host_keys)), F.lit(0))).first()
+    by_rule, by_site = hosts.select(F.explode(rule_keys).alias("key")), hosts.select(F.explode(host_keys).alias("key"))
+    known = build_cascade(all_rules, by_rule, sizes[0])
+    blocking = build_cascade(blocking_rules, by_rule, sizes[0])
+    listed = build_cascade(sites, by_site, sizes[1])
 
     kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
     out = pages.select(*kept, url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))

@@ -1,3 +1,5 @@
+import pytest
+from kpiscope.llm import url_cascade
 from kpiscope.llm.queries import BLOCKED_SITES, URL_RULES
 from kpiscope.llm.url_cascade import Rule, build_cascade, judge_urls
 from pyspark.sql import functions as F
@@ -44,3 +46,25 @@ def test_no_python_in_the_plan(spark):
     pages = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
     plan = judge_urls(pages, [Rule("block", "com", "/x")], ["b.org"])._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Join" not in plan
+
+
+def test_long_lists_are_split_by_key(spark, monkeypatch):
+    """With few keys to a literal, and lists from tables, verdicts are the same."""
+    monkeypatch.setattr(url_cascade, "MAX_KEYS", 3)
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS * 2)], "page_id long, url string")
+    rules = spark.createDataFrame([(r.verdict, r.host, r.path) for r in URL_RULES] + [("block", None, "/x")], "verdict string, host string, path string")
+    sites = spark.createDataFrame([(h,) for h in BLOCKED_SITES] + [(None,)], "host string")
+    got = {r["page_id"]: tuple(r)[1:] for r in judge_urls(pages, rules, sites).collect()}
+    assert got == {i: plain(u) for i, u in enumerate(URLS * 2)}
+    universe = spark.range(90).select(F.concat(F.lit("k"), "id").alias("key"))
+    cascade = build_cascade(universe.where("id % 3 = 0"), universe)
+    assert len(cascade.levels[0].parts) == 10
+    small = spark.range(90).select(F.concat(F.lit("k"), F.col("id")).alias("key"), (F.col("id") % 3 == 0).alias("want"))
+    assert small.where(cascade.contains(F.col("key")) != F.col("want")).count() == 0
+    with pytest.raises(ValueError):
+        judge_urls(pages, rules.union(rules), sites)
+
+
+def test_a_larger_corpus_takes_more_bits_not_more_keys():
+    assert url_cascade.first_bits(5, 5) == url_cascade.LATER_BITS < url_cascade.first_bits(5, 5 * 10**12) <= 60
+    assert url_cascade.first_bits(10**6, 10**12) <= 30
