@@ -17,14 +17,13 @@ TERMS = ("volume", "mix", "price", "entry", "exit")
 def cell_averages(fact: DataFrame, dims: Sequence[str], value: Column, quantity: Column, base: Column, focus: Column, date: str = "date") -> DataFrame:
     """Per cell: v0, q0, v1, q1, averages a day of the two windows (days that have any row).
 
-    One scan: both windows are conditional sums of the same grouping; the numbers of days are a
-    second, tiny aggregation that joins as one row.
+    The facts are aggregated to day cells once; sums by cell and the numbers of days both come
+    from these (the plan reuses their exchange), so joins below run once.
     """
-    days = fact.agg(F.count_distinct(F.when(base, F.col(date))).alias("d0"), F.count_distinct(F.when(focus, F.col(date))).alias("d1"))
-    sums = fact.where(base | focus).groupBy(*dims).agg(
-        F.sum(F.when(base, value)).alias("v0"), F.sum(F.when(base, quantity)).alias("q0"),
-        F.sum(F.when(focus, value)).alias("v1"), F.sum(F.when(focus, quantity)).alias("q1"),
-    )
+    inside = fact.where(base | focus).withColumns({"_base": base, "_focus": focus, "_v": value, "_q": quantity})
+    cells = inside.groupBy(date, "_base", "_focus", *dims).agg(F.sum("_v").alias("_v"), F.sum("_q").alias("_q"))
+    days = cells.agg(F.count_distinct(F.when(F.col("_base"), F.col(date))).alias("d0"), F.count_distinct(F.when(F.col("_focus"), F.col(date))).alias("d1"))
+    sums = cells.groupBy(*dims).agg(*[F.sum(F.when(F.col(w), F.col(x))).alias(n) for n, w, x in (("v0", "_base", "_v"), ("q0", "_base", "_q"), ("v1", "_focus", "_v"), ("q1", "_focus", "_q"))])
     got = sums.join(F.broadcast(days), how="cross")
 
     def mean(c: str, d: str) -> Column:

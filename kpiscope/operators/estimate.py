@@ -10,7 +10,6 @@ from __future__ import annotations
 import datetime as dt
 import math
 from collections.abc import Iterator, Sequence
-from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -44,15 +43,35 @@ def demean(panel: DataFrame, column: str, out: str, cell: str = "cell", period:
 
 
 def did_balanced(panel: DataFrame, y: str, treated: str = "treated", post: str = "post", cell: str = "cell", period: str = "date", group: str | None = None) -> DataFrame:
-    """Two-way fixed effects on a balanced panel: att, its cluster-robust error, t, cells."""
+    """Two-way fixed effects on a balanced panel: att, its cluster-robust error, t, cells.
+
+    One pass: cells' sums of x y and x x give the estimate and, as a cell's score is
+    Sxy - att Sxx, the cluster term as well.
+    """
     d = (F.col(treated) & F.col(post)).cast("double")
     both = demean(demean(panel.withColumn("_d", d), y, "_y", cell, period, group), "_d", "_x", cell, period, group)
-    beta = both.agg((F.sum(F.col("_x") * F.col("_y")) / F.sum(F.col("_x") * F.col("_x"))).alias("att"), F.sum(F.col("_x") * F.col("_x")).alias("xx"), F.count("*").alias("n"))
-    scored = both.join(F.broadcast(beta), how="cross").withColumn("_s", F.col("_x") * (F.col("_y") - F.col("att") * F.col("_x")))
-    meat = scored.groupBy(cell).agg(F.sum("_s").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("meat"), F.count("*").alias("g"))
-    got = beta.join(F.broadcast(meat), how="cross")
-    se = F.sqrt(F.col("meat") * F.col("g") / (F.col("g") - 1)) / F.col("xx")
-    return got.select("att", se.alias("se"), (F.col("att") / se).alias("t"), "g", "n")
+    return clustered(both, cell)
+
+
+def clustered(both: DataFrame, cell: str) -> DataFrame:
+    """Slope of ``_y`` on ``_x`` and its error clustered by cell, in two aggregations."""
+    cells = both.groupBy(cell).agg(F.sum(F.col("_x") * F.col("_y")).alias("sy"), F.sum(F.col("_x") * F.col("_x")).alias("sx"), F.count("*").alias("k"))
+    sums = cells.agg(
+        F.sum("sy").alias("xy"), F.sum("sx").alias("xx"), F.sum(F.col("sy") * F.col("sy")).alias("yy2"), F.sum(F.col("sy") * F.col("sx")).alias("xy2"),
+        F.sum(F.col("sx") * F.col("sx")).alias("xx2"), F.sum("k").alias("n"), F.count("*").alias("g"),
+    )
+    att = F.try_divide("xy", "xx")
+    meat = F.greatest(F.col("yy2") - 2 * att * F.col("xy2") + att * att * F.col("xx2"), F.lit(0.0))
+    se = F.sqrt(meat * F.col("g") / (F.col("g") - 1)) / F.col("xx")
+    return sums.select(att.alias("att"), se.alias("se"), F.try_divide(att, se).alias("t"), "g", "n")
+
+
+def parallel_trends_balanced(panel: DataFrame, y: str, treated: str = "treated", post: str = "post", cell: str = "cell", period: str = "date", group: str | None = None) -> DataFrame:
+    """The treated cells' extra trend a period before the change, on a balanced panel."""
+    order = Window.partitionBy(cell).orderBy(period)
+    before = panel.where(~F.col(post)).withColumn("_t", (F.row_number().over(order) - 1) * F.col(treated).cast("double"))
+    both = demean(demean(before, y, "_y", cell, period, group), "_t", "_x", cell, period, group)
+    return clustered(both, cell)
 
 
 def _dummies(values: np.ndarray) -> np.ndarray:
@@ -108,6 +127,20 @@ def did_kernel(pdf: pd.DataFrame, y: str, treated: str = "treated", post: str =
     return out, (names, at, after, on, basis, y_res, beta)
 
 
+def unrank(i: int, n: int, k: int) -> list[int]:
+    """The ``i``-th of the k-element subsets of range(n), in lexicographic order."""
+    out, x = [], 0
+    while k:
+        block = math.comb(n - x - 1, k - 1)
+        if i < block:
+            out.append(x)
+            k -= 1
+        else:
+            i -= block
+        x += 1
+    return out
+
+
 def randomisation(spark, names: np.ndarray, at: np.ndarray, post: np.ndarray, treated: np.ndarray, basis: np.ndarray, y_res: np.ndarray, beta: float, seed: int = 7) -> dict[str, object]:
     """p = share of assignments whose estimate is as large as the actual one.
 
@@ -124,7 +157,7 @@ def randomisation(spark, names: np.ndarray, at: np.ndarray, post: np.ndarray, tr
             got = []
             for i in part["id"]:
                 if exact:
-                    chosen = next(islice(combinations(range(g), k_), int(i), None))
+                    chosen = unrank(int(i), g, k_)
                 else:
                     chosen = np.random.default_rng([seed, int(i)]).choice(g, k_, replace=False)
                 d = stats.absorb(q, (np.isin(at_, chosen) & post_).astype(float))

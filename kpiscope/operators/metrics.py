@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiscope.functions.calendar import fiscal_period
@@ -72,12 +72,21 @@ def daily_mean(series: DataFrame, start: dt.date, end: dt.date, date: str = "dat
 
 
 def fiscal_rollup(fact: DataFrame, kpi: Kpi, dims: Sequence[str] = ("region",), date: str = "date", row_filter: Column | None = None) -> DataFrame:
-    """Fiscal periods, dated by the last date that any row has in the period."""
+    """Fiscal periods, dated by the last date that any row has in the period.
+
+    Without a row filter the facts are read once: each group's last date comes with its sums, and
+    the period's is the largest of these. A filter stands below the sums, not below the dates.
+    """
     src = fact if row_filter is None else fact.where(row_filter)
-    src = src.withColumn("fiscal_period", fiscal_period(F.col(date)))
-    ends = fact.groupBy(fiscal_period(F.col(date)).alias("fiscal_period")).agg(F.max(date).alias(date))
-    sums = src.groupBy("fiscal_period", *dims).agg(*[F.sum(c).alias(c) for c in kpi.columns])
-    return sums.withColumn("value", compile_formula(kpi.formula, sums.columns)).join(F.broadcast(ends), "fiscal_period")
+    period = fiscal_period(F.col(date))
+    sums = src.groupBy(period.alias("fiscal_period"), *dims).agg(*[F.sum(c).alias(c) for c in kpi.columns], F.max(date).alias("_last"))
+    if row_filter is None:
+        ends = F.max("_last").over(Window.partitionBy("fiscal_period"))
+        got = sums.withColumn(date, ends)
+    else:
+        ends = fact.groupBy(period.alias("fiscal_period")).agg(F.max(date).alias(date))
+        got = sums.join(ends, "fiscal_period")
+    return got.drop("_last").withColumn("value", compile_formula(kpi.formula, sums.columns))
 
 
 def grain_lattice(fact: DataFrame, measures: Sequence[str], dims: Sequence[str]) -> DataFrame:

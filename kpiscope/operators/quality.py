@@ -121,10 +121,11 @@ def defect(df: DataFrame, defect_id: str, kind: str, severity: str, action: str,
     )
 
 
-def worst_severity(defects: DataFrame) -> DataFrame:
+def worst_severity(defects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The worst severity (of each group), LOW where there is none."""
     order = F.array(*map(F.lit, SEVERITIES))
     top = F.max(F.array_position(order, F.col("severity")))
-    return defects.agg(F.element_at(order, F.greatest(F.coalesce(top, F.lit(1)), F.lit(1)).cast("int")).alias("severity"))
+    return defects.groupBy(*by).agg(F.element_at(order, F.greatest(F.coalesce(top, F.lit(1)), F.lit(1)).cast("int")).alias("severity"))
 
 
 def stale_sources(freshness_rows: DataFrame) -> DataFrame:

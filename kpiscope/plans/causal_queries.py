@@ -66,12 +66,16 @@ def ljung_box(spark: SparkSession, sf: str) -> DataFrame:
     return estimate.ljung_box(monthly(spark, sf), u="value").select("n", F.round("q", 5).alias("q"))
 
 
-@query(f"""WITH {_DAYS}, p AS (SELECT weekday AS hypothesis, p FROM (VALUES ('h1', 0.001), ('h2', 0.04), ('h3', 0.9), ('h4', 0.012), ('h5', NULL)) v(weekday, p) WHERE p IS NOT NULL),
-r AS (SELECT *, row_number() OVER (ORDER BY p, hypothesis) AS rank, count(*) OVER () AS m FROM p), a AS (SELECT *, min(least(p * m / rank, 1.0)) OVER (ORDER BY rank DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS adj FROM r)
-SELECT hypothesis, CAST(p AS DOUBLE) AS p, rank, m, round(CAST(adj AS DOUBLE), 6) AS adjusted, adj <= 0.05 AS rejected FROM a""")
+@query("""WITH p AS (SELECT s_suppkey AS hypothesis, s_nationkey AS family, CASE WHEN s_suppkey % 11 <> 0 THEN abs(s_acctbal) / 100000.0 END AS p FROM supplier),
+k AS (SELECT * FROM p WHERE p IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, hypothesis) AS rank, count(*) OVER (PARTITION BY family) AS m FROM k),
+a AS (SELECT *, min(least(p * m / rank, 1.0)) OVER (PARTITION BY family ORDER BY rank DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS adj FROM r)
+SELECT hypothesis, family, p, rank, m, round(adj, 6) AS adjusted, adj <= 0.05 AS rejected FROM a""")
 def bh_fdr(spark: SparkSession, sf: str) -> DataFrame:
-    p = spark.createDataFrame([("h1", 0.001), ("h2", 0.04), ("h3", 0.9), ("h4", 0.012), ("h5", None)], "hypothesis string, p double")
-    return gates.benjamini_hochberg(p).select("hypothesis", "p", F.col("rank").cast("long").alias("rank"), "m", "adjusted", "rejected")
+    """A p-value for each supplier, adjusted within its nation; some are unknown."""
+    k = F.col("s_suppkey")
+    p = m.t(spark, sf, "supplier").select(k.alias("hypothesis"), F.col("s_nationkey").alias("family"), F.when(k % 11 != 0, F.abs("s_acctbal") / 100000.0).alias("p"))
+    got = gates.benjamini_hochberg(p, family=("family",))
+    return got.select("hypothesis", "family", "p", F.col("rank").cast("long").alias("rank"), "m", "adjusted", "rejected")
 
 
 _DID = m.SQL_CELLS + f""", p AS (SELECT cell, product_line, month, units_sold AS y, region = '{m.TREATED}' AS treated, month >= DATE '{m.T0}' AS post FROM cells WHERE month BETWEEN DATE '{m.PANEL[0]}' AND DATE '{m.PANEL[1]}')"""

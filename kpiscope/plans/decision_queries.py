@@ -50,10 +50,14 @@ def impact_tier(spark: SparkSession, sf: str) -> DataFrame:
     return m.t(spark, sf, "orders").groupBy(d.impact_tier(ratio).alias("impact_tier")).agg(F.count("*").alias("n"))
 
 
-_PRI = ", ".join(f"('{s}', '{i}', '{p}', '{d.ACTION.get((s, p), d.FALLBACK_ACTION)}')" for s, ps in d.PRIORITY.items() for i, p in zip(d.IMPACT_TIERS, ps))
+#: The matrices as SQL of their own, so that a wrong table in the code shows.
+_PRI = """SELECT s.i AS si, m.i AS mi, ['STRONG', 'MODERATE', 'WEAK', 'NONE'][s.i] AS statistical_tier, ['NEGLIGIBLE', 'LOW', 'MODERATE', 'HIGH', 'VERY_HIGH'][m.i] AS impact_tier,
+ [['LOW', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], ['LOW', 'LOW', 'MEDIUM', 'HIGH', 'HIGH'], ['NONE', 'LOW', 'LOW', 'MEDIUM', 'HIGH'], ['NONE', 'NONE', 'LOW', 'MEDIUM', 'MEDIUM']][s.i][m.i] AS priority FROM range(1, 5) s(i), range(1, 6) m(i)"""
+_ACT = """CASE WHEN statistical_tier = 'STRONG' AND priority IN ('CRITICAL', 'HIGH', 'MEDIUM') THEN 'REMEDIATE' WHEN statistical_tier = 'MODERATE' AND priority = 'HIGH' THEN 'REMEDIATE_WITH_MONITORING'
+ WHEN statistical_tier = 'WEAK' AND priority IN ('HIGH', 'MEDIUM') THEN 'INVESTIGATE' WHEN statistical_tier = 'NONE' AND priority = 'MEDIUM' THEN 'INVESTIGATE' ELSE 'MONITOR' END"""
 
 
-@query(f"""WITH x(statistical_tier, impact_tier, priority, action) AS (VALUES {_PRI}),
+@query(f"""WITH y AS ({_PRI}), x AS (SELECT statistical_tier, impact_tier, priority, {_ACT} AS action FROM y),
 h AS (SELECT s_suppkey AS hypothesis, ['STRONG', 'MODERATE', 'WEAK', 'NONE'][s_suppkey % 4 + 1] AS statistical_tier, ['NEGLIGIBLE', 'LOW', 'MODERATE', 'HIGH', 'VERY_HIGH'][s_suppkey % 5 + 1] AS impact_tier FROM supplier)
 SELECT hypothesis, statistical_tier, impact_tier, priority, action FROM h LEFT JOIN x USING (statistical_tier, impact_tier)""")
 def priority_matrix(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,40 +66,80 @@ def priority_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return d.prioritise(h).select("hypothesis", "statistical_tier", "impact_tier", "priority", "action")
 
 
-def _hypotheses(spark: SparkSession) -> DataFrame:
-    rows = [("h1", "on_time_dispatch_rate", "SUPPORTED_BY_DESIGN", "REMEDIATE"), ("h2", "competitor_promo", "NOT_POINT_IDENTIFIED", "INVESTIGATE"), ("h3", "marketing_spend", "ASSOCIATION_ONLY", "MONITOR")]
-    return spark.createDataFrame(rows, "hypothesis string, driver string, status string, action string")
+_DRIVERS = ("on_time_dispatch_rate", "competitor_promo", "marketing_spend", "complaint_rate", "avg_selling_price")
+_ACTIONS = ("REMEDIATE", "REMEDIATE_WITH_MONITORING", "INVESTIGATE", "MONITOR", "NO_ACTION", "OTHER")
 
 
-_BOOKS = ", ".join(f"('{b[0]}', '{b[1]}', '{b[2]}', {b[4]}, {b[5]}, {b[6]}, {b[7]}, {b[8]}, {b[9]}, '{b[10]}', {str('cfo' in b[3]).lower()})" for b in d.PLAYBOOKS)
-_RANK = "CASE {} WHEN 'MONITOR' THEN 0 WHEN 'INVESTIGATE' THEN 1 ELSE 2 END"
-_SCORED = f"""WITH b(playbook_id, targets_driver, action_type, impact, dc, ef, oc, irr, dn, resource, cfo) AS (VALUES {_BOOKS}),
-h(hypothesis, driver, status, action) AS (VALUES ('h1', 'on_time_dispatch_rate', 'SUPPORTED_BY_DESIGN', 'REMEDIATE'), ('h2', 'competitor_promo', 'NOT_POINT_IDENTIFIED', 'INVESTIGATE'), ('h3', 'marketing_spend', 'ASSOCIATION_ONLY', 'MONITOR')),
-j AS (SELECT *, round(CAST(least(impact, CASE status WHEN 'SUPPORTED_BY_DESIGN' THEN 0.85 WHEN 'NOT_POINT_IDENTIFIED' THEN 0.45 WHEN 'ASSOCIATION_ONLY' THEN 0.25 END) AS DOUBLE) - CAST(dc + ef + oc AS DOUBLE) / 3 - CAST(irr * dn AS DOUBLE), 4) AS score
- FROM h JOIN b ON targets_driver = driver OR targets_driver = '*' WHERE cfo AND {_RANK.format("action_type")} <= {_RANK.format("action")}),
-r AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, hypothesis, playbook_id) AS INTEGER) AS rank FROM j)"""
+def _hypotheses(spark: SparkSession, sf: str) -> DataFrame:
+    """One hypothesis for each supplier, over all drivers, statuses and actions."""
+    def pick(values, k):
+        return F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
 
-
-@query(_SCORED + " SELECT hypothesis, playbook_id, score, rank FROM r WHERE rank <= 3")
+    k = F.col("s_suppkey")
+    statuses = [*d.IDENTIFICATION_SCORE, "UNKNOWN"]
+    return m.t(spark, sf, "supplier").select(
+        F.format_string("h%06d", k).alias("hypothesis"), pick(_DRIVERS, k % 5).alias("driver"), pick(statuses, F.floor(k / 5) % 6).alias("status"), pick(_ACTIONS, F.floor(k / 2) % 6).alias("action"),
+    )
+
+
+_SCORED = """WITH b(playbook_id, driver, kind, impact, dc, ef, oc, irr, dn, resource, cfo) AS (VALUES
+ ('PB-OPS-001', 'on_time_dispatch_rate', 'REMEDIATE', 0.72, 0.45, 0.30, 0.20, 0.15, 0.20, 'logistics_spend', true), ('PB-OPS-002', 'on_time_dispatch_rate', 'REMEDIATE', 0.34, 0.05, 0.20, 0.10, 0.05, 0.10, 'warehouse_labour', false),
+ ('PB-CX-001', 'complaint_rate', 'REMEDIATE', 0.28, 0.12, 0.25, 0.10, 0.05, 0.15, 'cx_capacity', true), ('PB-COM-001', 'competitor_promo', 'INVESTIGATE', 0.55, 0.18, 0.15, 0.05, 0.02, 0.05, 'insights_budget', true),
+ ('PB-MKT-001', 'marketing_spend', 'INVESTIGATE', 0.40, 0.10, 0.35, 0.05, 0.05, 0.05, 'data_platform', true), ('PB-MKT-002', 'marketing_spend', 'INVESTIGATE', 0.32, 0.08, 0.30, 0.05, 0.05, 0.05, 'data_platform', true),
+ ('PB-PRC-001', 'avg_selling_price', 'INVESTIGATE', 0.38, 0.05, 0.20, 0.15, 0.10, 0.25, 'pricing_policy', true), ('PB-GOV-001', '*', 'MONITOR', 0.15, 0.01, 0.05, 0.02, 0.00, 0.02, 'analyst_time', true),
+ ('PB-GOV-002', '*', 'MONITOR', 0.12, 0.01, 0.05, 0.02, 0.00, 0.02, 'analyst_time', true)),
+h AS (SELECT printf('h%06d', s_suppkey) AS hypothesis, ['on_time_dispatch_rate', 'competitor_promo', 'marketing_spend', 'complaint_rate', 'avg_selling_price'][s_suppkey % 5 + 1] AS driver,
+ ['SUPPORTED_BY_INTERVENTION', 'SUPPORTED_BY_DESIGN', 'NOT_POINT_IDENTIFIED', 'ASSOCIATION_ONLY', 'INSUFFICIENT_EVIDENCE', 'UNKNOWN'][s_suppkey // 5 % 6 + 1] AS status,
+ ['REMEDIATE', 'REMEDIATE_WITH_MONITORING', 'INVESTIGATE', 'MONITOR', 'NO_ACTION', 'OTHER'][s_suppkey // 2 % 6 + 1] AS action FROM supplier),
+a(action, kind) AS (VALUES ('REMEDIATE', 'REMEDIATE'), ('REMEDIATE_WITH_MONITORING', 'REMEDIATE'), ('REMEDIATE_WITH_MONITORING', 'MONITOR'), ('INVESTIGATE', 'INVESTIGATE'), ('INVESTIGATE', 'MONITOR'), ('MONITOR', 'MONITOR'), ('OTHER', 'MONITOR')),
+j AS (SELECT hypothesis, playbook_id, resource, CASE WHEN irr < 0.1 THEN 'HIGH' WHEN irr < 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS reversibility,
+ round(CAST(least(impact, CASE status WHEN 'SUPPORTED_BY_INTERVENTION' THEN 0.90 WHEN 'SUPPORTED_BY_DESIGN' THEN 0.85 WHEN 'NOT_POINT_IDENTIFIED' THEN 0.45 WHEN 'ASSOCIATION_ONLY' THEN 0.25 ELSE 0.15 END) AS DOUBLE) - CAST(dc + ef + oc AS DOUBLE) / 3 - CAST(irr * dn AS DOUBLE), 4) AS score
+ FROM h JOIN a USING (action) JOIN b ON b.kind = a.kind AND (b.driver = h.driver OR b.driver = '*') WHERE cfo)"""
+
+
+@query(_SCORED + " SELECT hypothesis, playbook_id, score, reversibility FROM j")
 def playbook_score(spark: SparkSession, sf: str) -> DataFrame:
-    return d.recommend(_hypotheses(spark), d.playbooks(spark), "cfo").select("hypothesis", "playbook_id", "score", "rank")
+    return d.scored(_hypotheses(spark, sf), d.playbooks(spark), "cfo").select("hypothesis", "playbook_id", "score", "reversibility")
+
 
+@query(_SCORED + """, r AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, hypothesis, playbook_id) AS INTEGER) AS rank FROM j)
+SELECT x.hypothesis, x.playbook_id, x.score, x.rank, coalesce((SELECT string_agg(DISTINCT y.playbook_id, ',') FROM r y WHERE y.rank <= 3 AND y.resource = x.resource AND y.playbook_id <> x.playbook_id), '') AS conflicts_with FROM r x WHERE x.rank <= 3""")
+def recommendation_top(spark: SparkSession, sf: str) -> DataFrame:
+    got = d.recommend(_hypotheses(spark, sf), d.playbooks(spark), "cfo")
+    return got.select("hypothesis", "playbook_id", "score", "rank", F.array_join("conflicts_with", ",").alias("conflicts_with"))
 
-@query("""SELECT s_suppkey, array_to_string(list_sort(list_filter(list(CAST(s_suppkey AS VARCHAR)) OVER (PARTITION BY s_nationkey), lambda x: x <> CAST(s_suppkey AS VARCHAR))), ',') AS conflicts_with FROM supplier""")
+
+@query("SELECT s_suppkey, CAST(s_nationkey AS VARCHAR) AS resource, count(*) OVER (PARTITION BY s_nationkey) - 1 AS n_conflicts, count(*) OVER (PARTITION BY s_nationkey) > 1 AS conflict FROM supplier")
 def conflict_flags(spark: SparkSession, sf: str) -> DataFrame:
-    s = m.t(spark, sf, "supplier").select("s_suppkey", F.col("s_suppkey").cast("string").alias("id"), F.col("s_nationkey").cast("string").alias("resource"))
-    return d.conflicts(s, "id", "resource").select("s_suppkey", F.array_join("conflicts_with", ",").alias("conflicts_with"))
+    s = m.t(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("resource"))
+    return d.conflict_counts(s, "resource").select("s_suppkey", "resource", "n_conflicts", "conflict")
+
+
+@query("""WITH h AS (SELECT o_orderkey, ['SUPPORTED_BY_INTERVENTION', 'SUPPORTED_BY_DESIGN', 'NOT_POINT_IDENTIFIED', 'ASSOCIATION_ONLY', 'INSUFFICIENT_EVIDENCE'][o_orderkey % 5 + 1] AS status, (o_orderkey % 13) / 100.0 AS p, o_orderkey % 3 AS failures FROM orders)
+SELECT status, CASE WHEN status = 'SUPPORTED_BY_INTERVENTION' THEN 'STRONG' WHEN status = 'INSUFFICIENT_EVIDENCE' THEN 'NONE' WHEN status = 'SUPPORTED_BY_DESIGN' AND p < 0.05 AND failures = 0 THEN 'STRONG'
+ WHEN status = 'SUPPORTED_BY_DESIGN' AND p < 0.10 AND failures <= 1 THEN 'MODERATE' ELSE 'WEAK' END AS tier, count(*) AS n FROM h GROUP BY ALL""")
+def statistical_tier(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    status = F.element_at(F.array(*map(F.lit, d.IDENTIFICATION_SCORE)), (k % 5 + 1).cast("int"))
+    h = m.t(spark, sf, "orders").select(status.alias("status"), ((k % 13) / 100.0).alias("p"), (k % 3).alias("failures"))
+    return h.groupBy("status", d.statistical_tier(F.col("status"), F.col("p"), F.col("failures")).alias("tier")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, c_mktsegment AS classification, CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'MACHINERY') THEN '[REDACTED]' ELSE c_name END AS value FROM customer")
+def pii_redaction(spark: SparkSession, sf: str) -> DataFrame:
+    ev = m.t(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("classification"), F.col("c_name").alias("value"))
+    return d.redact_evidence(ev, "value", "classification", ("AUTOMOBILE", "MACHINERY"))
 
 
 _EV = """e AS (SELECT event_id AS evidence_id, CASE event_type WHEN 'purchase' THEN 'SUPPORT' WHEN 'error' THEN 'CONTRADICT' WHEN 'signup' THEN 'GAP' ELSE 'CONTEXT' END AS stance, value AS weight,
- CASE WHEN event_id % 4 = 0 THEN [] WHEN event_id % 4 = 1 THEN ['h1'] ELSE ['h2', 'h3'] END AS hypotheses, event_type AS source FROM events WHERE event_id < 3000)"""
+ CASE WHEN event_id % 4 = 0 THEN [] WHEN event_id % 4 = 1 THEN ['h1'] ELSE ['h2', 'h3'] END AS hypotheses, event_type AS source FROM events)"""
 
 
 def _evidence(spark: SparkSession, sf: str) -> DataFrame:
     kind, k = F.col("event_type"), F.col("event_id") % 4
     stance = F.when(kind == "purchase", "SUPPORT").when(kind == "error", "CONTRADICT").when(kind == "signup", "GAP").otherwise("CONTEXT")
     hyp = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(F.lit("h1"))).otherwise(F.array(F.lit("h2"), F.lit("h3")))
-    return m.t(spark, sf, "events").where("event_id < 3000").select(F.col("event_id").alias("evidence_id"), stance.alias("stance"), F.col("value").alias("weight"), hyp.alias("hypotheses"), kind.alias("source"))
+    return m.t(spark, sf, "events").select(F.col("event_id").alias("evidence_id"), stance.alias("stance"), F.col("value").alias("weight"), hyp.alias("hypotheses"), kind.alias("source"))
 
 
 @query(f"""WITH {_EV}, x AS (SELECT *, row_number() OVER (PARTITION BY stance ORDER BY weight DESC, evidence_id) AS n FROM e WHERE list_contains(hypotheses, 'h1') OR len(hypotheses) = 0)
@@ -116,12 +160,14 @@ def telemetry_summary(spark: SparkSession, sf: str) -> DataFrame:
     return latency_summary(m.t(spark, sf, "events").select(F.col("event_type").alias("layer"), F.col("value").alias("ms")), "layer")
 
 
-@query("""SELECT 'HIGH' AS severity""")
+@query("""WITH c AS (SELECT s_nationkey AS nation, max(CASE WHEN s_acctbal < 0 THEN 3 WHEN s_acctbal < 2000 THEN 2 ELSE 1 END) AS top FROM supplier GROUP BY 1) SELECT nation, ['LOW', 'MEDIUM', 'HIGH'][top] AS severity FROM c""")
 def severity_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """The worst severity of each nation's suppliers."""
     from kpiscope.operators.quality import worst_severity
 
-    seen = m.t(spark, sf, "region").select(F.element_at(F.array(F.lit("LOW"), F.lit("HIGH"), F.lit("MEDIUM")), (F.col("r_regionkey") % 3 + 1).cast("int")).alias("severity"))
-    return worst_severity(seen)
+    b = F.col("s_acctbal")
+    seen = m.t(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), F.when(b < 0, "HIGH").when(b < 2000, "MEDIUM").otherwise("LOW").alias("severity"))
+    return worst_severity(seen, ("nation",))
 
 
 @query("""SELECT event_type AS layer, round(sum(CAST(value AS DECIMAL(18,2)))::DOUBLE, 2) AS ms, round(100 * sum(CAST(value AS DECIMAL(18,2)))::DOUBLE / (SELECT sum(CAST(value AS DECIMAL(18,2)))::DOUBLE FROM events), 4) AS pct FROM events GROUP BY 1""")

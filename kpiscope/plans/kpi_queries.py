@@ -48,8 +48,8 @@ def fiscal_period_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {m.SQL_FACTS} SELECT month, region, product_line, CAST(sum(gross_sales) - sum(refunds) - sum(discounts) AS DOUBLE) AS net_revenue FROM facts GROUP BY ALL", dates="month")
 def net_revenue_by_grain(spark: SparkSession, sf: str) -> DataFrame:
-    got = m.facts(spark, sf).groupBy("month", "region", "product_line").agg(*[F.sum(c).alias(c) for c in ("gross_sales", "refunds", "discounts")])
-    return got.select("month", "region", "product_line", (F.col("gross_sales") - F.col("refunds") - F.col("discounts")).cast("double").alias("net_revenue"))
+    got = metrics.kpi_series(m.facts(spark, sf), m.KPIS["net_revenue"], ("region", "product_line"), date="month")
+    return got.select("month", "region", "product_line", F.col("value").cast("double").alias("net_revenue"))
 
 
 @query(f"WITH {m.SQL_FACTS} SELECT region, CAST(sum(gross_sales) AS DOUBLE) AS gross, CAST(sum(net_revenue) AS DOUBLE) AS net, round(100 * CAST(sum(net_revenue) AS DOUBLE) / CAST(sum(gross_sales) AS DOUBLE), 4) AS net_pct FROM facts GROUP BY region")
@@ -70,13 +70,15 @@ SELECT CAST(sum(CASE WHEN date BETWEEN {_B} THEN v END) AS DOUBLE) AS base_total
  round(CAST(sum(CASE WHEN date BETWEEN {_B} THEN v END) AS DOUBLE) / count(CASE WHEN date BETWEEN {_B} THEN 1 END), 4) AS base_daily,
  round(CAST(sum(CASE WHEN date BETWEEN {_F} THEN v END) AS DOUBLE) / count(CASE WHEN date BETWEEN {_F} THEN 1 END), 4) AS focus_daily FROM d""")
 def kpi_window_flow(spark: SparkSession, sf: str) -> DataFrame:
-    d = m.lines(spark, sf).groupBy("date").agg((F.sum("gross_sales") - F.sum("refunds") - F.sum("discounts")).alias("v"))
-    b, f = (F.col("date").between(*map(F.lit, w)) for w in (m.BASE, m.FOCUS))
-
-    def total(w):
-        return F.sum(F.when(w, F.col("v"))).cast("double")
-
-    return d.agg(total(b).alias("base_total"), total(f).alias("focus_total"), F.round(total(b) / F.count_if(b), 4).alias("base_daily"), F.round(total(f) / F.count_if(f), 4).alias("focus_daily"))
+    kpi = m.KPIS["net_revenue"]
+    series = metrics.kpi_series(m.lines(spark, sf), kpi)
+    out = None
+    for name, window in (("base", m.BASE), ("focus", m.FOCUS)):
+        total = metrics.window_value(series, kpi, *window).select(F.col("value").cast("double").alias(f"{name}_total"))
+        mean = metrics.daily_mean(series, *window).select(F.round(F.col("value").cast("double"), 4).alias(f"{name}_daily"))
+        both = total.join(F.broadcast(mean), how="cross")  # one row each
+        out = both if out is None else out.join(F.broadcast(both), how="cross")
+    return out
 
 
 @query(f"""WITH {m.SQL_EVENTS}, d AS (SELECT date, sum(value) AS v FROM ev WHERE event_type = 'purchase' GROUP BY date), r AS (SELECT date, sum(v) OVER (ORDER BY date) AS level FROM d)
@@ -94,9 +96,9 @@ def kpi_window_stock(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {m.SQL_LINES} SELECT round(CAST(sum(gross_sales) - sum(refunds) - sum(discounts) AS DOUBLE) / CAST(sum(units_shipped) - sum(units_returned) AS DOUBLE), 6) AS value FROM lines WHERE date BETWEEN {_F}")
 def kpi_window_ratio(spark: SparkSession, sf: str) -> DataFrame:
     li = m.lines(spark, sf).withColumns({"net_revenue": (F.col("gross_sales") - F.col("refunds") - F.col("discounts")).cast("decimal(20,4)"), "units_sold": (F.col("units_shipped") - F.col("units_returned")).cast("decimal(13,2)")})
-    series = li.groupBy("date").agg(F.sum("net_revenue").alias("net_revenue"), F.sum("units_sold").alias("units_sold"))
-    sums = series.where(F.col("date").between(*map(F.lit, m.FOCUS))).agg(F.sum("net_revenue").cast("double").alias("net_revenue"), F.sum("units_sold").cast("double").alias("units_sold"))
-    return sums.select(F.round(metrics.compile_formula(m.KPIS["avg_selling_price"].formula, sums.columns), 6).alias("value"))
+    kpi = m.KPIS["avg_selling_price"]
+    series = metrics.kpi_series(li, kpi).select("date", *[F.col(c).cast("double").alias(c) for c in kpi.columns])
+    return metrics.window_value(series, kpi, *m.FOCUS).select(F.round("value", 6).alias("value"))
 
 
 @query(f"WITH {m.SQL_FACTS} SELECT month, region, CAST(sum(net_revenue) AS DOUBLE) AS value FROM facts WHERE region IN ('ASIA') GROUP BY month, region", dates="month")
@@ -144,17 +146,17 @@ def pvm_cells(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("region", "product_line", *[F.round(c, 3).alias(c) for c in ("contribution", "volume_pct", "mix", "price")], "rank")
 
 
-_ENTRY = _CELLS.replace("region, product_line", "warehouse").replace(m.SQL_FACTS, m.SQL_LINES + ", facts AS (SELECT date, l_suppkey AS warehouse, gross_sales AS net_revenue, units_shipped AS units_sold FROM lines WHERE l_returnflag = 'R' AND date BETWEEN DATE '1996-12-25' AND DATE '1997-01-07')")
+_ENTRY = _CELLS.replace("region, product_line", "part").replace(m.SQL_FACTS, m.SQL_LINES + ", facts AS (SELECT date, l_partkey AS part, gross_sales AS net_revenue, units_shipped AS units_sold FROM lines)")
 
 
 @query(_ENTRY + """ SELECT count(CASE WHEN q0 <= 0 AND q1 > 0 THEN 1 END) AS n_entry, count(CASE WHEN q1 <= 0 AND q0 > 0 THEN 1 END) AS n_exit,
- round(coalesce(sum(CASE WHEN q0 <= 0 AND q1 > 0 THEN v1 END), 0), 4) AS entry, round(-coalesce(sum(CASE WHEN q1 <= 0 AND q0 > 0 THEN v0 END), 0), 4) AS exit FROM c""")
+ round(coalesce(sum(CASE WHEN q0 <= 0 AND q1 > 0 THEN v1 END), 0), 3) AS entry, round(-coalesce(sum(CASE WHEN q1 <= 0 AND q0 > 0 THEN v0 END), 0), 3) AS exit FROM c""")
 def pvm_entry_exit(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("date")
-    src = m.lines(spark, sf).where((F.col("l_returnflag") == "R") & d.between(F.lit(dt.date(1996, 12, 25)), F.lit(dt.date(1997, 1, 7)))).withColumnRenamed("l_suppkey", "warehouse")
-    cells = decompose.cell_averages(src, ["warehouse"], F.col("gross_sales"), F.col("units_shipped"), d.between(*map(F.lit, m.BASE)), d.between(*map(F.lit, m.FOCUS)))
+    src = m.lines(spark, sf).withColumnRenamed("l_partkey", "part")
+    cells = decompose.cell_averages(src, ["part"], F.col("gross_sales"), F.col("units_shipped"), d.between(*map(F.lit, m.BASE)), d.between(*map(F.lit, m.FOCUS)))
     new, gone = (F.col("q0") <= 0) & (F.col("q1") > 0), (F.col("q1") <= 0) & (F.col("q0") > 0)
-    return decompose.pvm_terms(cells).select(F.round("entry", 4).alias("entry"), F.round("exit", 4).alias("exit")).join(cells.agg(F.count_if(new).alias("n_entry"), F.count_if(gone).alias("n_exit")), how="cross")
+    return decompose.pvm_terms(cells).select(F.round("entry", 3).alias("entry"), F.round("exit", 3).alias("exit")).join(cells.agg(F.count_if(new).alias("n_entry"), F.count_if(gone).alias("n_exit")), how="cross")
 
 
 @query(f"""WITH {m.SQL_FACTS}, d AS (SELECT region, date, sum(net_revenue) AS v FROM facts GROUP BY region, date), w AS (SELECT region, CAST(sum(CASE WHEN date BETWEEN {_B} THEN v END) AS DOUBLE) / count(CASE WHEN date BETWEEN {_B} THEN 1 END) AS base,
@@ -172,33 +174,58 @@ def baseline_vs_focus(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("region", F.round("base", 4).alias("base"), F.round("focus", 4).alias("focus"), F.round(pct, 4).alias("pct"), scalars.crosses(pct, 3.0, "both").alias("alert"))
 
 
-@query(f"""WITH {m.SQL_FACTS}, l AS (SELECT product_line, CAST(sum(net_revenue) AS DOUBLE) / count(DISTINCT date) AS per_day, min(date) AS first_date, max(date) AS last_date FROM facts WHERE date BETWEEN {_F} GROUP BY product_line)
-SELECT a.product_line AS new_line, b.product_line AS mature_line, round(a.per_day / b.per_day, 6) AS ratio, a.first_date, a.last_date FROM l a JOIN l b ON a.product_line = 'PROMO' OR a.product_line <> b.product_line
+@query(f"""WITH {m.SQL_FACTS}, l AS (SELECT product_line, sum(v) / count(*) AS per_day, min(date) AS first_date, max(date) AS last_date, arg_min(v, date) AS first_value, arg_max(v, date) AS last_value FROM (SELECT product_line, date, CAST(sum(net_revenue) AS DOUBLE) AS v FROM facts WHERE date BETWEEN {_F} GROUP BY 1, 2) GROUP BY product_line)
+SELECT a.product_line AS new_line, b.product_line AS mature_line, round(a.per_day / b.per_day, 6) AS ratio, a.first_date, a.last_date, round(b.first_value, 4) AS mature_first, round(b.last_value, 4) AS mature_last FROM l a JOIN l b ON a.product_line = 'PROMO' OR a.product_line <> b.product_line
 WHERE a.product_line = (SELECT min(product_line) FROM l) AND a.product_line <> b.product_line""", dates="first_date last_date")
 def cohort_benchmark(spark: SparkSession, sf: str) -> DataFrame:
     """A line's revenue a day against every other line over the same dates."""
     f = m.facts(spark, sf).where(F.col("date").between(*map(F.lit, m.FOCUS)))
-    by = f.groupBy("product_line").agg((F.sum("net_revenue").cast("double") / F.count_distinct("date")).alias("per_day"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    days = f.groupBy("product_line", "date").agg(F.sum("net_revenue").cast("double").alias("v"))
+    by = days.groupBy("product_line").agg((F.sum("v") / F.count("*")).alias("per_day"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.min_by("v", "date").alias("first_value"), F.max_by("v", "date").alias("last_value"))
     new = by.orderBy("product_line").limit(1).select(F.col("product_line").alias("new_line"), F.col("per_day").alias("new_day"), "first_date", "last_date")
-    return by.drop("first_date", "last_date").join(F.broadcast(new), F.col("product_line") != F.col("new_line")).select("new_line", F.col("product_line").alias("mature_line"), F.round(F.col("new_day") / F.col("per_day"), 6).alias("ratio"), "first_date", "last_date")
+    return by.drop("first_date", "last_date").join(F.broadcast(new), F.col("product_line") != F.col("new_line")).select("new_line", F.col("product_line").alias("mature_line"), F.round(F.col("new_day") / F.col("per_day"), 6).alias("ratio"), "first_date", "last_date", F.round("first_value", 4).alias("mature_first"), F.round("last_value", 4).alias("mature_last"))
 
 
-@query(f"""WITH {m.SQL_LINES}, p AS (SELECT region, CAST(v AS DOUBLE) AS v FROM (VALUES ('a', 123.4), ('b', 250000.0), ('c', 98765432.1), ('d', -1500000.0)) x(region, v))
-SELECT region, CASE WHEN abs(v) >= 1e7 THEN printf('%.2f', v / 1e7) || ' crore' WHEN abs(v) >= 1e5 THEN printf('%.2f', v / 1e5) || ' lakh' ELSE format('{{:,}}', CAST(round(v) AS BIGINT)) END AS shown,
- substr(sha256(region || '|' || 'kpi'), 1, 8) AS id, 2 AS n_numbers, greatest(1, CAST(floor(length('moved -1,234.5 to 17 units') / 4.0) AS INTEGER)) AS tokens, true AS has_phrase FROM p""")
+@query("""WITH p AS (SELECT c_custkey, c_acctbal * c_custkey AS v, c_mktsegment || ' moved -' || CAST(c_custkey AS VARCHAR) || '.5 to ' || format('{:,}', c_custkey * 1000) || ' units by ' || c_name AS t FROM customer),
+x AS (SELECT *, list_transform(regexp_extract_all(t, '[-+]?[0-9][0-9,]*([.][0-9]+)?', 0), lambda n: CAST(replace(n, ',', '') AS DOUBLE)) AS ns FROM p)
+SELECT c_custkey, CASE WHEN abs(v) >= 1e7 THEN printf('%.2f', v / 1e7) || ' crore' WHEN abs(v) >= 1e5 THEN printf('%.2f', v / 1e5) || ' lakh' ELSE format('{:,}', CAST(round_even(v, 0) AS BIGINT)) END AS shown,
+ substr(sha256(c_custkey || '|kpi'), 1, 8) AS id, CAST(len(ns) AS INTEGER) AS n_numbers, list_sum(ns) AS sum_numbers, greatest(1, CAST(floor(length(t) / 4.0) AS INTEGER)) AS tokens,
+ contains(lower(t), 'building moved') AS has_phrase, date_diff('day', DATE '1995-01-01' + CAST(c_custkey % 2500 AS INTEGER), DATE '2001-08-01') AS history_days,
+ date_diff('day', DATE '1995-01-01' + CAST(c_custkey % 2500 AS INTEGER), DATE '2001-08-01') < 60 AS newly FROM x""")
 def scalar_functions(spark: SparkSession, sf: str) -> DataFrame:
-    """Money, ids, numbers in text, token estimates and phrases."""
-    p = spark.createDataFrame([("a", 123.4), ("b", 250000.0), ("c", 98765432.1), ("d", -1500000.0)], "region string, v double")
-    text = F.lit("moved -1,234.5 to 17 units")
-    return p.select("region", scalars.money(F.col("v")).alias("shown"), scalars.hash_id(8, F.col("region"), F.lit("kpi")).alias("id"), F.size(scalars.numbers_in(text)).alias("n_numbers"), scalars.token_estimate(text).alias("tokens"), scalars.has_phrase(text, "17 Units").alias("has_phrase"))
-
-
-@query(f"""WITH {m.SQL_FACTS}, s AS (SELECT CAST(sum(net_revenue) AS DOUBLE) / count(DISTINCT date) AS per_day, CAST(sum(net_revenue) AS DOUBLE) / CAST(sum(units_sold) AS DOUBLE) AS price FROM facts WHERE region = 'ASIA' AND product_line = 'PROMO' AND date BETWEEN {_B})
-SELECT round(per_day, 4) AS per_day, round(price, 4) AS price, round(-2.5 * 6 * price, 3) AS did_exposure FROM s""")
+    """Money, ids, numbers in text, token estimates, phrases and history, for every customer."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    text = F.concat(F.col("c_mktsegment"), F.lit(" moved -"), k.cast("string"), F.lit(".5 to "), F.format_number(k * 1000, 0), F.lit(" units by "), name)
+    launch, as_of = F.date_add(F.lit(dt.date(1995, 1, 1)), (k % 2500).cast("int")), F.lit(dt.date(2001, 8, 1))
+    numbers = scalars.numbers_in(F.col("t"))
+    return m.t(spark, sf, "customer").withColumn("t", text).select(
+        "c_custkey", scalars.money(F.col("c_acctbal") * k).alias("shown"), scalars.hash_id(8, k.cast("string"), F.lit("kpi")).alias("id"), F.size(numbers).alias("n_numbers"),
+        F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x).alias("sum_numbers"), scalars.token_estimate(F.col("t")).alias("tokens"), scalars.has_phrase(F.col("t"), "building Moved").alias("has_phrase"),
+        scalars.history_days(as_of, launch).cast("long").alias("history_days"), scalars.newly_launched(as_of, launch).alias("newly"),
+    )
+
+
+@query("SELECT c_custkey, c_nationkey, c_mktsegment, 'c_acctbal,c_name' AS denied FROM customer")
+def column_redaction(spark: SparkSession, sf: str) -> DataFrame:
+    got, gone = scalars.drop_denied(m.t(spark, sf, "customer"), ("c_name", "c_acctbal", "not_there"))
+    return got.withColumn("denied", F.lit(",".join(sorted(gone))))
+
+
+@query(f"""WITH {m.SQL_CELLS}, p AS (SELECT cell, units_sold AS y, region = '{m.TREATED}' AS treated, month >= DATE '{m.T0}' AS post FROM cells WHERE month BETWEEN DATE '{m.PANEL[0]}' AND DATE '{m.PANEL[1]}'),
+a AS (SELECT (avg(CASE WHEN treated AND post THEN y END) - avg(CASE WHEN treated AND NOT post THEN y END)) - (avg(CASE WHEN NOT treated AND post THEN y END) - avg(CASE WHEN NOT treated AND NOT post THEN y END)) AS att, count(DISTINCT CASE WHEN treated THEN cell END) AS n_cells FROM p),
+s AS (SELECT CAST(sum(net_revenue) AS DOUBLE) / count(DISTINCT date) AS per_day, CAST(sum(net_revenue) AS DOUBLE) / CAST(sum(units_sold) AS DOUBLE) AS price FROM facts WHERE region = '{m.TREATED}' AND date BETWEEN {_B}),
+f AS (SELECT CAST(sum(net_revenue) AS DOUBLE) / count(DISTINCT date) AS focus_day FROM facts WHERE region = '{m.TREATED}' AND date BETWEEN {_F})
+SELECT round(per_day, 3) AS per_day, round(price, 4) AS price, n_cells, round(att * n_cells * price, 1) AS did_exposure, round(focus_day - per_day, 3) AS delta_exposure FROM a, s, f""")
 def segment_exposure(spark: SparkSession, sf: str) -> DataFrame:
-    """A segment's revenue a day and price before, and the exposure of an assumed effect."""
-    f, seg = m.facts(spark, sf), (F.col("region") == "ASIA") & (F.col("product_line") == "PROMO")
-    day = metrics.segment_revenue_per_day(f, seg, *m.BASE)
-    price = metrics.baseline_price(f, seg, *m.BASE)
-    got = day.join(F.broadcast(price), how="cross")
-    return got.select(F.round("per_day", 4).alias("per_day"), F.round("price", 4).alias("price"), F.round(-2.5 * 6 * F.col("price"), 3).alias("did_exposure"))
+    """The treated region's revenue a day and price before, and what is at stake by two rules."""
+    from kpiscope.operators.estimate import did_2x2
+    from kpiscope.plans.causal_queries import did_panel
+
+    f, seg = m.facts(spark, sf), F.col("region") == m.TREATED
+    panel = did_panel(spark, sf)
+    effect = did_2x2(panel, "y").first()["att"]
+    cells = panel.where("treated").select("cell").distinct().count()
+    before, after = (metrics.segment_revenue_per_day(f, seg, *w).first()["per_day"] for w in (m.BASE, m.FOCUS))
+    price = metrics.baseline_price(f, seg, *m.BASE).first()["price"]
+    row = (round(before, 3), round(price, 4), cells, round(metrics.exposure("DID", effect=effect, cells=cells, price=price), 1), round(metrics.exposure("DELTA", before=before, after=after), 3))
+    return spark.createDataFrame([row], "per_day double, price double, n_cells long, did_exposure double, delta_exposure double")

@@ -154,7 +154,7 @@ def promo_range_join(spark: SparkSession, sf: str) -> DataFrame:
     return j.groupBy(F.coalesce("promo", F.lit("NONE")).alias("promo")).agg(F.count("*").alias("n_days"), F.sum("gross").cast("double").alias("gross"))
 
 
-@query(f"""WITH {m.SQL_EVENTS}, s AS (SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '2024-01-01', DATE '2024-02-09', INTERVAL 1 DAY) g(d)),
+@query(f"""WITH {m.SQL_EVENTS}, s AS (SELECT CAST(d AS DATE) AS date FROM generate_series((SELECT min(date) FROM ev), (SELECT max(date) FROM ev) + 10, INTERVAL 1 DAY) g(d)),
 a AS (SELECT date, count(*) AS n_all FROM ev GROUP BY 1), h AS (SELECT date, count(*) AS n_high FROM ev WHERE value > 99.8 GROUP BY 1), p AS (SELECT s.date, n_all, n_high, CAST(NULL AS BIGINT) AS n_none FROM s LEFT JOIN a USING (date) LEFT JOIN h USING (date)),
 c AS (SELECT count(*) AS n, count(n_all) AS a, count(n_high) AS h, count(n_none) AS z FROM p), l AS (SELECT 'n_all' AS variable, a AS n_known, n FROM c UNION ALL SELECT 'n_high', h, n FROM c UNION ALL SELECT 'n_none', z, n FROM c)
 SELECT variable, n_known, n, round(100.0 * n_known / n, 2) AS pct, CASE WHEN 100.0 * n_known / n > 99 THEN 'COMPLETE' WHEN 100.0 * n_known / n >= 50 THEN 'PARTIAL' WHEN n_known > 0 THEN 'SPARSE' ELSE 'ABSENT' END AS status FROM l""")
@@ -166,7 +166,8 @@ def panel_coverage(spark: SparkSession, sf: str) -> DataFrame:
         "all": ev.groupBy("date").agg(F.count("*").alias("n_all")),
         "high": ev.where("value > 99.8").groupBy("date").agg(F.count("*").alias("n_high")),
     }
-    p = panel.daily_panel(days(spark, dt.date(2024, 1, 1), dt.date(2024, 2, 9)), sources).withColumn("n_none", F.lit(None).cast("long"))
+    ends = ev.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+    p = panel.daily_panel(days(spark, ends["a"], ends["b"] + dt.timedelta(days=10)), sources).withColumn("n_none", F.lit(None).cast("long"))
     return panel.coverage(p, ["n_all", "n_high", "n_none"])
 
 
@@ -192,7 +193,7 @@ def point_series(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT l_partkey, l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS date, CAST(v.price AS DOUBLE) AS price FROM lineitem JOIN (VALUES ('v1', DATE '1995-01-01', 1.00), ('v2', DATE '1997-01-01', 1.03), ('v3', DATE '1999-07-01', 1.08)) v(name, a, price)
-ON v.a = (SELECT max(x) FROM (VALUES (DATE '1995-01-01'), (DATE '1997-01-01'), (DATE '1999-07-01')) u(x) WHERE x <= CAST(l_shipdate AS DATE)) WHERE l_linenumber = 1 AND l_quantity > 45""", dates="date")
+ON v.a = (SELECT max(x) FROM (VALUES (DATE '1995-01-01'), (DATE '1997-01-01'), (DATE '1999-07-01')) u(x) WHERE x <= CAST(l_shipdate AS DATE))""", dates="date")
 def price_as_of(spark: SparkSession, sf: str) -> DataFrame:
     """The price version in force at a date: versions become half-open ranges by ``lead``, and
     join by range (three rows)."""
@@ -200,6 +201,6 @@ def price_as_of(spark: SparkSession, sf: str) -> DataFrame:
 
     v = spark.createDataFrame([("v1", dt.date(1995, 1, 1), 1.00), ("v2", dt.date(1997, 1, 1), 1.03), ("v3", dt.date(1999, 7, 1), 1.08)], "name string, a date, price double")
     v = v.withColumn("b", F.lead("a").over(Window.orderBy("a")))
-    li = m.t(spark, sf, "lineitem").where("l_linenumber = 1 and l_quantity > 45").select("l_partkey", "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("date"))
+    li = m.t(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("date"))
     got = li.join(F.broadcast(v), (F.col("date") >= F.col("a")) & (F.col("b").isNull() | (F.col("date") < F.col("b"))))
     return got.select("l_partkey", "l_orderkey", "l_linenumber", "date", "price")

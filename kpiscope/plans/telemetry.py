@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -58,10 +58,16 @@ class Telemetry:
 
 
 def latency_summary(df: DataFrame, by: str, value: str = "ms") -> DataFrame:
-    """Least, upper median (the element n // 2 of the sorted values) and largest value."""
-    s = F.sort_array(F.collect_list(value))
-    got = df.groupBy(by).agg(s.alias("s"))
-    return got.select(by, F.element_at("s", 1).alias("min_ms"), F.get("s", F.floor(F.size("s") / 2).cast("int")).alias("upper_median_ms"), F.element_at("s", -1).alias("max_ms"), F.size("s").cast("long").alias("n"))
+    """Least, upper median (the element n // 2 of the sorted values) and largest value.
+
+    Equal values are counted first, so a layer's window holds its distinct values only.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_k"))
+    w = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumns({"_upto": F.sum("_k").over(w), "_n": F.sum("_k").over(Window.partitionBy(by))})
+    holds = F.col("_upto") > F.floor(F.col("_n") / 2)
+    got = ranked.groupBy(by).agg(F.min(value).alias("min_ms"), F.min(F.when(holds, F.col(value))).alias("upper_median_ms"), F.max(value).alias("max_ms"), F.max("_n").cast("long").alias("n"))
+    return got
 
 
 def layer_split(spans: DataFrame) -> DataFrame:
