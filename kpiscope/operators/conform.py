@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +36,13 @@ def temporal_resolution(table: str) -> float:
     return next((t.temporal_resolution_days for t in TRANSFORMS if t.target == table), 1.0)
 
 
-def lineage(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t.transform_id, t.source, t.target, t.method, t.temporal_resolution_days) for t in TRANSFORMS],
-                                 "transform_id string, source string, target string, method string, temporal_resolution_days double")
+def lineage(spark: SparkSession, tables: Mapping[str, tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:
+    """The transforms, with the rows read and written of those whose (input, output) are given."""
+    rows = []
+    for t in TRANSFORMS:
+        pair = (tables or {}).get(t.target)
+        rows.append((t.transform_id, t.source, t.target, t.method, t.temporal_resolution_days, *([df.count() for df in pair] if pair else (None, None))))
+    return spark.createDataFrame(rows, "transform_id string, source string, target string, method string, temporal_resolution_days double, rows_in long, rows_out long")
 
 
 def fact_daily(orders: DataFrame, refunds: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiscope.operators.movement import design_columns, solve
@@ -104,6 +104,43 @@ def lag_stability(x: np.ndarray, y: np.ndarray, windows: int = 24, most: int = 1
     return {"n": len(lags), "stable": q[2] - q[1] <= 5 and q[1] >= 1, "q05": q[0], "q25": q[1], "q75": q[2], "q95": q[3]}
 
 
+def lag_stability_table(series: DataFrame, x: str, y: str, windows: int = 24, most: int = 14, least_pairs: int = 15, order: str = "date") -> DataFrame:
+    """The same by joins, for a long daily series: one row (n, stable, quartiles).
+
+    Each day meets the days within ``most`` of it (a fixed fan-out), and each such pair the windows
+    that hold both (a fixed number); correlations of all windows and lags are one aggregation.
+    Correlations that agree to nine decimals are ties, which the smallest lag wins.
+    """
+    n = series.count()
+    size = max(40, int(0.7 * n))
+    starts = sorted({(n - size) * k // (windows - 1) for k in range(windows)}) if n >= size else []
+    numbered = series.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)  # a row a day
+    left = numbered.select(F.col(x).alias("x"), F.col("_i").alias("i"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"))
+    pairs = left.withColumn("j", F.col("i") + F.col("lag")).join(numbered.select(F.col(y).alias("y"), F.col("_i").alias("j")), "j").where("x is not null and y is not null")
+    first, last = F.least("i", "j"), F.greatest("i", "j")
+    held = F.filter(F.array(*map(F.lit, starts)).cast("array<int>"), lambda a: (first >= a) & (last < a + size))
+    by = pairs.withColumn("start", F.explode(held)).groupBy("start", "lag").agg(F.count("*").alias("k"), F.corr("x", "y").alias("r"))
+    known = by.where((F.col("k") >= least_pairs) & F.col("r").isNotNull() & ~F.isnan("r"))
+    top = F.max(F.struct(F.round(F.abs("r"), 9).alias("a"), (-F.col("lag")).alias("l")))
+    lags = known.groupBy("start").agg(top.alias("t")).select((-F.col("t.l")).alias("lag"))
+    names = ("q05", "q25", "q75", "q95")
+    got = lags.agg(F.count("*").alias("n"), *[F.percentile("lag", q).cast("int").alias(c) for c, q in zip(names, (0.05, 0.25, 0.75, 0.95))])
+    enough = F.col("n") >= 5
+    stable = F.coalesce(enough & (F.col("q75") - F.col("q25") <= 5) & (F.col("q25") >= 1), F.lit(False))
+    return got.select("n", stable.alias("stable"), *[F.when(enough, F.col(c)).alias(c) for c in names])
+
+
+def temporal_columns(lag: Column, r: Column, stable: Column, resolution_days: Column, prior: tuple[int, int] | None = None, min_corr: float = MIN_CORR) -> tuple[Column, Column]:
+    """The code of ``temporal_verdict`` and whether the lag asks for review, as columns."""
+    unknown = lag.isNull() | r.isNull() | F.isnan(r)
+    code = (
+        F.when(unknown, "NOT_COMPUTABLE").when(F.abs(r) < min_corr, "ASSOCIATION_TOO_WEAK").when(lag <= 0, "NO_LEAD")
+        .when(lag < resolution_days, "GRAIN_TOO_COARSE").when(~stable, "UNSTABLE_LAG").otherwise("PASS")
+    )
+    review = F.lit(False) if prior is None else ~unknown & ~lag.between(prior[0] - 2, prior[1] + 2)
+    return code, review
+
+
 @dataclass(frozen=True)
 class TemporalVerdict:
     passed: bool

@@ -46,7 +46,9 @@ def solve(df: DataFrame, y: str, x: dict[str, Column]) -> tuple[dict[str, float]
     for i in range(k):
         for j in range(i, k):
             xx[i, j] = xx[j, i] = row[f"x{i}_{j}"]
-    beta = np.linalg.pinv(xx, rcond=1e-12, hermitian=True) @ xy
+    size = np.sqrt(np.diag(xx))  # columns of like size, so that sums of a trend do not drown the rest
+    size[size == 0] = 1.0
+    beta = np.linalg.pinv(xx / np.outer(size, size), rcond=1e-12, hermitian=True) @ (xy / size) / size
     total = row["ss"] - row["s"] ** 2 / row["n"]
     r2 = 1 - (row["ss"] - float(beta @ xy)) / total if total > 0 else float("nan")
     return dict(zip(names, beta.tolist())), r2

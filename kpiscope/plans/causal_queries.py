@@ -122,26 +122,11 @@ def fourier_terms(spark: SparkSession, sf: str) -> DataFrame:
     return monthly(spark, sf).select("date", (F.round(s1, 6) + 0.0).alias("s1"), (F.round(c2, 6) + 0.0).alias("c2"))
 
 
-@query()
-def calendar_adjusted_series(spark: SparkSession, sf: str) -> DataFrame:
-    daily = m.lines(spark, sf).groupBy("date").agg(F.sum("gross_sales").cast("double").alias("value"))
-    got, r2 = movement.calendar_adjust(daily)
-    return got.select("date", "value", F.round("adjusted", 4).alias("adjusted"), F.lit(round(r2, 6)).alias("r2"))
-
-
 @query()
 def block_permutation_p(spark: SparkSession, sf: str) -> DataFrame:
     return movement.permutation_p(monthly(spark, sf), n=400)
 
 
-@query()
-def did_twfe_ri(spark: SparkSession, sf: str) -> DataFrame:
-    """Region cells: one treated of five, all assignments enumerated."""
-    p = did_panel(spark, sf).groupBy("region", "date", "treated", "post").agg(F.sum("y").alias("y")).withColumnRenamed("region", "cell")
-    r = estimate.did(p, "y")
-    return spark.createDataFrame([(float(r["estimate"]), float(r["se"]), float(r["p"]), float(r["ri_p"]), int(r["ri_assignments"]), r["ri_mode"])], "att double, se double, p double, ri_p double, n_assignments int, mode string")
-
-
 @query()
 def its_hac(spark: SparkSession, sf: str) -> DataFrame:
     s = monthly(spark, sf).withColumns({"is_holiday": F.month("date") == 12, "is_promo": F.month("date") == 8})

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +15,20 @@ from pyspark.sql import functions as F
 from kpiscope.sources.schemas import SCHEMAS
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``); a
+    temporary folder stands in for it in a local session only."""
+    conf = spark.sparkContext.getConf()
+    shared = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="kpiscope-")
+        atexit.register(shutil.rmtree, own, True)
+        shared = f"file://{own}"
+    return f"{shared.rstrip('/')}/kpiscope/{name}-{uuid.uuid4().hex}"
+
+
 def read_csv(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).option("header", True).option("mode", "FAILFAST").csv(f"{folder}/{name}.csv")
 
