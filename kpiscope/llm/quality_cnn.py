@@ -2,20 +2,21 @@
 
 A text's UTF-8 bytes are cut into overlapping chunks that cover all of it (chunks of ``CHUNK``
 bytes every ``STEP`` bytes; the last ends with the text; a shorter text is one chunk padded with
-NUL). Learned filters four bytes wide move over each chunk by two bytes; each filter's largest
+NUL). Learned filters four bytes wide move over each chunk byte by byte; each filter's largest
 response in the chunk, cut off below zero, goes into a linear layer, and the mean of the
 chunks' outputs through the logistic function is the text's probability of label 1.
 
 A filter's response to four bytes is the sum of two table rows looked up by byte pairs, so
 scoring is two gathers, one sum and one maximum a chunk.
 
-Training (on the driver) takes a bounded sample: at most ``PER_CLASS`` labelled documents of
-each class, those with the smallest hashed ids, and at most ``CHUNKS_EACH`` chunks of each,
-spread evenly over the whole text. Examples are weighted back to the labels' shares, so the
-score is a probability. Null texts count as empty, and empty texts are scored like any other.
-Null labels are not learned from; repeated labels count as often as they stand there. With
-labels of one class only, or none, every score is that class's share (0.5 for none). An empty
-table gives no rows.
+Training (on the driver) takes a bounded sample of labelled documents, in the order of their
+hashed ids: at most ``PER_CLASS`` of each class and ``SAMPLE_BYTES`` of text in all, half for each
+class; a text that no longer fits is passed over. Sampled texts are learned from whole, pooled as
+they are scored. Examples are weighted back to the labels' shares, so the score is a probability.
+Null texts count as empty, and empty texts are scored like any other. Null labels are not learned
+from; repeated labels count as often as they stand there. With labels of one class only, or none,
+every score is that class's share (0.5 for none); the same holds if no labelled document of a class
+is there. Ids are compared as text. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ from kpiscope.llm.common import require_columns, utf8
 
 CHUNK, STEP = 512, 448
 WIDTH, FILTERS = 4, 16
-PER_CLASS, CHUNKS_EACH = 1200, 4
-EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.01, 1e-4
+PER_CLASS, SAMPLE_BYTES = 1200, 12 << 20
+#: Documents a step, and chunks that are held at once.
+EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.01, 1e-4
+HELD = 512
 
 
 @dataclass
@@ -62,15 +65,24 @@ class Network:
 
     def logits(self, chunks: np.ndarray) -> np.ndarray:
         """One output for each row of CHUNK bytes."""
-        first, second = self.tables()
         out = np.empty(len(chunks), np.float64)
         for i in range(0, len(chunks), 64):
-            pairs = np.ascontiguousarray(chunks[i : i + 64]).view("<u2")
-            y = first[pairs[:, :-1]]
-            y += second[pairs[:, 1:]]
-            out[i : i + 64] = np.maximum(y.max(1), 0) @ self.out + self.shift
+            top, _ = self.responses(chunks[i : i + 64])
+            out[i : i + 64] = np.maximum(top, 0) @ self.out + self.shift
         return out
 
+    def responses(self, chunks: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Each filter's largest response in each chunk, and where it is."""
+        first, second = self.tables()
+        wide = chunks.astype(np.uint16)
+        pairs = wide[:, :-1] | (wide[:, 1:] << 8)
+        y = first[pairs[:, :-2]]
+        y += second[pairs[:, 2:]]
+        if not places:
+            return y.max(1), None
+        best = y.argmax(1)
+        return np.take_along_axis(y, best[:, None, :], 1)[:, 0], best
+
     def scores(self, texts: list[bytes], block: int = 4096) -> np.ndarray:
         """The probability of label 1 for each whole text."""
         sums, counts = np.zeros(len(texts)), np.zeros(len(texts))
@@ -119,33 +131,33 @@ def chunk_rows(text: bytes, starts: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(raw, CHUNK)[starts]
 
 
-def train(chunks: np.ndarray, labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> Network:
-    """Weighted logistic loss by Adam; the gradient reaches the winning place of each filter."""
+def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> Network:
+    """Weighted logistic loss of whole texts by Adam. A text's output is the mean over its chunks;
+    the gradient reaches the winning place of each filter in each chunk."""
     rng = np.random.default_rng(seed)
     params = [
         rng.normal(0, 0.1, (WIDTH, 256, FILTERS)), np.zeros(FILTERS),
         rng.choice([-0.3, 0.3], FILTERS), np.array([0.0]),
     ]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    rows = [chunk_rows(t, chunk_starts(len(t))) for t in texts]
     step = 0
     for _ in range(EPOCHS):
-        order = rng.permutation(len(chunks))
+        order = rng.permutation(len(texts))
         for i in range(0, len(order), BATCH):
-            rows = order[i : i + BATCH]
-            x, y, w = chunks[rows], labels[rows], weights[rows]
+            docs = order[i : i + BATCH]
             net = Network(*params[:3], float(params[3][0]))
-            first, second = net.tables()
-            pairs = np.ascontiguousarray(x).view("<u2")
-            act = first[pairs[:, :-1]]
-            act += second[pairs[:, 1:]]
-            best = act.argmax(1)
-            top = np.take_along_axis(act, best[:, None, :], 1)[:, 0].astype(np.float64)
-            h = np.maximum(top, 0)
-            error = (sigmoid(h @ params[2] + params[3][0]) - y) * w / len(rows)
+            x = np.concatenate([rows[d] for d in docs])
+            owner = np.repeat(np.arange(len(docs)), [len(rows[d]) for d in docs])
+            share = 1 / np.bincount(owner)[owner]
+            top, best = (np.concatenate(a) for a in zip(*(net.responses(x[j : j + HELD], True) for j in range(0, len(x), HELD))))
+            h = np.maximum(top, 0).astype(np.float64)
+            logit = np.bincount(owner, share * (h @ params[2])) + params[3][0]
+            error = ((sigmoid(logit) - labels[docs]) * weights[docs] / len(docs))[owner] * share
             back = error[:, None] * params[2] * (top > 0)
             grads = [np.zeros_like(params[0]), back.sum(0), h.T @ error, np.array([error.sum()])]
             for k in range(WIDTH):
-                byte = np.take_along_axis(x, 2 * best + k, 1)
+                byte = np.take_along_axis(x, best + k, 1)
                 np.add.at(grads[0][k], (byte, np.arange(FILTERS)), back)
             step += 1
             for p, g, a, b in zip(params, grads, m, v):
@@ -159,42 +171,49 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Network:
+def constant(share: float) -> Network:
+    """Every text scores the share."""
+    logit = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
+    return Network(np.zeros((WIDTH, 256, FILTERS)), np.zeros(FILTERS), np.zeros(FILTERS), logit)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Network:
     """Fit on a bounded sample of the labelled rows that are not held out.
 
-    At most 2 x per_class ids are sent to the executors, and at most CHUNKS_EACH x CHUNK bytes
-    of each such document come back.
+    At most 2 x per_class ids and lengths are sent about, and at most ``sample_bytes`` come back.
     """
     require_columns(docs, ["doc_id", "text"])
     require_columns(labels, ["doc_id", label])
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    usable = usable.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y"))
+    usable = usable.select(F.col("doc_id").cast("string").alias("id"), F.col(label).cast("int").alias("y"))
     totals = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
     if len(totals) < 2:
-        share = float(next(iter(totals))) if totals else 0.5
-        logit = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-        return Network(np.zeros((WIDTH, 256, FILTERS)), np.zeros(FILTERS), np.zeros(FILTERS), logit)
+        return constant(float(next(iter(totals))) if totals else 0.5)
     order = F.xxhash64("id", F.lit(11))
     sample = [r for y in (0, 1) for r in usable.where(F.col("y") == y).orderBy(order, "id").limit(per_class).collect()]
-    chosen = docs.sparkSession.createDataFrame(sample, "id long, y int")
-    n, top = F.length("raw"), CHUNKS_EACH - 1
-    # Starts spread evenly over the whole text; equal ones (short texts) count once.
-    starts = F.array_distinct(F.array(*[F.floor(F.greatest(n - CHUNK, F.lit(0)) * k / top).cast("int") for k in range(CHUNKS_EACH)]))
-    got = (
-        docs.select(F.col("doc_id").cast("long").alias("id"), utf8("text").alias("raw"))
-        .join(F.broadcast(chosen), "id")
-        .select("id", "y", F.transform(starts, lambda s: F.substr(F.col("raw"), s + 1, F.lit(CHUNK))).alias("parts"))
-        .collect()
-    )
-    got = sorted(got, key=lambda r: (r["id"], r["y"], [bytes(p) for p in r["parts"]]))
-    if len({r["y"] for r in got}) < 2:
-        raise ValueError("labelled documents of both classes are needed among the documents")
-    rows = [chunk_rows(bytes(p), np.zeros(1, np.int64)) for r in got for p in r["parts"]]
-    y = np.array([r["y"] for r in got for _ in r["parts"]], np.float64)
-    each = np.array([1 / len(r["parts"]) for r in got for _ in r["parts"]])
+    texts = docs.select(F.col("doc_id").cast("string").alias("id"), utf8("text").alias("raw"))
+
+    def chosen(rows: list, fields: str) -> DataFrame:
+        return texts.join(F.broadcast(docs.sparkSession.createDataFrame(rows, fields)), "id")
+
+    sizes = chosen(sample, "id string, y int").select("id", "y", F.length("raw").alias("n"), F.xxhash64("raw").alias("mark"), order.alias("o")).collect()
+    room, taken = {0: sample_bytes // 2, 1: sample_bytes // 2}, []
+    for r in sorted(sizes, key=lambda r: (r["o"], r["id"], r["y"], r["mark"])):
+        if r["n"] <= room[r["y"]]:
+            room[r["y"]] -= r["n"]
+            taken.append((r["id"], r["y"], r["mark"]))
+    if len({y for _, y, _ in taken}) < 2:
+        return constant(totals[1] / (totals[0] + totals[1]))
+    times = {}
+    for t in taken:
+        times[t] = times.get(t, 0) + 1
+    rows = chosen(list(times), "id string, y int, mark long").where(F.xxhash64("raw") == F.col("mark")).select("id", "y", "mark", "raw").collect()
+    got = sorted({(r["id"], r["y"], r["mark"]): bytes(r["raw"]) for r in rows}.items())
+    y = np.array([k[1] for k, _ in got], np.float64)
+    each = np.array([float(times[k]) for k, _ in got])
     for c in (0, 1):
         each[y == c] *= totals[c] / each[y == c].sum()
-    return train(np.concatenate(rows), y, each / each.mean())
+    return train([t for _, t in got], y, each / each.mean())
 
 
 def score(docs: DataFrame, network: Network, text: str = "text", out: str = "score") -> DataFrame:
@@ -215,6 +234,8 @@ def score(docs: DataFrame, network: Network, text: str = "text", out: str = "sco
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents with a score of at least the threshold; the columns stay as they are."""
-    got = score(docs, fit(docs, labels), out="_score")
-    return got.where(F.col("_score") >= threshold).select(*docs.columns)
+    """The documents with a score of at least the threshold; the columns stay as they are,
+    whatever their names."""
+    names = docs.columns
+    got = score(docs, fit(docs, labels), out="\0score")
+    return got.where(F.col("`\0score`") >= threshold).select(*[F.col(f"`{c}`") for c in names])

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kpiscope.llm.common import delete_path, materialise, new_path, require_columns, utf8
 
@@ -44,6 +45,8 @@ BINS = 128
 SLACK = 0.2
 #: Sets of up to SMALL shingles have a radius larger by WIDER, as their fingerprints scatter more.
 SMALL, WIDER = 32, 4
+#: Components above HOT_LEAST nodes and this share of all nodes are few enough to broadcast.
+HOT_LEAST, HOT_ROOTS = 100, 10_000
 #: Forests of candidates that are tried before all that are still apart are.
 ROUNDS = 6
 TILE = 256
@@ -89,9 +92,9 @@ def set_node(hashes: np.ndarray) -> int:
 
 
 def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, key, raw): key tells texts without an id apart."""
-    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), utf8(f"`{text}`").alias("raw"))
-    return slim.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("raw")).alias("key"), "raw")
+    """(doc_id, key, mark, raw): mark is the text's hash; key is it for texts without an id."""
+    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), utf8(f"`{text}`").alias("raw")).withColumn("mark", F.xxhash64("raw"))
+    return slim.select("doc_id", F.when(F.col("doc_id").isNull(), F.col("mark")).alias("key"), "mark", "raw")
 
 
 def majority(blocks: Iterable[np.ndarray]) -> int:
@@ -122,19 +125,21 @@ def fingerprint(text: bytes, words: int, sketch: bool = False, block: int = 1 <<
 
 
 def fingerprints(docs: DataFrame, words: int, sketch: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, key, fp, sketch, size, node): node stands for what is compared, equal for copies."""
+    """(doc_id, key, mark, fp, sketch, size, node): node stands for what is compared, equal for copies."""
     require_columns(docs, [text, doc_id])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            got = [fingerprint(t.as_py(), words, sketch) for t in part.column(2)]
+            got = [fingerprint(t.as_py(), words, sketch) for t in part.column(3)]
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), *[pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds)]],
-                names=["doc_id", "key", "fp", "sketch", "size", "node"],
+                [*part.columns[:3], *[pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds)]],
+                names=[f.name for f in schema.fields],
             )
 
-    return keyed(docs, text, doc_id).mapInArrow(run, "doc_id long, key long, fp long, sketch binary, size long, node long")
+    slim = keyed(docs, text, doc_id)
+    schema = T.StructType([*slim.schema.fields[:3], *T.StructType.fromDDL("fp long, sketch binary, size long, node long").fields])
+    return slim.mapInArrow(run, schema)
 
 
 class Forest:
@@ -499,11 +504,8 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
-def near_duplicates(
-    docs: DataFrame, words: int = 5, radius: int = 24, min_similarity: float | None = 0.8,
-    text: str = "text", doc_id: str = "doc_id",
-) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links."""
+def _groups(docs: DataFrame, words: int, radius: int, min_similarity: float | None, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, fp, component_id, mark) of every row."""
     prints = materialise(fingerprints(docs, words, min_similarity is not None, text, doc_id), "prints")
     parts = [F.first(c).alias(c) for c in (["fp"] if min_similarity is None else ["fp", "sketch", "size"])]
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), *parts)
@@ -513,17 +515,38 @@ def near_duplicates(
     else:
         edges = similar_links(nodes, docs, words, radius, min_similarity, text, doc_id)
     found = components(edges)
-    linked = nodes.select("node", "first").join(found, "node")
-    least = linked.groupBy("root").agg(F.min("first").alias("component"))
-    moved = linked.join(least, "root").select("node", "component")
+    linked = materialise(nodes.select("node", "first").join(found, "node"), "linked")
+    least = linked.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("n"))
+    # A component of many nodes would meet in one task of the join: these are joined by broadcast.
+    # There are at most HOT_ROOTS of them, as each holds more than that share of the nodes.
+    hot_size = max(HOT_LEAST, linked.count() // HOT_ROOTS)
+    hot = least.where(F.col("n") > hot_size).select("root", F.col("component").alias("hot"))
+    marked = linked.join(F.broadcast(hot), "root", "left")
+    cold = marked.where("hot is null").select("root", "node").join(least.where(F.col("n") <= hot_size).select("root", "component"), "root").select("node", "component")
+    moved = marked.where("hot is not null").select("node", F.col("hot").alias("component")).union(cold)
     known = nodes.select("node", "first").join(moved, "node", "left")
     known = materialise(known.select("node", F.coalesce("component", "first").alias("component_id")), "members")
-    return prints.join(known, "node").select("doc_id", "fp", "component_id")
+    return prints.join(known, "node").select("doc_id", "fp", "component_id", "mark")
+
+
+def near_duplicates(
+    docs: DataFrame, words: int = 5, radius: int = 24, min_similarity: float | None = 0.8,
+    text: str = "text", doc_id: str = "doc_id",
+) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links. Ids
+    are of any type that has an order."""
+    return _groups(docs, words, radius, min_similarity, text, doc_id).drop("mark")
+
 
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 24, min_similarity: float | None = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One document of each group: that with the smallest id. The columns stay as they are.
 
-def keep_one(docs: DataFrame, **options: object) -> DataFrame:
-    """One document of each group: that with the smallest id. The columns stay as they are."""
-    doc_id = str(options.get("doc_id", "doc_id"))
-    found = near_duplicates(docs, **options)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[doc_id].cast("long") == F.col("_gone"), "left_anti")
+    Rows without an id stay. Rows that share an id are judged each by its own text, so one may
+    go and the other stay; equal rows of the smallest id all stay. Text columns may have any names.
+    """
+    found = _groups(docs, words, radius, min_similarity, text, doc_id)
+    gone = found.where("doc_id != component_id").select("doc_id", "mark").distinct()
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own, mark = plain[f"c{names.index(doc_id)}"], F.xxhash64(utf8(f"c{names.index(text)}"))
+    return plain.join(gone, (own == gone["doc_id"]) & (mark == gone["mark"]), "left_anti").toDF(*names)

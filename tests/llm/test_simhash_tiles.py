@@ -5,6 +5,7 @@ from kpiscope.llm import simhash_tiles as s
 from kpiscope.llm.queries import op6_simhash_tiles
 
 from . import brute
+from pyspark.sql import functions as F
 from .conftest import DOCS, TEXTS
 
 
@@ -129,3 +130,31 @@ def test_radius_reaches_pairs_at_the_threshold(spark):
         assert len(a & b) == 0.8 * len(a | b)
     got = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
     assert all(got[j] == i for i, j in pairs)
+
+
+def test_clashing_names_text_ids_and_shared_ids(spark):
+    line = " ".join(f"w{i}" for i in range(60))
+    rows = [("d2", line, 1), ("d1", line + " more", 2), ("d1", "a text of its own that shares an id only", 3), (None, line, 4), ("d3", None, 5), ("d4", "", 6), ("d2", line, 7)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, _gone int").withColumn("a.b", F.lit(0))
+    kept = s.keep_one(docs)
+    assert kept.columns == docs.columns
+    # The copy of d1 goes, the other text with an id d1 stays; texts without words are copies.
+    assert sorted(r["_gone"] for r in kept.collect()) == [2, 3, 4, 5]
+    got = s.near_duplicates(docs.drop("a.b")).collect()
+    assert len(got) == 7 and {r["component_id"] for r in got if r["doc_id"] == "d2"} == {"d1"}
+
+
+def test_components_of_many_nodes(spark, monkeypatch):
+    """Those joined by broadcast get the same answer."""
+    rng = random.Random(15)
+    rows = []
+    for g in range(8):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for k in range(30 if g < 2 else 2):
+            rows.append((len(rows), " ".join([*base[: 190 + k % 10], f"x{k}"]), "en", "s", 1))
+    docs = spark.createDataFrame(rows, DOCS)
+    plain = sorted(map(tuple, s.near_duplicates(docs).collect()))
+    monkeypatch.setattr(s, "HOT_LEAST", 5)
+    monkeypatch.setattr(s, "HOT_ROOTS", 10)
+    assert sorted(map(tuple, s.near_duplicates(docs).collect())) == plain
+    assert len({r[2] for r in plain}) == 8
