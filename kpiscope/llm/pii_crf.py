@@ -95,8 +95,18 @@ LABELLED = (
     "w w <email w##[at]w[dot]com> w",
     "w w <email w (at) w.com> w w",
     "w <email w at w dot com> w w",
+    "<email w.w at w dot fr> w",
+    "<email w.w (at) w.net>, w",
     "w w w <email w.w at w dot org>, w",
     "W W <email W.##@W#.W.COM>!! W W",
+    "w w <email w at w dot de> w w",
+    "w <email w.w at w dot fr>. W w",
+    "w w: <email w at w dot es>, w",
+    "w <email w (at) w (dot) de> w w",
+    "w w <email w.w [at] w [dot] fr> w",
+    "w, <email w## at w dot es> w",
+    "w w <email w at w dot w dot com> w",
+    "w <email w AT w DOT com> w w",
     "w w <ip ##.###.##.#> w w",
     "w w <ip ###.###.###.###>, w",
     "w w <ip #.##.###.##>. W w",
@@ -156,6 +166,10 @@ LABELLED = (
     "w @ w w @w",
     "w w (w at w) w dot w w",
     "w at w w, w at ## w",
+    "w w dot de w w es w",
+    "w de w dot w fr w",
+    "w w at w de w. W w",
+    "w w w dot com w w",
     "w ###### w #### w w ### w ## w",
     "w 20##.##.##.## w",
     "w ## ## w ### ### w",
@@ -164,7 +178,8 @@ LABELS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
 #: Fixed words that carry meaning for the field; all others count by their shape only.
 LEXICON = ("at", "dot", "com", "org", "net", "de", "fr", "es", "http", "https", "www", "v", "token")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
-_TRIGGER = re.compile(r"[0-9@]|\((?:at|AT)\)|\[(?:at|AT)\]|dot (?:com|net|org)|DOT (?:COM|NET|ORG)")
+#: What every span holds: a digit, an @, or one of the spelt-out signs, before any ending.
+_TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]|(?<![^\W_])dot [A-Za-z]{2}", re.I)
 REACH = 40
 OFFSETS = range(-3, 4)
 
@@ -371,9 +386,9 @@ def plausible(kind: str, text: str, before: str = "", after: str = "") -> bool:
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "ip":
-        return text.count(".") == 3 and len(digits) >= 4
+        return text.count(".") == 3 and len(digits) >= 4 and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in text.split("."))
     low = text.lower()
-    return ("@" in text or "at" in low) and ("." in text or "dot" in low)
+    return ("@" in text or "at" in low) and ("." in text or "dot" in low) and not low.endswith("dot")
 
 
 def windows(text: str) -> list[tuple[int, int]]:

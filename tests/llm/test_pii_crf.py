@@ -1,3 +1,4 @@
+import numpy as np
 import random
 
 from kpiscope.llm import pii_crf
@@ -53,3 +54,53 @@ def test_mask_keeps_rows_and_columns(docs):
     rows = {r["doc_id"]: r["text"] for r in out.collect()}
     assert rows[0] == "Mail <EMAIL> or <PHONE>, from <IP>."
     assert rows[2] is None and rows[1] == "" and rows[7] == TEXTS[7]
+
+
+#: Templates that the labelled table does not have; {..} is the span.
+OTHERS = (
+    "Please reach me at home: {email:maria.k at posta dot es} any time",
+    "kontakt {email:anna (at) firma (dot) de} oder Brief",
+    "Her desk, {phone:555-301-4477}, is open until noon",
+    "Tel.: {phone:(212) 555-0187} or at the door",
+    "ask {email:jo.do at uni dot fr} about the boat",
+    "server {ip:10.20.30.40} went down at 12:30",
+    "The year 1984 and pages 12-19 of volume 3",
+    "We look at the dot over the i, at home",
+    "invoice 20231 of 14.03.2021 over 1,250.00",
+    "555.666.777.888 is no address",
+    "le point dot de vue at ease",
+)
+
+
+def test_other_templates_than_the_trained_ones():
+    import re
+
+    field, right, wanted, found = pii_crf.default_field(), 0, 0, 0
+    for line in OTHERS:
+        text, spans = "", set()
+        for part in re.split(r"(\{[^}]*\})", line):
+            if part.startswith("{"):
+                kind, value = part[1:-1].split(":", 1)
+                spans.add((kind, len(text), len(text) + len(value)))
+                text += value
+            else:
+                text += part
+        got = set(pii_crf.find([text], field)[0][1])
+        right, wanted, found = right + len(got & spans), wanted + len(spans), found + len(got)
+    assert right / wanted >= 0.8 and right / max(1, found) >= 0.8
+
+
+def test_viterbi_finds_the_best_of_all_labellings():
+    from itertools import product
+
+    rng = np.random.default_rng(1)
+    k = len(pii_crf.LABELS)
+    field = pii_crf.Field({"": 0, "edge": 1, "gap": 2, "s:x1": 3, "s:d2": 4}, rng.normal(size=(len(pii_crf.OFFSETS), 5, k)), rng.normal(size=(k, k)), rng.normal(size=k))
+    rows = [rng.integers(0, 5, (n, 3)) for n in (1, 2, 4)]
+    batch, sizes = pii_crf.pad(rows)
+    path, e = field.viterbi(batch, sizes), field.emissions(batch)
+    for i, n in enumerate(sizes):
+        def score(y):
+            return field.start[y[0]] + sum(e[i, t, y[t]] for t in range(n)) + sum(field.step[y[t - 1], y[t]] for t in range(1, n))
+
+        assert tuple(path[i, :n]) == max(product(range(k), repeat=int(n)), key=score)
