@@ -16,9 +16,11 @@ contraction over tables in the shared folder, with nothing collected to the driv
 With ``min_similarity`` a link needs that share of common distinct shingles, and the shingle
 sets decide it. Sets whose sizes alone exclude it are not compared; of the others those within
 the radius whose 128-bin one-permutation sketch estimates at least ``SLACK`` less are candidates.
-Their Jaccard similarity is taken from the sets: first along a spanning forest of the candidates,
-then, where a pair of the forest fails, along further forests between what is still apart, and at
-last for all candidates that are.
+Of the candidates each task returns a spanning forest only. Within the groups that these forests
+make, the shingle sets are brought together, small groups many to a task, large ones as pairs of
+tiles, and the Jaccard similarity of every pair that is not linked already is taken from the sets
+where they are; a task returns a spanning forest of the links it found. So no pair is shipped, and
+a crowd of near misses costs comparisons in its tiles, but no rows.
 
 Null texts count as empty; texts without words have fingerprint zero and are linked like any
 other. Rows with a null id take part (as copies of what they equal) and get their component;
@@ -45,10 +47,10 @@ BINS = 128
 SLACK = 0.2
 #: Sets of up to SMALL shingles have a radius larger by WIDER, as their fingerprints scatter more.
 SMALL, WIDER = 32, 4
+#: Sets in a tile of a large group: at most so many, with so many shingles on average.
+GROUP_NODES, GROUP_SHINGLES = 2048, 1 << 21
 #: Components above HOT_LEAST nodes and this share of all nodes are few enough to broadcast.
 HOT_LEAST, HOT_ROOTS = 100, 10_000
-#: Forests of candidates that are tried before all that are still apart are.
-ROUNDS = 6
 TILE = 256
 #: Fingerprints in a strip: at least, and at most (a task holds two strips).
 STRIP_LEAST, STRIP_MOST = 1 << 16, 1 << 19
@@ -237,20 +239,10 @@ def link_tiles(fps: np.ndarray, sketches: np.ndarray | None, split: int, radius:
     return forest.root
 
 
-def candidate_tiles(
-    fps: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, labels: np.ndarray | None, split: int, radius: int, least: float, turn: int = 0
-) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of indices whose sets may share ``least`` of their shingles (see the module).
-
-    A spanning forest of the candidates, of candidate pairs only, those of high estimate first.
-    With ``labels``, rows of one label count as joined and the order is random by ``turn``; from
-    turn ``ROUNDS`` on all candidates whose labels differ. ``split`` as in ``link_tiles``.
-    """
+def candidate_tiles(fps: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, split: int, radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of indices whose sets may share ``least`` of their shingles
+    (see the module). ``split`` as in ``link_tiles``."""
     forest, firsts, seconds = Forest(len(fps)), [], []
-    rng = np.random.default_rng(turn)
-    if labels is not None:
-        _, at, inverse = np.unique(labels, return_index=True, return_inverse=True)
-        forest.root = at[inverse]
 
     def tiles(start: int, end: int) -> list[np.ndarray]:
         order = start + np.lexsort((fps[start:end], sizes[start:end]))
@@ -276,18 +268,14 @@ def candidate_tiles(
             si, sj = sizes[i], sizes[j]
             keep = np.minimum(si, sj) >= least * np.maximum(si, sj)
             keep &= forest.root[i] != forest.root[j]
-            i, j, gap = i[keep], j[keep], np.abs(k - l)[keep]
+            i, j = i[keep], j[keep]
             if not len(i):
                 continue
-            share = similarity(sketches[i], sketches[j])
-            keep = share >= least - SLACK
-            i, j, gap, share = i[keep], j[keep], gap[keep], share[keep]
-            if turn < ROUNDS and len(i):  # of like estimates, neighbours first: chains rather than stars
-                order = np.lexsort((gap, -np.round(share * 20))) if labels is None else rng.permutation(len(i))
-                chosen = forest.choose(i[order], j[order])
-                i, j = i[order][chosen], j[order][chosen]
-            firsts.append(i)
-            seconds.append(j)
+            keep = similarity(sketches[i], sketches[j]) >= least - SLACK
+            i, j = i[keep], j[keep]
+            chosen = forest.choose(i, j)
+            firsts.append(i[chosen])
+            seconds.append(j[chosen])
     none = [np.empty(0, np.int64)]
     return np.concatenate(firsts or none), np.concatenate(seconds or none)
 
@@ -385,80 +373,118 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     return compared(nodes, F.bit_count("fp"), 65, radius, {"node": "<i8", "fp": "<u8"}, compare)
 
 
-def candidates(nodes: DataFrame, radius: int, least: float, turn: int = 0) -> DataFrame:
-    """Edges (a, b) between nodes (node, fp, sketch, size): candidates for ``least`` (see
-    ``candidate_tiles``; a column ``label`` is optional). Sizes are dealt by their logarithm: those of one or of neighbouring
-    kinds cover all ratios from ``least`` up, with a margin for rounding."""
+def candidates(nodes: DataFrame, radius: int, least: float) -> DataFrame:
+    """Edges (a, b) between nodes (node, fp, sketch, size): a forest of candidates for ``least``
+    from each task (see ``candidate_tiles``). Sizes are dealt by their logarithm: those of one or of
+    neighbouring kinds cover all ratios from ``least`` up, with a margin for rounding."""
     base = math.log(1.01 / least)
-    labelled = "label" in nodes.columns
     kind = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / base).cast("int")
-    columns = {"node": "<i8", "fp": "<u8", "sketch": "bytes", "size": "<i8"} | ({"label": "<i8"} if labelled else {})
+    columns = {"node": "<i8", "fp": "<u8", "sketch": "bytes", "size": "<i8"}
 
     def compare(t: dict[str, np.ndarray], split: int) -> tuple[np.ndarray, np.ndarray]:
-        return candidate_tiles(t["fp"], t["sketch"], t["size"], t.get("label"), split, radius, least, turn)
+        return candidate_tiles(t["fp"], t["sketch"], t["size"], split, radius, least)
 
     return compared(nodes, kind, int(math.log(2**40) / base) + 1, 1, columns, compare)
 
 
-def similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, holds) for distinct edges (a, b): whether the Jaccard similarity of the nodes' sets,
-    of ``sets`` (node, hashes), is ``least`` or more."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            holds = []
-            for x, y in zip(part.column("x"), part.column("y")):
-                x, y = (np.frombuffer(v.as_py(), "<u8") for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                holds.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(holds, pa.bool_())], names=["a", "b", "holds"])
-
-    pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    x, y = (sets.select(F.col("node").alias(k), F.col("hashes").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, holds boolean")
+def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is ``least`` or more."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return not len(y)
+    both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+    return both >= least * (len(x) + len(y) - both) - 1e-9
+
+
+def linked_sets(sets: list[np.ndarray], sketches: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two lists of sets (or within one, given twice).
+    Pairs of high estimate are tried first; pairs already linked are not tried."""
+    sizes, out, same = np.array([len(x) for x in sets]), [], left is right
+    forest = Forest(len(sets))
+    for p in range(0, len(left), 64):
+        rows = left[p : p + 64]
+        for q in range(p if same else 0, len(right), 1024):
+            others = right[q : q + 1024]
+            a, b = sizes[rows][:, None], sizes[others][None, :]
+            keep = np.minimum(a, b) >= least * np.maximum(a, b)
+            keep &= forest.root[rows][:, None] != forest.root[others][None, :]
+            if same:
+                keep &= np.arange(p, p + len(rows))[:, None] < np.arange(q, q + len(others))[None, :]
+            k, l = np.nonzero(keep)
+            i, j = rows[k], others[l]
+            share = similarity(sketches[i], sketches[j])
+            good = np.flatnonzero(share >= least - SLACK)
+            good = good[np.argsort(-share[good], kind="stable")]
+            up: dict[int, int] = {}
+
+            def find(v: int) -> int:
+                while (w := up.get(v, v)) != v:
+                    v = w
+                return v
+
+            found = []
+            for x, y, rx, ry in zip(i[good].tolist(), j[good].tolist(), forest.root[i[good]].tolist(), forest.root[j[good]].tolist()):
+                rx, ry = find(rx), find(ry)
+                if rx != ry and alike(sets[x], sets[y], least):
+                    up[max(rx, ry)] = min(rx, ry)
+                    found.append((x, y))
+            if found:
+                forest.join(*(np.array(c) for c in zip(*found)))
+                out += found
+    return out
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, words: int, radius: int, least: float, text: str, doc_id: str) -> DataFrame:
     """Edges (a, b) between nodes that connect all candidates of at least that similarity."""
+    groups = materialise(components(candidates(nodes, radius, least)), "groups")
+    ids = nodes.join(groups, "node").select("node", "root", "sketch", "size", F.col("first").alias("_id"), F.col("key").alias("_key"))
+    slim = keyed(docs, text, doc_id)
 
-    def checked(edges: DataFrame, name: str) -> DataFrame:
-        edges = materialise(edges, name)
-        ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-        ids = nodes.join(ends, "node").select("node", F.col("first").alias("_id"), F.col("key").alias("_key"))
-        slim = keyed(docs, text, doc_id)
-
-        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """A repeated id may stand for several texts: only the node's own counts."""
-            for part in parts:
-                nodes_, got = [], []
-                for node, raw in zip(part.column(0).to_pylist(), part.column(1)):
-                    hashes = shingle_set(raw.as_py(), words)
-                    if set_node(hashes) == node:
-                        nodes_.append(node)
-                        got.append(hashes.astype("<u8").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes_, pa.int64()), pa.array(got, pa.binary())], names=["node", "hashes"])
-
-        own = slim.join(ids, slim["doc_id"].eqNullSafe(ids["_id"]) & slim["key"].eqNullSafe(ids["_key"]))
-        sets = own.select("node", "raw").mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
-        return materialise(similar(edges, sets, least), name)
-
-    tried = checked(candidates(nodes, radius, least), "tried")
-    found = tried.where("holds").select("a", "b")
-    failed = tried.where("not holds")
-    if failed.isEmpty():
-        return found
-    groups = materialise(components(tried.select("a", "b")), "groups")
-    open_ = failed.select(F.col("a").alias("node")).join(groups, "node").select("root").distinct()
-    left = nodes.join(groups.join(open_, "root").select("node"), "node")
-    left = materialise(left, "left")
-    for turn in range(1, ROUNDS + 1):
-        labels = components(found).withColumnRenamed("root", "label")
-        now = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        tried = checked(candidates(materialise(now, "left"), radius, least, turn), "tried")
-        found = found.union(tried.where("holds").select("a", "b"))
-        if tried.where("not holds").isEmpty():
-            break
-    return found
+    def shingle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A repeated id may stand for several texts: only the node's own counts."""
+        for part in parts:
+            at, got = [], []
+            for k, (node, raw) in enumerate(zip(part.column(0).to_pylist(), part.column(4))):
+                hashes = shingle_set(raw.as_py(), words)
+                if set_node(hashes) == node:
+                    at.append(k)
+                    got.append(hashes.astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([*part.select(["node", "root", "sketch", "size"]).take(pa.array(at, pa.int64())).columns, pa.array(got, pa.binary())], names=["node", "root", "sketch", "size", "hashes"])
+
+    own = slim.join(ids, slim["doc_id"].eqNullSafe(ids["_id"]) & slim["key"].eqNullSafe(ids["_key"])).select("node", "root", "sketch", "size", "raw")
+    sets = materialise(own.mapInArrow(shingle, "node long, root long, sketch binary, size long, hashes binary").dropDuplicates(["node"]), "sets")
+    # Large groups are cut into tiles. There is at most one for each GROUP_NODES nodes and one for each
+    # GROUP_SHINGLES shingles, which bounds what is broadcast.
+    tiles = F.greatest(F.ceil(F.count("*") / GROUP_NODES), F.ceil(F.sum("size") / GROUP_SHINGLES)).cast("int")
+    large = sets.groupBy("root").agg(tiles.alias("k")).where("k > 1")
+    totals = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()
+    buckets = max(1, -(-totals["n"] // GROUP_NODES), -(-totals["s"] // GROUP_SHINGLES))
+    dealt = sets.join(F.broadcast(large), "root", "left").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(5)), F.coalesce("k", F.lit(1))).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1), lambda u: F.struct(F.least("tile", u).alias("i"), F.greatest("tile", u).alias("j")))
+    task = F.when(F.col("k").isNull(), F.pmod(F.xxhash64("root", F.lit(6)), F.lit(buckets))).otherwise(F.col("root"))
+    dealt = dealt.select(F.col("k").isNotNull().alias("big"), task.alias("task"), F.explode(pairs).alias("p"), "tile", "node", "root", "sketch", "hashes")
+    dealt = dealt.select("big", "task", "p.i", "p.j", "tile", "node", "root", "sketch", "hashes")
+
+    def run(key: tuple, got: pa.Table) -> pa.Table:
+        node, root, tile = (np.asarray(got.column(c)) for c in ("node", "root", "tile"))
+        hashes = [np.frombuffer(h.as_py(), "<u8") for h in got.column("hashes")]
+        sketches = np.frombuffer(b"".join(got.column("sketch").to_pylist()), np.uint8).reshape(len(node), BINS)
+        i, j = key[2].as_py(), key[3].as_py()
+        found: list[tuple[int, int]] = []
+        if i != j:
+            found = linked_sets(hashes, sketches, np.flatnonzero(tile == i), np.flatnonzero(tile == j), least)
+        else:
+            order = np.argsort(root, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+                if len(rows) > 1:
+                    few = [hashes[r] for r in rows]
+                    every = np.arange(len(rows))
+                    found += [(int(rows[x]), int(rows[y])) for x, y in linked_sets(few, sketches[rows], every, every, least)]
+        a, b = (np.array([node[f[c]] for f in found], np.int64) for c in (0, 1))
+        return pa.table({"a": a, "b": b})
+
+    return dealt.groupBy("big", "task", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def test_similarities_about_the_threshold_are_exact(spark):
     assert all(got[2 * g] == 2 * g for g in range(150))
 
 
-def test_candidates_behind_a_failed_pair_are_tried(spark):
+def test_candidates_behind_a_failed_pair_are_tried(spark, monkeypatch):
     """In a crowd of pairs below and above the threshold the components are those of all pairs."""
     rng = random.Random(12)
     rows = []
@@ -99,8 +99,11 @@ def test_candidates_behind_a_failed_pair_are_tried(spark):
             rows.append((len(rows), " ".join(words), "en", "s", 1))
     sets = [brute.shingles(r[1], 5) for r in rows]
     want = brute.components([r[0] for r in rows], lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    got = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(spark.createDataFrame(rows, DOCS), radius=64).collect()}
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(docs, radius=64).collect()}
     assert got == want
+    monkeypatch.setattr(s, "GROUP_NODES", 7)  # groups of 20 in three tiles
+    assert {r["doc_id"]: r["component_id"] for r in s.near_duplicates(docs, radius=64).collect()} == want
 
 
 def test_repeated_lines_do_not_move_the_fingerprint():
