@@ -8,9 +8,11 @@ part of the residual parallel to the vector itself, so centroids and codes minim
 over the subspaces, centroids by solving the weighted least squares of their members.
 
 The index holds every row: two four-bit codes a byte, in blocks. A query's scores against a
-block are sums of table rows, one 256-entry table for each byte; each block returns each query's
-best ``candidates`` codes, the best of all blocks are kept, and those are reranked by the exact
-distance on the original vectors.
+part are sums of table rows, one 256-entry table for each byte. Codes whose score comes within
+``margin`` of the part's ``candidates``-th best (however many: crowds of near copies share codes)
+are scored again with their residuals, a signed byte for each dimension at a scale of the vector's own.
+The best ``candidates`` of these, over all parts, are reranked by the exact distance on the original
+vectors. The margin is MARGIN standard deviations of the codes' error, taken from the sample.
 
 Copies of one vector beyond the first ``k`` + 1 (by id) cannot be among any query's nearest, so
 they are left out of the index; crowds of copies cannot fill a candidate list.
@@ -38,8 +40,10 @@ SAMPLE = 20_000
 ETA = 3.0
 CENTROIDS = 16
 BLOCK = 4096
-QUERY_BLOCK = 1024
+#: Queries that meet a part's codes in one task: codes are shuffled once for each so many.
+QUERY_BLOCK = 1 << 14
 CANDIDATES = 120
+MARGIN = 3.0
 PARTS_LEAST, PART_ROWS = 8, 1 << 20
 
 
@@ -82,6 +86,27 @@ class Codebook:
         return (high[:, :, :, None] + low[:, :, None, :]).reshape(len(queries), m // 2, 256)
 
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.centroids[s][codes[:, s]] for s in range(len(self.centroids))], 1)
+
+
+def residuals(x: np.ndarray, coded: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A signed byte for each dimension, each row's scale, and what turns the codes' score into the
+    one of the refined vector y: q . y - |y|^2 / 2."""
+    rest = (x - coded)[:, :dims]
+    scale = (np.abs(rest).max(1) / 127).astype(np.float32)
+    small = np.round(rest / np.maximum(scale, 1e-30)[:, None]).astype(np.int8)
+    y = coded[:, :dims] + small * scale[:, None].astype(np.float64)
+    return small, scale, (-coded[:, dims] - 0.5 * (y**2).sum(1)).astype(np.float32)
+
+
+def score_error(book: Codebook, vectors: np.ndarray) -> float:
+    """Standard deviation of the codes' error in a score, each row asked for by another one."""
+    x = padded(vectors)
+    asked = padded(np.roll(vectors, 1, axis=0), np.ones(len(vectors)))
+    return float((asked * (x - book.decode(book.encode(x)))).sum(1).std())
+
+
 def pack(codes: np.ndarray) -> np.ndarray:
     return codes[:, 0::2] | (codes[:, 1::2] << 4)
 
@@ -175,7 +200,9 @@ def nearest(
         return spark.createDataFrame([], empty)
     x = np.array([r["v"] for r in sorted(few, key=lambda r: (r["id"], r["v"]))])
     scale = float(np.sqrt((x**2).sum(1).mean())) or 1.0
-    book = spark.sparkContext.broadcast(fit(padded(x / scale)))
+    fitted = fit(padded(x / scale))
+    margin = MARGIN * score_error(fitted, x / scale)
+    book = spark.sparkContext.broadcast(fitted)
 
     copies = Window.partitionBy("v").orderBy("id")
     index = clean.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1)
@@ -184,13 +211,14 @@ def nearest(
         for part in parts:
             for i in range(0, part.num_rows, BLOCK):
                 few = part.slice(i, BLOCK)
-                codes = pack(book.value.encode(padded(matrix(few.column(1)) / scale)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([np.asarray(few.column(0)).astype("<i8").tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary())],
-                    names=["ids", "codes"],
-                )
-
-    blocks = index.select("id", "v").mapInArrow(encode, "ids binary, codes binary")
+                x = matrix(few.column(1)) / scale
+                wide = padded(x)
+                codes = book.value.encode(wide)
+                small, sizes, lift = residuals(wide, book.value.decode(codes), x.shape[1])
+                cells = (np.asarray(few.column(0)).astype("<i8"), pack(codes), small, np.stack([sizes, lift], 1).astype("<f4"))
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], names=["ids", "codes", "rest", "sizes"])
+
+    blocks = index.select("id", "v").mapInArrow(encode, "ids binary, codes binary, rest binary, sizes binary")
     queries = clean.where(is_query).select("id", "v")
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(n_blocks)).cast("int"))
@@ -210,8 +238,8 @@ def nearest(
     # more parts than that; many queries make many blocks, which run side by side.
     slices = max(PARTS_LEAST, -(-clean.count() // PART_ROWS))
     sent = blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
-    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select("block", "part", F.lit(False).alias("q"), "ids", "codes")
-    spread = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select("block", "part", F.lit(True).alias("q"), "ids", "codes")
+    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select("block", "part", F.lit(False).alias("q"), "ids", "codes", "rest", "sizes")
+    spread = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select("block", "part", F.lit(True).alias("q"), "ids", "codes", F.lit(None).cast("binary").alias("rest"), F.lit(None).cast("binary").alias("sizes"))
 
     def search(got: pa.Table) -> pa.Table:
         is_q = np.array(got.column("q").to_pylist(), bool)
@@ -222,19 +250,27 @@ def nearest(
         if len(q_id) and len(c_id):
             q = np.frombuffer(b"".join(data[i] for i in np.flatnonzero(is_q)), "<f8").reshape(len(q_id), -1) / scale
             codes = np.frombuffer(b"".join(data[i] for i in np.flatnonzero(~is_q)), np.uint8).reshape(len(c_id), -1)
+            mine = np.flatnonzero(~is_q)
+            rest, sizes = (got.column(n).to_pylist() for n in ("rest", "sizes"))
+            small = np.frombuffer(b"".join(rest[i] for i in mine), np.int8).reshape(len(c_id), -1)
+            size, lift = np.frombuffer(b"".join(sizes[i] for i in mine), "<f4").reshape(-1, 2).T
             by_byte = np.ascontiguousarray(codes.T)
             wide = padded(q, np.ones(len(q)))
+            asked = q.astype(np.float32)
             for i in range(0, len(q), 16):
                 lut = book.value.tables(wide[i : i + 16])
                 for j, table in enumerate(lut, i):
-                    for a in range(0, len(c_id), 1 << 16):
-                        score = np.zeros(min(1 << 16, len(c_id) - a), np.float32)
-                        for row, byte in zip(table, by_byte[:, a : a + (1 << 16)]):
-                            score += row[byte]
-                        best = top(score, c_id[a : a + (1 << 16)], candidates + 1)
-                        out_q.append(np.full(len(best), q_id[j]))
-                        out_c.append(c_id[a + best])
-                        out_s.append(score[best])
+                    score = np.zeros(len(c_id), np.float32)
+                    for row, byte in zip(table, by_byte):
+                        score += row[byte]
+                    # All near the cut, then their scores with the residuals.
+                    cut = np.partition(score, -candidates - 1)[-candidates - 1] - margin if len(score) > candidates + 1 else -np.inf
+                    close = np.flatnonzero(score >= cut)
+                    fine = score[close] + (small[close] @ asked[j]) * size[close] + lift[close]
+                    best = top(fine, c_id[close], candidates + 1)
+                    out_q.append(np.full(len(best), q_id[j]))
+                    out_c.append(c_id[close[best]])
+                    out_s.append(fine[best])
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
         return pa.table({"query_id": cat(out_q, np.int64), "vec_id": cat(out_c, np.int64), "near": cat(out_s, np.float64)})
 

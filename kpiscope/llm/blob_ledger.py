@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 
 from kpiscope.llm.common import new_path, require_columns
 
+#: Matches whose places are summed at a time.
+RUN = 64
+#: The paths of one blob are joined to its findings in so many parts.
+SALTS = 8
 LEDGER = "blob binary, rules array<string>, found array<struct<kind:string,start:int,end:int>>"
 
 
@@ -67,15 +71,30 @@ def rule_spans(text: Column, rule: Rule) -> Column:
         lambda p, t: F.struct(p["gap"].alias("gap"), p["len"].alias("len"), (F.length(t) >= rule.at_least).alias("ok")),
     )
     none = F.array().cast("array<struct<start:int,end:int,ok:boolean>>")
-    placed = F.aggregate(
-        lens,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["len"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["len"]).alias("end"), x["ok"].alias("ok")))).alias("out"),
+    # Growing an array by one copies it, so places are summed in runs of RUN matches: the runs'
+    # own starts first, then the places within each.
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(lens) - 1) / RUN), F.lit(0)).cast("int")), lambda i: F.slice(lens, i * RUN + 1, F.lit(RUN)))
+    starts = F.aggregate(
+        runs,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, run: F.struct(
+            (acc["at"] + F.aggregate(run, F.lit(0), lambda n, x: n + x["gap"] + x["len"])).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")
         ),
         lambda acc: acc["out"],
     )
+
+    def places(run: Column, start: Column) -> Column:
+        return F.aggregate(
+            run,
+            F.struct(start.alias("at"), none.alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["gap"] + x["len"]).alias("at"),
+                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["len"]).alias("end"), x["ok"].alias("ok")))).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
+
+    placed = F.flatten(F.zip_with(runs, starts, places))
     spans = F.transform(F.filter(placed, lambda s: s["ok"]), lambda s: F.struct(F.lit(rule.kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     may = F.contains(text, F.lit(rule.needs)) if rule.needs else text.rlike(rule.pattern)
@@ -126,8 +145,8 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 def findings(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """All versions with ``spans``, the findings of the present rule versions in their blob.
 
-    Only blobs with findings are joined back; the paths of one blob may be many, which the
-    join's skew handling splits, as the other side has one row a blob.
+    Only blobs with findings are joined back. The paths of one blob may be a third of all; they
+    are dealt into SALTS parts, each with its own row of the blob's findings.
     """
     require_columns(versions, [text, *keep])
     ids = F.array(*[F.lit(r.id) for r in rules])
@@ -137,10 +156,13 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RUL
     rows = rows.withColumn("found", F.filter("found", lambda s: F.array_contains(kinds, s["kind"]) & F.exists("rules", lambda r: F.array_contains(ids, r) & (F.split_part(r, F.lit("@"), F.lit(1)) == s["kind"]))))
     hits = rows.where(F.size("found") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
     raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    slim = versions.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.unhex(F.sha2(raw, 256)).alias("blob"))
+    kept = [F.col(f"`{c}`") for c in keep]
+    salt = F.pmod(F.xxhash64(*kept) if kept else F.lit(0), F.lit(SALTS)).cast("int")
+    slim = versions.select(*[c.alias(f"k{i}") for i, c in enumerate(kept)], F.unhex(F.sha2(raw, 256)).alias("blob"), salt.alias("salt"))
+    hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spans = F.coalesce("found", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(kinds, s["kind"]).alias("no"), s["end"].alias("end"), s["kind"].alias("kind")))
-    joined = slim.join(hits, "blob", "left")
+    joined = slim.join(hits, ["blob", "salt"], "left")
     return joined.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "blob", F.array_sort(keyed).alias("spans"))
 
 

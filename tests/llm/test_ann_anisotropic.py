@@ -40,6 +40,25 @@ def test_recall_ties_copies_and_bad_vectors(spark):
     assert [m[2] for m in sorted(got[1000])] == [7, *range(1001, 1010)]
 
 
+def test_crowds_of_near_copies(spark):
+    """Neighbours within a crowd that shares codes, and outside it."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=24)
+    rows = [(i, (centre + 0.01 * rng.normal(size=24)).tolist(), "") for i in range(1500)]
+    rows += [(2000 + i, rng.normal(size=24).tolist(), "") for i in range(1500)]
+    got = {}
+    for r in a.nearest(frame(spark, rows), F.col("id") % 100 == 0, k=10).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    x = np.array([np.array(v, np.float32) for _, v, _ in rows], float)
+    ids = np.array([r[0] for r in rows])
+    hits = {True: [], False: []}
+    for k in np.flatnonzero(ids % 100 == 0):
+        d = ((x - x[k]) ** 2).sum(1)
+        d[k] = np.inf
+        hits[bool(ids[k] < 1500)].append(len(got[int(ids[k])] & set(ids[np.argsort(d)[:10]].tolist())) / 10)
+    assert np.mean(hits[True]) >= 0.9 and np.mean(hits[False]) >= 0.9
+
+
 def test_few_and_none(spark):
     rows = [(0, [1.0, 2.0], ""), (1, [1.0, 2.0], ""), (2, [3.0, 2.0], "")]
     got = a.nearest(frame(spark, rows), F.col("id") == 0, k=10).orderBy("rank").collect()
