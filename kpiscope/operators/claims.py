@@ -160,6 +160,25 @@ def plan(a: Mapping[str, object], persona: str) -> dict[str, str]:
     return out
 
 
+def fit_words(sections: Mapping[str, str], required: Sequence[str], most: int) -> dict[str, str]:
+    """The sections within ``most`` words: those that are not required go first, from the end, then
+    required ones are cut at a sentence, from the end; the first section stays whole."""
+    out = dict(sections)
+
+    def words() -> int:
+        return sum(len(t.split()) for t in out.values())
+
+    for name in reversed([s for s in sections if s not in required]):
+        if words() > most:
+            del out[name]
+    for name in list(reversed(out))[:-1]:
+        parts = re.split(r"(?<=[.!?])\s+", out[name])
+        while words() > most and len(parts) > 1:
+            parts.pop()
+            out[name] = " ".join(parts)
+    return out
+
+
 def render(sections: Mapping[str, str], contract: ClaimContract, draft=None, max_calls: int = 2) -> dict[str, object]:
     """A drafter (a callable from sections to sections) may rewrite, at most ``max_calls`` times;
     what does not pass is dropped for the template, and a template that does not pass for the

@@ -55,7 +55,7 @@ def causal(estimates: DataFrame) -> DataFrame:
 def gaps(freshness: DataFrame, coverage: DataFrame, defects: DataFrame) -> DataFrame:
     """Stale sources, variables of little coverage, and severe defects."""
     return union([
-        rows(freshness.where("status = 'STALE'"), "DATA_GAP", "GAP", "META", _none(), F.concat(F.lit("stale source "), F.col("source")), F.lit(1.0)),
+        rows(freshness.where("status in ('STALE', 'MISSING')"), "DATA_GAP", "GAP", "META", _none(), F.concat(F.lit("stale source "), F.col("source")), F.lit(1.0)),
         rows(coverage.where("status in ('SPARSE', 'ABSENT')"), "DATA_GAP", "GAP", "META", _none(), F.concat(F.lit("little coverage of "), F.col("variable")), F.col("pct")),
         rows(defects.where("severity = 'HIGH' and affected > 0"), "DATA_GAP", "GAP", "META", _none(), F.concat(F.lit("severe defect "), F.col("defect_id")), F.col("rate")),
     ])

@@ -94,7 +94,8 @@ def concurrent_shocks(changepoints: Mapping[str, dt.date | None], t0: dt.date, h
 
 
 def robustness(units: DataFrame, y: str, base: Mapping[str, object], negative_control: str | None = None) -> dict[str, object]:
-    """Plain day effects instead of line x day; each control cell left out; a control outcome."""
+    """Plain day effects instead of line x day; each control cell left out; a control outcome,
+    on which the randomisation test must find nothing (p over 0.10)."""
     out: dict[str, object] = {}
     b = float(base["estimate"])
     pdf = estimate.did_frame(units, y, group="product_line")
@@ -107,11 +108,22 @@ def robustness(units: DataFrame, y: str, base: Mapping[str, object], negative_co
     spread = (max(values) - min(values)) / abs(b) if values and b else math.inf
     out["LEAVE_ONE_OUT"] = {"pass": spread < 0.50, "range": spread}
     if negative_control and negative_control in units.columns:
-        r, _ = estimate.did_kernel(estimate.did_frame(units, negative_control, group="product_line"), negative_control, group="product_line")
-        out["NEGATIVE_CONTROL"] = {"pass": r["status"] != "OK" or not r["p"] < 0.05, "p": r.get("p")}
+        r, kernel = estimate.did_kernel(estimate.did_frame(units, negative_control, group="product_line"), negative_control, group="product_line")
+        p = estimate.randomisation(units.sparkSession, *kernel)["ri_p"] if kernel is not None else None
+        out["NEGATIVE_CONTROL"] = {"pass": p is None or p > 0.10, "p": p}
     return out
 
 
+def series_robustness(its: Mapping[str, object]) -> dict[str, object]:
+    """The checks of an interrupted series: nothing at a placebo date, and residuals that do not
+    depend on each other."""
+    placebo = its["placebo"]
+    return {
+        "PLACEBO": {"pass": placebo["status"] == "PASS", "p": placebo.get("p")},
+        "RESIDUALS": {"pass": its["ljung_box_p"] > 0.01, "durbin_watson": its["durbin_watson"], "p": its["ljung_box_p"]},
+    }
+
+
 def assumptions(result: Result, coverage_pct: float) -> list[dict]:
     """What each design rests on, and how it stands; those of unused designs do not apply."""
     use_did, use_its = bool(result.did.get("eligible")), bool(result.its.get("eligible"))
@@ -178,6 +190,8 @@ def evaluate(
         got = estimate.its(panel.select("date", F.col(h.outcome).alias("value"), "is_holiday", "is_promo"), h.t0)
         ok, failed = its_eligible(got, concurrent_shocks(changepoints, h.t0, h, dag))
         out.its = {"eligible": ok, "failed": failed, **got}
+        if ok and not out.did.get("eligible"):
+            out.robustness = series_robustness(got)
     if not out.temporal.passed:
         out.status, out.reasons = ASSOCIATION, [out.temporal.code]
     elif out.strategy["strategy"] == "NONE":

@@ -154,7 +154,15 @@ def detect(series: DataFrame, base: tuple[dt.date, dt.date], focus: tuple[dt.dat
     10 baseline days there is no percentage. For stocks and ratios the focus value is the
     contract's window value.
     """
-    known = series.where("value is not null")
+    # A row a day: one partition in memory serves all the passes below.
+    known = series.where("value is not null").coalesce(1).cache()
+    try:
+        return _detect(known, base, focus, flow, focus_value, permutations, seed)
+    finally:
+        known.unpersist()
+
+
+def _detect(known: DataFrame, base: tuple[dt.date, dt.date], focus: tuple[dt.date, dt.date], flow: bool, focus_value: float | None, permutations: int, seed: int) -> Movement:
     d = F.col("date")
     in_base = d.between(*map(F.lit, base)) & cal.baseline_eligible(d)
     row = known.agg(

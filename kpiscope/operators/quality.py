@@ -129,7 +129,7 @@ def worst_severity(defects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def stale_sources(freshness_rows: DataFrame) -> DataFrame:
-    return freshness_rows.where("status = 'STALE'").select("source")
+    return freshness_rows.where("status in ('STALE', 'MISSING')").select("source")
 
 
 def blocking_gaps(gaps: DataFrame, kpi: str) -> DataFrame:

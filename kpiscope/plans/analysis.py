@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiscope.functions.calendar import days, stamp
-from kpiscope.operators import claims, conform, decision, decompose, evidence, identify, metrics, movement, panel, structure
+from kpiscope.operators import claims, conform, decision, decompose, evidence, identify, metrics, movement, panel, quality, structure
 from kpiscope.operators.metrics import FLOW, ContractViolation
 from kpiscope.plans.contract import Contract, load
-from kpiscope.plans.policy import PERSONAS, AccessDenied, AuditLog, Decision, decide, scoped
+from kpiscope.plans.policy import PERSONAS, AccessDenied, AuditLog, Decision, Tripwire, check_payload, decide, scoped
 from kpiscope.plans.telemetry import Telemetry
 from kpiscope.sources import loaders
 
@@ -57,6 +57,14 @@ def conform_bundle(bundle: Mapping[str, DataFrame], start: dt.date, end: dt.date
     return got
 
 
+def source_freshness(manifest: DataFrame) -> DataFrame:
+    """(source, age_hours, status) from a manifest: refresh times without an offset are local;
+    a source that was never refreshed is missing."""
+    age = quality.refresh_age_hours(F.col("last_refresh_at"), F.col("as_of").cast("timestamp"))
+    status = F.when(F.col("last_refresh_at").isNull(), "MISSING").otherwise(quality.freshness(age, F.col("cadence_hours")))
+    return manifest.select("source", age.alias("age_hours"), status.alias("status"))
+
+
 @dataclass(frozen=True)
 class Scenario:
     scenario_id: str
@@ -67,7 +75,11 @@ class Scenario:
     launch: dt.date | None = None
 
 
+#: Scenario ids, windows and dates.
 _T0 = dt.date(2026, 7, 31)
+LAUNCH = dt.date(2026, 8, 7)
+#: The KPIs that an analysis looks at beside its own.
+CONNECTED = ("units_sold", "avg_selling_price", "on_time_dispatch_rate", "complaint_rate", "subscription_arr")
 _FULFIL = identify.Hypothesis("fulfilment", "on_time_dispatch_rate", t0=_T0, treated=("North",), prior_lag=(2, 5))
 _RIVAL = identify.Hypothesis("competitor", "competitor_promo", designs=(), prior_lag=(0, 3))
 _MKT = identify.Hypothesis("marketing", "marketing_spend", designs=(), resolution_days=7.0, prior_lag=(3, 10))
@@ -75,8 +87,8 @@ SCENARIOS: Mapping[str, Scenario] = {
     s.scenario_id: s
     for s in (
         Scenario("SC_MULTIFACTOR", "net_revenue", (_FULFIL, _RIVAL, _MKT, identify.Hypothesis("price", "avg_selling_price", designs=()), identify.Hypothesis("complaints", "complaint_rate", designs=()))),
-        Scenario("SC_LOWCONF", "net_revenue", (_MKT, _RIVAL), (dt.date(2026, 8, 7), dt.date(2026, 8, 25)), (dt.date(2026, 6, 15), dt.date(2026, 8, 6))),
-        Scenario("SC_SPARSE", "subscription_arr", (_MKT,), (dt.date(2026, 8, 12), dt.date(2026, 8, 25)), (dt.date(2026, 8, 5), dt.date(2026, 8, 11)), launch=dt.date(2026, 8, 7)),
+        Scenario("SC_LOWCONF", "net_revenue", (_MKT, _RIVAL, _FULFIL), (dt.date(2026, 8, 7), dt.date(2026, 8, 25)), (dt.date(2026, 6, 15), dt.date(2026, 8, 6))),
+        Scenario("SC_SPARSE", "subscription_arr", (_MKT,), (dt.date(2026, 8, 12), dt.date(2026, 8, 25)), (dt.date(2026, 8, 5), dt.date(2026, 8, 11)), launch=LAUNCH),
         Scenario("SC_SECURITY", "net_revenue", (_FULFIL,)),
     )
 }
@@ -97,6 +109,7 @@ class Engine:
     contract: Contract = field(default_factory=load)
     audit: AuditLog = field(default_factory=AuditLog)
     permutations: int = 800
+    drafter: Callable[[dict[str, str]], dict[str, str]] | None = None
     history: list[dict] = field(default_factory=list)
 
     # -- data ------------------------------------------------------------------------------
@@ -137,7 +150,8 @@ class Engine:
         ops = ops.select("date", F.try_divide("dispatched_within_sla", "dispatch_attempts").alias("on_time_dispatch_rate"), (1000 * F.try_divide("complaint_tickets", "shipped_orders")).alias("complaint_rate"))
         mkt = self.data.marketing.where(r).groupBy("date").agg(F.sum("marketing_spend").alias("marketing_spend"))
         ext = panel.observed_mean(self.data.external.withColumnRenamed("promo_active", "competitor_promo"), "competitor_promo")
-        got = panel.daily_panel(stamp(days(self.spark, self.start, self.end)), {"a": fact, "b": ops, "c": mkt, "d": ext})
+        arr = self.data.fact.where(r & ~F.col("_quarantined")).groupBy("date").agg((12 * F.sum("monthly_subscription_revenue")).alias("subscription_arr"))
+        got = panel.calendar_panel(self.spark, self.start, self.end, {"a": fact, "b": ops, "c": mkt, "d": ext, "e": panel.unknown_before(arr, "subscription_arr", LAUNCH)})
         return panel.seasonal_index(got, "units_sold").withColumn("promo_calendar", F.col("is_promo").cast("double"))
 
     def units(self, h: identify.Hypothesis, regions: Sequence[str], window: tuple[dt.date, dt.date]) -> DataFrame | None:
@@ -166,20 +180,22 @@ class Engine:
         with tel.span("decomposition"):
             terms = self.decomposition(d, kpi, sc)
         with tel.span("hypotheses"):
-            p = self.panel(d.regions).withColumn("is_post", F.col("date") >= F.lit(sc.focus[0])).where(F.col("date").between(F.lit(sc.baseline[0]), F.lit(sc.focus[1]))).cache()
+            p = self.panel(d.regions).withColumn("is_post", F.col("date") >= F.lit(sc.focus[0])).where(F.col("date").between(F.lit(sc.baseline[0]), F.lit(sc.focus[1]))).coalesce(1).cache()  # a row a day
             cover = {r["variable"]: r["pct"] for r in panel.coverage(p, [h.driver for h in sc.hypotheses]).collect()}
             observed = [c for c in p.columns if c in self.contract.dag.nodes]
             results = []
             for h in sc.hypotheses:
                 scope = identify.scope(h, d.regions)
                 u = self.units(scope, d.regions, (sc.baseline[0], sc.focus[1]))
-                u = u.cache() if u is not None else None
+                u = u.coalesce(1).cache() if u is not None else None  # a row a cell and day
                 results.append(identify.evaluate(scope, p, u, self.contract.dag, observed, {k: v.split_date for k, v in connected.items()}, cover.get(h.driver, 0.0), "list_price"))
             family = identify.multiplicity(self.spark, results)
         with tel.span("evidence"):
-            facts = self.evidence(kpi, move, terms, results, cover, sc)
+            found = self.evidence(kpi, move, terms, results, cover, sc).cache()
+            facts = [r.asDict() for r in found.collect()]
+            cited = {h.hypothesis_id: [r["evidence_id"] for r in decision.retrieve(found, h.hypothesis_id).orderBy("evidence_id").collect()] for h in sc.hypotheses}
             edges = {(r["source"], r["target"]): r["verdict"] for r in structure.screen(p, self.contract.dag).collect()}
-            hyp = self.assess(results, facts, kpi, move, cover, edges)
+            hyp = self.assess(results, facts, kpi, move, cover, edges, {h.hypothesis_id: self.exposure(r, h, d, sc, terms) for r, h in zip(results, sc.hypotheses)})
         with tel.span("actions"):
             frame = self.spark.createDataFrame([(h["hypothesis_id"], h["driver"], h["status"], h["action"]) for h in hyp], "hypothesis string, driver string, status string, action string")
             recs = [r.asDict() for r in decision.recommend(frame, decision.playbooks(self.spark), persona).select("rank", "hypothesis", "playbook_id", "score", "conflicts_with").orderBy("rank").collect()]
@@ -187,17 +203,22 @@ class Engine:
         out = {
             "request_id": uuid.uuid4().hex[:12], "scenario": scenario_id, "persona": persona, "kpi": sc.kpi, "grain": d.grain, "regions": list(d.regions),
             "value": value, "movement": asdict(move), "alert": move.pct is not None and _crosses(move.pct, kpi), "connected": {k: asdict(v) for k, v in connected.items()},
-            "decomposition": terms, "hypotheses": hyp, "multiplicity": family, "evidence": facts, "recommendations": recs, "gaps": gaps, "lineage": self.contract.lineage_card(sc.kpi),
+            "decomposition": terms, "hypotheses": hyp, "multiplicity": family, "evidence": facts, "n_evidence": len(facts), "cited": cited, "recommendations": recs, "gaps": gaps, "lineage": self.contract.lineage_card(sc.kpi),
+            "run": {"contract": self.contract.digest, "transforms": [t.transform_id for t in conform.TRANSFORMS], "row_filter": list(d.regions), "focus": [str(x) for x in sc.focus], "baseline": [str(x) for x in sc.baseline], "permutations": self.permutations},
         }
         out["abstention"] = claims.abstain([h["status"] for h in hyp])
         out["clarification"] = self.clarify(out, sc, results)
         out["benchmark"] = self.benchmark(sc, d) if sc.launch else None
         with tel.span("text", "TEXT"):
             status = {h["driver"]: h["status"] for h in hyp}
-            sections = claims.plan(out, persona)
+            sections = claims.fit_words(claims.plan(out, persona), claims.PROFILES[persona].sections, PERSONAS[persona].max_words)
             foreign = set(PERSONAS["cfo"].regions) - set(d.regions)
             contract = claims.build(out, status, d.regions, foreign, claims.PROFILES[persona].sections, (), PERSONAS[persona].max_words)
-            out["narrative"] = claims.render(sections, contract) | {"contract": contract.digest}
+            try:
+                check_payload(sections, d)  # nothing that the persona may not see reaches a drafter
+                out["narrative"] = claims.render(sections, contract, self.drafter) | {"contract": contract.digest}
+            except Tripwire as e:
+                out["narrative"] = {"mode": "DEGRADED", "sections": {s: "This section was withheld." for s in contract.required}, "calls": 0, "faults": [("Y5", str(e))], "contract": contract.digest}
         out["telemetry"] = tel.report()
         self.history.append({"scenario": scenario_id, "persona": persona, "ms": tel.total_ms()})
         return out
@@ -206,13 +227,23 @@ class Engine:
         return self.data.fact.where(F.col("region").isin(*d.regions) & ~F.col("_quarantined"))
 
     def connected(self, d: Decision, sc: Scenario, persona: str) -> dict[str, movement.Movement]:
-        """Movements of the persona's other KPIs, each with its own seed."""
+        """Movements of the KPIs beside the analysis's own that the persona may see, over the
+        granted regions, each with its own seed."""
         out = {}
-        for name in ("units_sold", "avg_selling_price"):
-            if name == sc.kpi or name not in PERSONAS[persona].kpis:
+        for name in CONNECTED:
+            if name == sc.kpi or not decide(persona, name, self.contract.rules[name]).granted:
                 continue
-            s = metrics.kpi_series(self.scoped_fact(d), self.contract.kpi(name)).select("date", "value")
-            out[name] = movement.detect(s, sc.baseline, sc.focus, self.contract.kpi(name).time_aggregation == FLOW, None, min(250, self.permutations), seed=sum(map(ord, name)))
+            kpi, src = self.contract.kpi(name), self.source_of(name)
+            src = src.where(F.col("region").isin(*d.regions))
+            if d.warehouses and "warehouse" in src.columns:
+                src = src.where(F.col("warehouse").isin(*d.warehouses))
+            if "_quarantined" in src.columns:
+                src = src.where(~F.col("_quarantined"))
+            s = metrics.kpi_series(src, kpi)
+            if name == "subscription_arr":
+                s = s.where(F.col("date") >= F.lit(LAUNCH))
+            value = metrics.window_value(s, kpi, *sc.focus).first()["value"]
+            out[name] = movement.detect(s.select("date", "value"), sc.baseline, sc.focus, kpi.time_aggregation == FLOW, value, min(250, self.permutations), seed=sum(map(ord, name)))
         return out
 
     def decomposition(self, d: Decision, kpi: metrics.Kpi, sc: Scenario) -> list[dict]:
@@ -222,7 +253,7 @@ class Engine:
             return []
         return [{"term": t, "value": row[t], "pp": row[f"{t}_pp"], "share": row[f"{t}_share"]} for t in decompose.TERMS]
 
-    def evidence(self, kpi, move, terms, results, cover, sc) -> list[dict]:
+    def evidence(self, kpi, move, terms, results, cover, sc) -> DataFrame:
         parts = []
         if move.pct is not None:
             parts.append(evidence.movement(self.spark.createDataFrame([(kpi.kpi_id, float(move.pct), 60)], "kpi string, pct double, n int")))
@@ -236,16 +267,16 @@ class Engine:
         treated = next((h.treated[0] for h in sc.hypotheses if h.treated), None)
         if treated:
             parts.append(evidence.operational(self.data.ops_region, sc.baseline, sc.focus, treated))
-        return [r.asDict() for r in evidence.union(parts).collect()]
+        return evidence.union(parts)
 
-    def assess(self, results, facts, kpi, move, cover, edges) -> list[dict]:
+    def assess(self, results, facts, kpi, move, cover, edges, stakes: Mapping[str, float]) -> list[dict]:
         rows = []
         for r in results:
             mine = [e for e in facts if r.hypothesis_id in e["hypotheses"] and e["stance"] == "SUPPORT"]
             gaps = sum(e["stance"] == "GAP" for e in facts)
             failures = sum(not v["pass"] for v in r.robustness.values())
             rows.append((r.hypothesis_id, float(max([e["weight"] for e in mine], default=0.0)), bool(r.temporal and r.temporal.passed), float(r.temporal.r) if r.temporal and r.temporal.r is not None else None, r.status,
-                         len({e["source"] for e in mine}), edges.get((r.driver, "units_sold"), "NOT_TESTABLE"), cover.get(r.driver, 0.0) / 100, gaps, float(r.p) if r.p is not None else None, failures, float(self.exposure(r, move))))
+                         len({e["source"] for e in mine}), edges.get((r.driver, "units_sold"), "NOT_TESTABLE"), cover.get(r.driver, 0.0) / 100, gaps, float(r.p) if r.p is not None else None, failures, float(stakes[r.hypothesis_id])))
         f = self.spark.createDataFrame(rows, "hypothesis string, ev double, passed boolean, r double, status string, n int, structure string, complete double, gaps int, p double, failures int, exposure double")
         parts = decision.attention(*[F.col(c) for c in ("ev", "passed", "r", "status", "n", "structure", "complete", "gaps")])
         ratio = decision.impact_ratio(F.col("exposure"), F.lit(abs(move.pct or 0.0)), F.lit(float(kpi.materiality_abs)), F.lit(float(kpi.materiality_pct)))
@@ -258,12 +289,26 @@ class Engine:
                         "attention": {k: g[k] for k in (*decision.ATTENTION_WEIGHTS, "score")}, "rank": g["rank"], "statistical_tier": g["statistical_tier"], "impact_tier": g["impact_tier"], "priority": g["priority"], "action": g["action"], "exposure_per_day": g["exposure"]})
         return sorted(out, key=lambda h: h["rank"])
 
-    def exposure(self, r: identify.Result, move: movement.Movement) -> float:
-        """Value a day at stake: the identified share of the level, else that of the movement."""
-        level = move.baseline or 0.0
+    def exposure(self, r: identify.Result, h: identify.Hypothesis, d: Decision, sc: Scenario, terms: Sequence[dict]) -> float:
+        """Value a day at stake. An identified effect in units (the estimate is of logarithms): the
+        treated cells' units times the price before. A price hypothesis: the decomposition's price
+        term. All others: the change of the segment's revenue a day, which is no effect."""
+        regions = [x for x in h.treated if x in d.regions] or list(d.regions)
+        seg = F.col("region").isin(*regions)
+        fact = self.scoped_fact(d)
         if r.effect.get("kind") == "DID":
-            return level * r.effect["estimate"] / max(1, len(PERSONAS["cfo"].regions))
-        return (move.focus - move.baseline) if move.focus is not None and move.baseline is not None else 0.0
+            row = fact.where(seg & F.col("date").between(*map(F.lit, sc.baseline))).agg(
+                F.sum("units_sold").alias("q"), F.count_distinct("date").alias("days"), F.count_distinct("region", "product_line").alias("cells")
+            ).first()
+            cells = row["cells"] or 1
+            per_cell = float(row["q"] or 0.0) / max(1, row["days"]) / cells
+            price = metrics.baseline_price(fact, seg, *sc.baseline).first()["price"]
+            return metrics.exposure("DID", effect=math.expm1(r.effect["estimate"]) * per_cell, cells=cells, price=price)
+        term = next((t["value"] for t in terms if t["term"] == "price"), None)
+        if h.driver == "avg_selling_price" and term is not None:
+            return metrics.exposure("TERM", term=term)
+        before, after = (metrics.segment_revenue_per_day(fact, seg, *w).first()["per_day"] for w in (sc.baseline, sc.focus))
+        return metrics.exposure("DELTA", before=before, after=after)
 
     def clarify(self, out: dict, sc: Scenario, results: Sequence[identify.Result]) -> dict | None:
         found: dict[str, str] = {}
