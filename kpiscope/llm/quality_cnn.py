@@ -38,6 +38,8 @@ PER_CLASS, SAMPLE_BYTES = 1200, 12 << 20
 #: Documents a step, and chunks that are held at once.
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.01, 1e-4
 HELD = 512
+#: Few examples are gone over more often, for this many steps at least.
+STEPS = 400
 
 
 @dataclass
@@ -142,7 +144,7 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     rows = [chunk_rows(t, chunk_starts(len(t))) for t in texts]
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(texts)))):
         order = rng.permutation(len(texts))
         for i in range(0, len(order), BATCH):
             docs = order[i : i + BATCH]
