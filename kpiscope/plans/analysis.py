@@ -6,6 +6,7 @@ import datetime as dt
 import math
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +95,12 @@ SCENARIOS: Mapping[str, Scenario] = {
 }
 
 
+def side_by_side(f: Callable, items: Sequence) -> list:
+    """``f`` of each item, in order; the items' small Spark jobs run at a time."""
+    with ThreadPoolExecutor(max(1, len(items))) as pool:
+        return list(pool.map(f, items))
+
+
 class UnknownScenario(KeyError):
     pass
 
@@ -183,19 +190,24 @@ class Engine:
             p = self.panel(d.regions).withColumn("is_post", F.col("date") >= F.lit(sc.focus[0])).where(F.col("date").between(F.lit(sc.baseline[0]), F.lit(sc.focus[1]))).coalesce(1).cache()  # a row a day
             cover = {r["variable"]: r["pct"] for r in panel.coverage(p, [h.driver for h in sc.hypotheses]).collect()}
             observed = [c for c in p.columns if c in self.contract.dag.nodes]
-            results = []
-            for h in sc.hypotheses:
+            p.count()
+            breaks = {k: v.split_date for k, v in connected.items()}
+
+            def judge(h: identify.Hypothesis) -> identify.Result:
                 scope = identify.scope(h, d.regions)
                 u = self.units(scope, d.regions, (sc.baseline[0], sc.focus[1]))
                 u = u.coalesce(1).cache() if u is not None else None  # a row a cell and day
-                results.append(identify.evaluate(scope, p, u, self.contract.dag, observed, {k: v.split_date for k, v in connected.items()}, cover.get(h.driver, 0.0), "list_price"))
+                return identify.evaluate(scope, p, u, self.contract.dag, observed, breaks, cover.get(h.driver, 0.0), "list_price")
+
+            results = side_by_side(judge, sc.hypotheses)
             family = identify.multiplicity(self.spark, results)
         with tel.span("evidence"):
             found = self.evidence(kpi, move, terms, results, cover, sc).cache()
             facts = [r.asDict() for r in found.collect()]
             cited = {h.hypothesis_id: [r["evidence_id"] for r in decision.retrieve(found, h.hypothesis_id).orderBy("evidence_id").collect()] for h in sc.hypotheses}
             edges = {(r["source"], r["target"]): r["verdict"] for r in structure.screen(p, self.contract.dag).collect()}
-            hyp = self.assess(results, facts, kpi, move, cover, edges, {h.hypothesis_id: self.exposure(r, h, d, sc, terms) for r, h in zip(results, sc.hypotheses)})
+            stakes = side_by_side(lambda x: self.exposure(*x, d, sc, terms), list(zip(results, sc.hypotheses)))
+            hyp = self.assess(results, facts, kpi, move, cover, edges, {h.hypothesis_id: s for h, s in zip(sc.hypotheses, stakes)})
         with tel.span("actions"):
             frame = self.spark.createDataFrame([(h["hypothesis_id"], h["driver"], h["status"], h["action"]) for h in hyp], "hypothesis string, driver string, status string, action string")
             recs = [r.asDict() for r in decision.recommend(frame, decision.playbooks(self.spark), persona).select("rank", "hypothesis", "playbook_id", "score", "conflicts_with").orderBy("rank").collect()]
@@ -229,10 +241,9 @@ class Engine:
     def connected(self, d: Decision, sc: Scenario, persona: str) -> dict[str, movement.Movement]:
         """Movements of the KPIs beside the analysis's own that the persona may see, over the
         granted regions, each with its own seed."""
-        out = {}
-        for name in CONNECTED:
-            if name == sc.kpi or not decide(persona, name, self.contract.rules[name]).granted:
-                continue
+        names = [n for n in CONNECTED if n != sc.kpi and decide(persona, n, self.contract.rules[n]).granted]
+
+        def move(name: str) -> movement.Movement:
             kpi, src = self.contract.kpi(name), self.source_of(name)
             src = src.where(F.col("region").isin(*d.regions))
             if d.warehouses and "warehouse" in src.columns:
@@ -243,8 +254,9 @@ class Engine:
             if name == "subscription_arr":
                 s = s.where(F.col("date") >= F.lit(LAUNCH))
             value = metrics.window_value(s, kpi, *sc.focus).first()["value"]
-            out[name] = movement.detect(s.select("date", "value"), sc.baseline, sc.focus, kpi.time_aggregation == FLOW, value, min(250, self.permutations), seed=sum(map(ord, name)))
-        return out
+            return movement.detect(s.select("date", "value"), sc.baseline, sc.focus, kpi.time_aggregation == FLOW, value, min(250, self.permutations), seed=sum(map(ord, name)))
+
+        return dict(zip(names, side_by_side(move, names)))
 
     def decomposition(self, d: Decision, kpi: metrics.Kpi, sc: Scenario) -> list[dict]:
         try:
