@@ -178,6 +178,9 @@ class Engine:
         kpi = self.contract.kpi(sc.kpi)
         with tel.span("access"):
             d = self.decide("analyse", sc.kpi, persona, grain, regions)
+            for h in sc.hypotheses:
+                if h.driver in self.contract.kpis:
+                    metrics.comparable(kpi, self.contract.kpi(h.driver))
         with tel.span("movement"):
             daily = metrics.kpi_series(self.scoped_fact(d), kpi).select("date", "value").cache()
             value = metrics.window_value(metrics.kpi_series(self.scoped_fact(d), kpi), kpi, *sc.focus).first()["value"]
@@ -335,17 +338,29 @@ class Engine:
             found["SPARSE_HISTORY"] = (sc.launch + dt.timedelta(days=20)).isoformat()
         return claims.clarification(found)
 
-    def benchmark(self, sc: Scenario, d: Decision) -> dict | None:
-        """A new line's first and last stock value and its revenue a day against mature lines."""
-        fact = self.scoped_fact(d).where(F.col("date").between(*map(F.lit, sc.focus)))
-        by = fact.groupBy("product_line").agg(F.min("date").alias("first"), (F.sum("net_revenue") / F.count_distinct("date")).alias("per_day"))
-        rows = {r["product_line"]: r for r in by.collect()}
-        new = [k for k, v in rows.items() if self.data.fact.where(F.col("product_line") == k).agg(F.min("date")).first()[0] >= sc.launch]
-        if not new:
+    def benchmark(self, sc: Scenario, d: Decision, mature: str = "Home") -> dict | None:
+        """A new line's revenue a day against a mature line's over the same dates, and the first and
+        last stock value. Where the grant has no lines, the lines stay unnamed."""
+        fact = self.scoped_fact(d)
+        lines = fact.groupBy("product_line").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count_distinct("date").alias("days"), F.sum("net_revenue").alias("total"))
+        new = lines.where(F.col("first") >= F.lit(sc.launch)).orderBy("first", "product_line").first()
+        if new is None:
             return None
-        old = [v["per_day"] for k, v in rows.items() if k not in new and v["per_day"]]
-        ratio = rows[new[0]]["per_day"] / (sum(old) / len(old)) if old else None
-        return {"line": new[0], "ratio": ratio, "text": f"{new[0]} has too short a history; it is set beside mature lines over the same dates."}
+        same = F.col("product_line") == mature
+        beside = metrics.segment_revenue_per_day(fact, same, new["first"], new["last"]).first()["per_day"]
+        kpi = self.contract.kpi(sc.kpi)
+        ends = None
+        if kpi.time_aggregation == metrics.STOCK:
+            stock = metrics.kpi_series(fact, kpi, ()).where("value > 0")
+            ends = metrics.last_stock(stock, "value", "date").first()
+        per_day = new["total"] / new["days"]
+        named = "product_line" in d.dims
+        line, other = (new["product_line"], mature) if named else ("The new line", "a mature line")
+        return {
+            "line": line, "beside": other, "named": named, "days": new["days"], "per_day": per_day, "beside_per_day": beside,
+            "ratio": per_day / beside if beside else None, "first_value": ends and ends["first_value"], "last_value": ends and ends["last_value"],
+            "text": f"{line} has too short a history; it is set beside {other} over the same dates, for reference and not as a counterfactual.",
+        }
 
     def intervention(self, persona: str, h: identify.Hypothesis, implemented: dt.date) -> dict:
         """Re-estimate after a measure: promoted if the effect is positive and clear."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kpiscope.operators import estimate, gates, movement, structure
+from kpiscope.operators.graph import Dag
 from kpiscope.plans import model as m
 from kpiscope.plans.registry import registry
 
@@ -134,11 +135,25 @@ def its_hac(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(r["level"]["estimate"], r["level"]["se"], r["level"]["p"], r["slope"]["estimate"], r["cumulative"]["estimate"], r["durbin_watson"], r["placebo"]["status"])], "level double, level_se double, level_p double, slope double, cumulative double, dw double, placebo string")
 
 
-@query()
-def structure_screen(spark: SparkSession, sf: str) -> DataFrame:
-    from kpiscope.operators.graph import Dag
+#: Partial correlations given a trend and up to one more column, by the recursion from plain ones;
+#: p is the share of Student's density outside t, summed over 2000 steps of its angle.
+_SCREEN = f"""WITH {_DAYS}, s AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM d), k AS (SELECT w FROM generate_series(-1, 11) g(w)),
+f AS (SELECT DISTINCT w, n, CASE WHEN w < 0 THEN n ELSE greatest(30, CAST(floor(0.7::DOUBLE * n) AS BIGINT)) END AS size FROM s, k),
+b AS (SELECT w, size, CASE WHEN w < 0 THEN 0 WHEN w = 11 THEN greatest(0, n - size) ELSE CAST(floor(w * (greatest(0, n - size) / 11::DOUBLE)) AS BIGINT) END AS a FROM f),
+c AS (SELECT w, count(*) AS n, corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz, corr(x, i) AS xt, corr(y, i) AS yt, corr(z, i) AS zt FROM s JOIN b ON i >= a AND i < a + size GROUP BY w),
+o AS (SELECT *, (xy - xt * yt) / sqrt((1 - xt * xt) * (1 - yt * yt)) AS p_xy, (xz - xt * zt) / sqrt((1 - xt * xt) * (1 - zt * zt)) AS p_xz, (yz - yt * zt) / sqrt((1 - yt * yt) * (1 - zt * zt)) AS p_yz FROM c),
+e AS (SELECT w, 'x' AS source, 'y' AS target, (p_xy - p_xz * p_yz) / sqrt((1 - p_xz * p_xz) * (1 - p_yz * p_yz)) AS r, n - 4 AS dof FROM o UNION ALL SELECT w, 'z', 'y', p_yz, n - 3 FROM o UNION ALL SELECT w, 'z', 'x', p_xz, n - 3 FROM o),
+t AS (SELECT *, atan(abs(r) / sqrt(1 - r * r)) AS angle, atanh(r) AS mid, 1.959963984540054 / sqrt(dof - 1) AS half FROM e),
+p AS (SELECT w, source, target, any_value(r) AS r, any_value(mid) AS mid, any_value(half) AS half, 1 - any_value(angle) * sum(pow(cos(angle * (j + 0.5) / 2000), dof - 1)) / (pi() / 2 * sum(pow(cos(pi() / 2 * (j + 0.5) / 2000), dof - 1))) AS p FROM t, generate_series(0, 1999) g(j) GROUP BY w, source, target),
+v AS (SELECT *, CASE WHEN p < 0.05 THEN 'SUPPORTED' WHEN tanh(mid - half) > -0.15 AND tanh(mid + half) < 0.15 THEN 'CONTRADICTED' ELSE 'INCONCLUSIVE' END AS verdict FROM p),
+h AS (SELECT source, target, r, p, verdict FROM v WHERE w = -1), q AS (SELECT h.source, h.target, avg(CASE WHEN v.verdict = h.verdict THEN 1.0 ELSE 0.0 END) AS agreement FROM v JOIN h ON v.source = h.source AND v.target = h.target WHERE w >= 0 GROUP BY 1, 2)
+SELECT h.source, h.target, CASE WHEN agreement >= 0.75 THEN verdict ELSE 'INCONCLUSIVE' END AS verdict, round(r, 6) AS r, round(p, 5) AS p, round(agreement, 6) AS agreement FROM h JOIN q ON h.source = q.source AND h.target = q.target"""
 
-    return structure.screen(event_days(spark, sf), Dag.of([("x", "y"), ("z", "y"), ("z", "x")]))
+
+@query(_SCREEN)
+def structure_screen(spark: SparkSession, sf: str) -> DataFrame:
+    got = structure.screen(event_days(spark, sf), Dag.of([("x", "y"), ("z", "y"), ("z", "x")]))
+    return got.select("source", "target", "verdict", F.round("r", 6).alias("r"), F.round("p", 5).alias("p"), F.round("agreement", 6).alias("agreement"))
 
 
 @query(f"WITH {_SERIES} SELECT date, greatest(date_diff('day', DATE '{m.T0}', date), 0) AS since, date >= DATE '{m.T0}' AS is_post FROM s", dates="date")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import json
+import threading
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kpiscope.sources.files import append_jsonl
+
 #: Grains from coarse to fine; an unknown grain is finer than all.
 GRAIN_ORDER = {"fiscal_period x region": 1, "day x region": 2, "day x warehouse": 3, "day x region x category": 3, "day x region x product_line": 4}
 UNKNOWN_GRAIN = 99
@@ -124,14 +126,14 @@ class AuditLog:
     """Append-only events, kept in memory and, if a path is given, as JSON lines."""
 
     def __init__(self, path: str | None = None) -> None:
-        self.path, self.events = path, []
+        self.path, self.events, self.lock = path, [], threading.Lock()
 
     def record(self, request_id: str, persona: str, action: str, decision: Decision | None = None, **detail: object) -> dict:
         event = {"request_id": request_id, "persona": persona, "action": action, "granted": decision.granted if decision else None, "code": decision.code if decision else None, **detail}
-        self.events.append(event)
-        if self.path:
-            with open(self.path, "a", encoding="utf-8") as f:
-                f.write(json.dumps(event, sort_keys=True, default=str) + "\n")
+        with self.lock:
+            self.events.append(event)
+            if self.path:
+                append_jsonl(self.path, event)
         return event
 
     def by_request(self, request_id: str) -> list[dict]:

@@ -1,13 +1,13 @@
-"""Streaming query over the event table."""
+"""Event-time queries over the event table."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kpiscope.plans import model as m
 from kpiscope.plans.registry import registry
+from kpiscope.sources.files import scratch_path
 from kpiscope.streaming import ops_stream
 
 QUERIES, SQL = {}, {}
@@ -19,5 +19,14 @@ def stream_ops_window(spark: SparkSession, sf: str) -> DataFrame:
     """Daily windows by a drained stream, equal to the batch aggregate."""
     raw = spark.readStream.schema(ops_stream.EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf)
     events = raw.withColumn("ts", F.col("ts").cast("timestamp"))
-    got = ops_stream.run_to_memory(ops_stream.windowed(events, lateness="60 days"), "w" + uuid.uuid4().hex)
+    got = ops_stream.drain(ops_stream.windowed(events, lateness="60 days"), scratch_path(spark, "stream"))
     return got.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("""WITH o AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+g AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM o)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts) + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS n FROM g GROUP BY user_id, run""")
+def user_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream's sessions over the whole table; users have a few events a day."""
+    got = ops_stream.sessions(m.t(spark, sf, "events"), gap="12 hours")
+    return got.select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("session_start", "session_end")], "n")

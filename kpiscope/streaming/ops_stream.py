@@ -30,11 +30,12 @@ def windowed(events: DataFrame, lateness: str = "2 days", size: str = "1 day", s
 
 
 def sessions(events: DataFrame, lateness: str = "2 days", gap: str = "30 minutes") -> DataFrame:
+    """Each user's runs of events less than ``gap`` apart. Over a table the lateness has no effect."""
     got = events.withWatermark("ts", lateness).groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n"))
     return got.select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
 
 
-def upsert(stream: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("window_start", "event_type")) -> StreamingQuery:
+def upsert(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write each micro-batch under its number; a repeated batch overwrites itself, and readers
     take the newest batch of each key (``read_upserts``)."""
     def write(batch: DataFrame, number: int) -> None:
@@ -50,8 +51,8 @@ def read_upserts(spark: SparkSession, path: str, keys: tuple[str, ...] = ("windo
     return newest.select(*keys, *[F.col(f"v.{c}").alias(c) for c in others])
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drain what is there into a memory table, for tests and small summaries."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, path: str, keys: tuple[str, ...] = ("window_start", "event_type")) -> DataFrame:
+    """Upsert all that is there into tables under ``path`` and read them back; nothing passes the
+    driver."""
+    upsert(stream, f"{path}/rows", f"{path}/progress").awaitTermination()
+    return read_upserts(stream.sparkSession, f"{path}/rows", keys)

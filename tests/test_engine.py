@@ -1,8 +1,10 @@
 import datetime as dt
+import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from kpiscope.operators import estimate
-from kpiscope.operators.metrics import ContractViolation
+from kpiscope.operators.metrics import ContractViolation, comparable
 from kpiscope.plans import contract, policy
 from kpiscope.plans.analysis import Engine, conform_bundle
 from kpiscope.plans.service import Service
@@ -99,6 +101,31 @@ def test_csv_round_trip(spark, tmp_path):
     assert back["ops_dispatch_events"].where("actual_hours is null").count() > 0
 
 
+def test_audit_lines_are_whole_under_threads(tmp_path):
+    log = policy.AuditLog(f"{tmp_path}/audit.jsonl")
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda i: log.record(f"r{i % 5}", "cfo", "series", None, note="x" * 5000), range(200)))
+    rows = [json.loads(line) for line in open(log.path, encoding="utf-8")]
+    assert len(rows) == len(log.events) == 200 and len(log.by_request("r3")) == 40
+
+
+def test_kpis_held_apart_are_not_compared():
+    k = contract.load().kpis
+    with pytest.raises(ContractViolation):
+        comparable(k["net_revenue"], k["gross_revenue"])
+    assert comparable(k["net_revenue"], k["units_sold"]) is None
+
+
+def test_drained_stream_equals_the_batch(spark, tmp_path):
+    src = f"{tmp_path}/in"
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    twice = ev.unionAll(ev.where("event_id % 3 = 0"))
+    twice.orderBy("ts").repartitionByRange(3, "ts").write.parquet(src)
+    got = ops_stream.drain(ops_stream.windowed(ops_stream.read_events(spark, src, 1), lateness="60 days"), f"{tmp_path}/out")
+    want = ev.groupBy(F.to_date("ts").alias("d"), "event_type").count()
+    assert sorted((r["window_start"].date(), r["event_type"], r["n"]) for r in got.collect()) == sorted((r["d"], r["event_type"], r["count"]) for r in want.collect())
+
+
 def test_upserts_are_idempotent(spark, tmp_path):
     src, out = f"{tmp_path}/in", f"{tmp_path}/out"
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -204,6 +205,12 @@ def test_golden_low_confidence(engine):
 def test_golden_sparse(engine):
     a = engine.analyse("SC_SPARSE", "cfo")
     assert a["movement"]["pct"] is None and all(h["status"] == INSUFFICIENT for h in a["hypotheses"])
+    b = a["benchmark"]
+    # The grant is by region, so the benchmark names no line.
+    assert not b["named"] and "SmartHome" not in str(b) and b["days"] == 19 and b["ratio"] == pytest.approx(b["per_day"] / b["beside_per_day"])
+    assert b["first_value"] > 0 and b["last_value"] > 0
+    named = engine.benchmark(SCENARIOS["SC_SPARSE"], replace(engine.decide("t", "subscription_arr", "cfo"), dims=("region", "product_line")))
+    assert named["line"] == "SmartHome" and named["per_day"] == pytest.approx(b["per_day"])
     assert a["abstention"] and a["clarification"]["kind"] in ("COVERAGE_GAP", "COARSE_GRAIN", "SPARSE_HISTORY")
 
 
