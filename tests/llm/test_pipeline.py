@@ -50,3 +50,40 @@ def test_untouched_documents_stay_as_they_are(steps):
 
 def test_threshold_is_the_query_s():
     assert corpus_pipeline.QUALITY_THRESHOLD == 0.3 and quality_cnn.CHUNK > quality_cnn.STEP
+
+
+def odd(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, _score double, `a.b` string, raw string, c0 string")
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows, null ids and columns with clashing names."""
+    texts = [None, "", "one two", "Clean words about rivers and hills. " * 4000, "mail a@b.org or +1 202 555 0143 now", None]
+    rows = [(i, t, 0.5, "x", None, "c") for i, t in enumerate(texts)] + [(4, texts[4], 0.5, "x", None, "c"), (None, "a row without an id", None, None, None, None)]
+    docs = odd(spark, rows)
+    by = dict(corpus_pipeline.STAGES)
+    single = by["near_dedup"](spark, docs, SF)
+    assert single.columns == docs.columns
+    # Null and empty texts are one group of which 0 stays; the repeated row stays twice.
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in single.collect()) == [-1, 0, 2, 3, 4, 4]
+    clean = by["decontaminate"](spark, docs, SF)
+    assert clean.columns == docs.columns and sorted(map(str, clean.collect())) == sorted(map(str, docs.collect()))
+    masked = by["personal_data"](spark, docs, SF)
+    got = [r["text"] for r in masked.collect()]
+    assert masked.columns == docs.columns and [t for t in got if t is None] == [None, None] and not any("@" in (t or "") for t in got)
+    assert texts[3] in got and len(got) == len(rows)
+    good = by["quality"](spark, docs, SF)
+    assert good.columns == docs.columns and good.exceptAll(docs).count() == 0
+    repeats = good.where("doc_id = 4").count()
+    assert repeats in (0, 2)
+    tokens = by["tokens"](spark, docs, SF).collect()
+    assert len(tokens) == len(rows) and sorted(r["decoded"] for r in tokens) == sorted(t or "" for _, t, *_ in rows)
+
+
+def test_stages_take_an_empty_table(spark):
+    docs = odd(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        assert got.count() == 0
+        if name != "tokens":
+            assert got.columns == docs.columns
