@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiscope.llm import ann_anisotropic, blob_ledger, bpe_segment, page_diff, pii_crf, quality_cnn, simhash_tiles, suffix_decontam, token_packing, url_cascade
+from kpiscope.llm import ann_anisotropic, blob_ledger, bpe_segment, entropy_mix, page_diff, pii_crf, quality_cnn, simhash_tiles, suffix_decontam, token_packing, url_cascade
 from kpiscope.llm.common import table
 from kpiscope.llm.sql import SQL
 
@@ -115,6 +115,10 @@ def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "rate", "copies", "taken")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -133,6 +137,7 @@ def queries() -> dict[str, Query]:
         "op8_page_diff": op8_page_diff,
         "op9_suffix_decontam": op9_suffix_decontam,
         "op10_blob_ledger": op10_blob_ledger,
+        "op13_entropy_mix": op13_entropy_mix,
         "pipeline": pipeline,
     }
 
