@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiscope.llm import ann_anisotropic, blob_ledger, bpe_segment, entropy_mix, page_diff, pii_crf, quality_cnn, simhash_tiles, suffix_decontam, token_packing, url_cascade
+from kpiscope.llm import ann_anisotropic, blob_ledger, bpe_segment, cross_align, entropy_mix, page_diff, pii_crf, quality_cnn, simhash_tiles, suffix_decontam, token_packing, url_cascade
 from kpiscope.llm.common import table
 from kpiscope.llm.sql import SQL
 
@@ -115,6 +115,13 @@ def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    got = cross_align.align(table(spark, sf_dir, "documents"), vocabulary(), public_tokenizers.path("piece_bpe_32k.model")).documents
+    return got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "rate", "copies", "taken")
 
@@ -137,6 +144,7 @@ def queries() -> dict[str, Query]:
         "op8_page_diff": op8_page_diff,
         "op9_suffix_decontam": op9_suffix_decontam,
         "op10_blob_ledger": op10_blob_ledger,
+        "op12_cross_align": op12_cross_align,
         "op13_entropy_mix": op13_entropy_mix,
         "pipeline": pipeline,
     }
