@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiscope.llm import ann_anisotropic, blob_ledger, bpe_segment, cross_align, entropy_mix, page_diff, pii_crf, quality_cnn, simhash_tiles, suffix_decontam, token_packing, url_cascade
+from kpiscope.llm import ann_anisotropic, blob_ledger, bpe_segment, cross_align, entropy_mix, page_diff, phrase_mining, pii_crf, quality_cnn, simhash_tiles, suffix_decontam, token_packing, url_cascade
 from kpiscope.llm.common import table
 from kpiscope.llm.sql import SQL
 
@@ -115,6 +115,10 @@ def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -144,6 +148,7 @@ def queries() -> dict[str, Query]:
         "op8_page_diff": op8_page_diff,
         "op9_suffix_decontam": op9_suffix_decontam,
         "op10_blob_ledger": op10_blob_ledger,
+        "op11_phrase_mining": op11_phrase_mining,
         "op12_cross_align": op12_cross_align,
         "op13_entropy_mix": op13_entropy_mix,
         "pipeline": pipeline,

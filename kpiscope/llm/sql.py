@@ -86,4 +86,39 @@ FROM docs d LEFT JOIN g ON g.doc_id = d.doc_id
 """
 
 
-SQL: dict[str, str] = {"op10_blob_ledger": _op10(), "op1_url_cascade": _OP1, "op9_suffix_decontam": _OP9}
+#: All phrases of one to five words; the lowest cut by score, then by its place.
+_OP11 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), g AS (
+  SELECT lang, size, array_to_string(list_slice(w, pos, pos + size - 1), ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS pos FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE len(w) >= size)
+), f AS (
+  SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL
+), t AS (
+  SELECT lang, sum(f) AS n FROM f WHERE size = 1 GROUP BY lang
+), c AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 100
+), k AS (
+  SELECT lang, size, phrase, a, w, unnest(generate_series(1, size - 1)) AS k FROM c
+), s AS (
+  SELECT k.lang, k.phrase, k.size, k.k, k.a, l.f AS l, r.f AS r, CAST(t.n AS BIGINT) AS n,
+    CAST((1000 * CAST(k.a AS HUGEINT) * CAST(t.n AS HUGEINT)) // (CAST(l.f AS HUGEINT) * CAST(r.f AS HUGEINT)) AS BIGINT) AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(list_slice(k.w, 1, k.k), ' ')
+  JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(list_slice(k.w, k.k + 1, k.size), ' ') JOIN t ON t.lang = k.lang
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), d AS (
+  SELECT * FROM b WHERE NOT EXISTS (
+    SELECT 1 FROM c WHERE c.lang = b.lang AND c.size > b.size AND 100 * c.a >= 100 * b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM d
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
+"""
+
+
+SQL: dict[str, str] = {"op10_blob_ledger": _op10(), "op11_phrase_mining": _OP11, "op1_url_cascade": _OP1, "op9_suffix_decontam": _OP9}
