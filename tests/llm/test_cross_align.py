@@ -101,14 +101,23 @@ def test_blocks_do_not_matter_and_pairs(spark, texts):
 def test_cuts_are_verified():
     spaces = c.safe_spaces(A, B)
     assert spaces == " \t\n\x0b\x0c"
-    assert c.segments("a  b\nc\r d ", c.cutter(spaces)) == [" a", "  b", "\nc\r d", " "]
+    cut = c.cutter(spaces)
+    assert [c.whole(k) for k in c.keys_of("a  b\nc\r d ", cut)] == [" a", "  b", "\nc\r d", " "]
+    for t in [*filter(None, ODD), "a b\nc d", "\na", "a\n", " a", "a b "]:
+        keys = c.keys_of(t, cut)
+        assert "".join(map(c.whole, keys)) == " " + t and list(map(c.whole, keys)) == cut.split(" " + t)
     assert c.safe_spaces(P.path("word_bpe_49k.json"), B) == ""  # no byte-level file: texts stay whole
 
 
-def test_links_of_token_sizes():
-    assert c.link([2, 3], [1, 4]) == ([(0, 0), (0, 1), (1, 1)], [(2, 2)])
-    assert c.link([1, 1, 2], [2, 2]) == ([(0, 0), (1, 0), (2, 1)], [(2, 1), (3, 2)])
-    assert c.link([], []) == ([], [])
+def test_paths_of_token_sizes():
+    assert list(c.path([2, 3], [1, 4])) == [2, 1, 3]
+    assert list(c.path([1, 1, 2], [2, 2])) == [1, 3, 3]
+    assert list(c.path([5], [1, 2, 2])) == [2, 2, 3] and list(c.path([1, 4], [5])) == [1, 3] and list(c.path([1], [1])) == [3]
+
+
+def test_packing_gives_back():
+    for texts in ([], [""], ["a", "", "é😀", "x" * 300]):
+        assert c._unpack(c._pack(texts)) == texts
 
 
 def test_odd_tables(spark, empty):
