@@ -11,7 +11,7 @@ numbers with 0 between pieces. All further passes read blocks.
 3. Counting. Candidates are compiled into pyahocorasick automata, ``SHARD`` at a time: each word is a
    character, a delimiter stands at both ends of each word, in patterns and texts, and another character, in
    no pattern, between pieces and for words of no candidate. Each task scans its blocks with the automaton of
-   their language, counting overlapping matches, and sends one sum a candidate. Only these exact sums count further.
+   their language, counting overlapping matches, and sends its sums packed. Only the exact totals count further.
 4. Scores, in decimals: of all cuts of a phrase the lowest of floor(1000 a n / (l r)). Phrases inside one of
    a word more that is as frequent go (any longer one implies such a one), and the best of each language stay.
 
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiscope.llm.common import materialise, new_path, require_columns, utf8
-from kpiscope.llm.cross_align import _spread, _squeeze
+from kpiscope.llm.cross_align import _pack, _spread, _squeeze, _unpack
 
 UND = "und"
 #: A block of one language closes at so many text bytes; all open ones of a task hold at most OPEN_BYTES.
@@ -43,6 +43,8 @@ BLOCK_BYTES, OPEN_BYTES, SLICE = 4 << 20, 16 << 20, 1 << 20
 LEAST_BITS, MOST_BITS = 16, 26
 #: Counters of a segment, the unit in which sketches are added up; so many parts of one are added at a time.
 SEGMENT, FAN = 1 << 17, 64
+#: Candidates' sums of a task are sent in pieces of so many.
+SUM_SEGMENT = 1 << 14
 #: Candidates of one automaton pass; their words fit into Unicode's characters.
 SHARD = 150_000
 #: The first ranking of a language's phrases is done in so many parts.
@@ -121,7 +123,7 @@ def word_hashes(lang: str, words: list[str]) -> np.ndarray:
 def buckets(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A counter of each of the two rows."""
     mask = np.uint64((1 << bits) - 1)
-    return (hashes & mask).astype(np.int64), (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    return (hashes & mask).astype(np.uint32), (hashes >> np.uint64(64 - bits)).astype(np.uint32)
 
 
 class Bounds:
@@ -239,30 +241,77 @@ def sketch(blocks: DataFrame, level: int, bits: int, least: int, known: list) ->
     return bits, rows
 
 
-def candidates(blocks: DataFrame, known: list, longest: int) -> DataFrame:
-    """(lang, phrase) of all phrases whose upper bounds reach the threshold at every level."""
-    sent = blocks.sparkSession.sparkContext.broadcast(known)
+FOUND = "bucket int, lang string, phrases binary"
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds, seen = Bounds(sent.value), set()
-        for part in parts:
-            for row in part.to_pylist():
-                lang, words, codes, new = row["lang"], row["words"], _spread(row["codes"]), []
-                for k, places, hashes in bounds.walk(lang, words, codes, longest):
-                    places = places[bounds.may(k, hashes)]
+
+def candidates(blocks: DataFrame, known: list, longest: int, least: int) -> DataFrame:
+    """(lang, phrase) of all phrases whose upper bounds reach the threshold at every level.
+
+    Of n tasks one at least holds a frequent phrase ``least`` / n times, so tasks leave out what they
+    hold less often. They send packed lists by bucket of hash, and a bucket's phrases are made distinct in one stream.
+    """
+    parts = blocks.rdd.getNumPartitions()
+    sent, here = blocks.sparkSession.sparkContext.broadcast(known), max(1, -(-least // max(parts, 1)))
+    kinds = [pa.int32(), pa.string(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        bounds, held, size = Bounds(sent.value), {}, 0
+
+        def deal(at_least: int) -> Iterator[pa.RecordBatch]:
+            for lang, counts in held.items():
+                by_bucket: dict[int, list[str]] = {}
+                for phrase, n in counts.items():
+                    if n >= at_least:
+                        by_bucket.setdefault(xxhash.xxh3_64_intdigest(phrase.encode()) % parts, []).append(phrase)
+                for bucket, phrases in by_bucket.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((bucket, lang, _pack(phrases)), kinds)], names=["bucket", "lang", "phrases"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, codes = row["words"], _spread(row["codes"])
+                counts = held.setdefault(row["lang"], {})
+                before = len(counts)
+                for k, places, hashes in bounds.walk(row["lang"], words, codes, longest):
+                    sure = bounds.may(k, hashes)
+                    places = places[sure]
                     if not len(places):
                         break
-                    grams = np.unique(codes[places[:, None] + np.arange(k)], axis=0)
-                    for gram in grams.tolist():
+                    for gram, n in distinct_grams(codes, places, hashes[sure], k):
                         phrase = " ".join([words[c] for c in gram])
-                        if (lang, phrase) not in seen:
-                            seen.add((lang, phrase))
-                            new.append(phrase)
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(new), pa.string()), pa.array(new, pa.string())], names=["lang", "phrase"])
-
-    return blocks.select("lang", "words", "codes").mapInArrow(run, "lang string, phrase string").distinct()
+                        counts[phrase] = counts.get(phrase, 0) + n
+                size += len(counts) - before
+                if size > 2_000_000:  # all of them go on, as the rest of the task may hold more of each
+                    yield from deal(1)
+                    held, size = {}, 0
+        yield from deal(here)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, set()
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bucket"] != now:
+                    now, seen = row["bucket"], set()
+                new = [p for p in _unpack(row["phrases"]) if (row["lang"], p) not in seen]
+                seen.update((row["lang"], p) for p in new)
+                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(new), pa.string()), pa.array(new, pa.string())], names=["lang", "phrase"])
+
+    lists = blocks.select("lang", "words", "codes").mapInArrow(run, FOUND)
+    return lists.repartitionById(max(parts, 1), "bucket").sortWithinPartitions("bucket").mapInArrow(distinct, "lang string, phrase string")
+
+
+def distinct_grams(codes: np.ndarray, places: np.ndarray, hashes: np.ndarray, k: int) -> Iterator[tuple[list[int], int]]:
+    """The different phrases at the places and how often each occurs; equal hashes are compared word by word."""
+    _, first, back, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    grams = codes[places[:, None] + np.arange(k)]
+    own = grams[first]
+    odd = (grams != own[back]).any(1)
+    if odd.any():
+        n = n - np.bincount(back[odd], minlength=len(n))
+        more, m = np.unique(grams[odd], axis=0, return_counts=True)
+        yield from zip(more.tolist(), m.tolist())
+    yield from zip(own.tolist(), n.tolist())
 
 
 #: Stands at both ends of each word; between pieces and for other words; the first word's character.
@@ -287,19 +336,42 @@ class Scanner:
             points = [self.points.setdefault(w, character(len(self.points))) for w in phrase.split(" ")]
             self.machine.add_word(DELIMITER + DELIMITER.join(map(chr, points)) + DELIMITER, n)
         self.size = len(phrases)
+        split = [[self.points[w] for w in p.split(" ")] for p in phrases]
+        self.pairs = np.unique(np.array([x << 32 | y for w in split for x, y in zip(w, w[1:])], np.int64))
         if phrases:
             self.machine.make_automaton()
 
     def counts(self, words: list[str], codes: np.ndarray) -> np.ndarray:
-        """How often each phrase occurs, overlapping occurrences included."""
-        if not self.size or not len(codes):
-            return np.zeros(self.size, np.int64)
-        look = np.array([self.points.get(w, ord(GUARD)) for w in words], "<u4")
-        look[0] = ord(GUARD)
-        text = np.full(2 * len(codes) + 1, ord(DELIMITER), "<u4")
-        text[1::2] = look[codes]
-        found = map(itemgetter(1), self.machine.iter(text.tobytes().decode("utf-32-le")))
-        return np.bincount(np.fromiter(found, np.int64), minlength=self.size)
+        """How often each phrase occurs, overlapping occurrences included. Only runs of words that
+        stand next to each other in some phrase are scanned."""
+        none = np.zeros(self.size, np.int64)
+        if not self.size or len(codes) < 2:
+            return none
+        look = np.array([self.points.get(w, 0) for w in words], np.int64)
+        look[0] = 0
+        points = look[codes]
+        at = np.flatnonzero((points[:-1] > 0) & (points[1:] > 0))
+        pairs = points[at] << 32 | points[at + 1]
+        found = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        near = at[self.pairs[found] == pairs]
+        if not len(near):
+            return none
+        # Words of such pairs in order, and a guard wherever one does not go on from the one before.
+        kept = np.zeros(len(points), bool)
+        kept[near] = kept[near + 1] = True
+        begins = kept.copy()
+        begins[near + 1] = False
+        place = np.flatnonzero(kept)
+        new = begins[place]
+        slot = np.arange(len(place)) * 2 + 1 + 2 * np.cumsum(new)
+        text = np.full(int(slot[-1]) + 2, ord(DELIMITER), "<u4")
+        text[slot] = points[place]
+        text[slot[new] - 2] = ord(GUARD)
+        hits = map(itemgetter(1), self.machine.iter(text.tobytes().decode("utf-32-le")))
+        return np.bincount(np.fromiter(hits, np.int64), minlength=self.size)
+
+
+SUMS = "part long, lang string, segment int, counts binary"
 
 
 def count_exactly(blocks: DataFrame, found: DataFrame, least: int, shard: int = SHARD) -> DataFrame:
@@ -329,7 +401,11 @@ def count_exactly(blocks: DataFrame, found: DataFrame, least: int, shard: int =
         lists: dict[str, list[str]] = {}
         for r in found.where(mine).collect():
             lists.setdefault(r["lang"], []).append(r["phrase"])
+        for phrases in lists.values():
+            phrases.sort()  # equal sums' places on each worker
         sent = spark.sparkContext.broadcast(lists)
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.binary()]
+        names = ["part", "lang", "segment", "counts"]
 
         def scan(parts: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             machines: dict[str, Scanner] = {}
@@ -338,17 +414,34 @@ def count_exactly(blocks: DataFrame, found: DataFrame, least: int, shard: int =
                 for row in part.to_pylist():
                     lang = row["lang"]
                     if lang not in machines:
-                        machines[lang] = Scanner(sorted(sent.value[lang]))
+                        machines[lang] = Scanner(sent.value[lang])
                         totals[lang] = np.zeros(machines[lang].size, np.int64)
                     totals[lang] += machines[lang].counts(row["words"], _spread(row["codes"]))
+            no = TaskContext.get().partitionId()
             for lang, total in totals.items():
-                phrases, there = sorted(sent.value[lang]), np.flatnonzero(total)
-                cols = [pa.array([lang] * len(there), pa.string()), pa.array([phrases[i] for i in there.tolist()], pa.string()), pa.array(total[there], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["lang", "phrase", "a"])
+                for at in range(0, len(total), SUM_SEGMENT):
+                    row = (no, lang, at // SUM_SEGMENT, _squeeze(total[at : at + SUM_SEGMENT]))
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
+
+        def add(table: pa.Table) -> pa.Table:
+            total = sum(_spread(raw.as_py()) for raw in table["counts"])
+            row = (table["part"][0].as_py(), table["lang"][0].as_py(), table["segment"][0].as_py(), _squeeze(total))
+            return pa.table([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
+
+        def name(parts: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                for row in part.to_pylist():
+                    total, phrases = _spread(row["counts"]), sent.value[row["lang"]]
+                    there = np.flatnonzero(total >= least)
+                    mine = [phrases[row["segment"] * SUM_SEGMENT + i] for i in there.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(mine), pa.string()), pa.array(mine, pa.string()), pa.array(total[there], pa.int64())], names=["lang", "phrase", "a"])
 
         near = blocks.where(F.col("lang").isin(list(lists))).select("lang", "words", "codes")
-        sums = near.mapInArrow(scan, kind).groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
-        sums.write.mode("append").parquet(path)
+        n, sums = near.rdd.getNumPartitions(), near.mapInArrow(scan, SUMS)
+        while n > 1:
+            sums = sums.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part", "lang", "segment").applyInArrow(add, SUMS)
+            n = -(-n // FAN)
+        sums.mapInArrow(name, kind).write.mode("append").parquet(path)
         sent.unpersist()
     if not passes:
         return spark.createDataFrame([], kind)
@@ -401,7 +494,7 @@ def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = 1
     known: list = []
     for level in range(1, longest + 1):
         known.append(sketch(blocks, level, max(LEAST_BITS, bits - abs(level - 2)), least, known))
-    found = materialise(candidates(blocks, known, longest), "phrase-candidates")
+    found = materialise(candidates(blocks, known, longest, least), "phrase-candidates")
     phrases = count_exactly(blocks, found, least, shard)
     frequent = materialise(words.where(F.col("f") >= least), "phrase-words")
     got = best_of_each(outermost(phrases, scored(phrases, frequent, totals)), top)

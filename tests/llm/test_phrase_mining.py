@@ -98,6 +98,14 @@ def test_scanner_counts_overlaps():
     s = m.Scanner(["a a", "a a a", "b a"])
     codes = np.array([1, 1, 1, 2, 1, 0, 1, 1])
     assert s.counts(["\n", "a", "b"], codes).tolist() == [3, 1, 1]
+    assert s.counts(["\n", "c"], np.array([1, 1, 0])).tolist() == [0, 0, 0] and m.Scanner([]).counts(["\n", "a"], codes[:2]).tolist() == []
+
+
+def test_equal_hashes_are_compared():
+    codes = np.array([1, 2, 3, 4, 1, 2, 3, 4, 1, 2])
+    places = np.array([0, 2, 4, 6, 8])
+    grams = sorted((tuple(g), n) for g, n in m.distinct_grams(codes, places, np.zeros(5, np.uint64), 2))
+    assert [g for g in grams if g[1]] == [((1, 2), 3), ((3, 4), 2)]
 
 
 def test_odd_tables(spark, empty):
