@@ -1,96 +1,98 @@
-"""Tail probabilities as Column expressions, so that p-values and intervals stay in the plan.
+"""Tail probabilities as SQL expressions, so that p-values and intervals stay in the plan.
 
-Continued fractions and series are evaluated backwards from a depth that the parameters set,
-which makes each a fold of one number over a sequence. Unknown or impossible arguments give null.
+Arguments are SQL texts of doubles (or numbers), results Columns; the ``*_sql`` forms give the text. Text is parsed
+once by the engine, which for expressions of this size is much faster than to build them by calls.
+
+Continued fractions and series are evaluated backwards from a depth that the parameters set, which
+makes each a fold of one number over a sequence. Unknown or impossible arguments give null.
 """
 
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Number = Column | float | int
-
-
-def _col(v: Number) -> Column:
-    return (v if isinstance(v, Column) else F.lit(v)).cast("double")
+Text = str | float | int
 
 
-def _down(depth: Column) -> Column:
-    return F.sequence(depth.cast("int"), F.lit(1), F.lit(-1))
+def bound(name: str, values: dict[str, Text], body: str) -> str:
+    """``body`` with ``name.key`` for each of the values, which are evaluated once."""
+    fields = ", ".join(f"'{k}', CAST({v} AS DOUBLE)" for k, v in values.items())
+    return f"element_at(transform(array(named_struct({fields})), {name} -> {body}), 1)"
 
 
-def lgamma(z: Number) -> Column:
+def lgamma_sql(z: Text) -> str:
     """ln of the gamma function for z > 0: Stirling's series at z + 8, brought back by the product."""
-    z = _col(z)
-    w = z + 8
-    product = z
-    for k in range(1, 8):
-        product = product * (z + k)
-    r = 1 / (w * w)
-    series = (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r * (1 / 1680 - r * (1 / 1188 - r * (691 / 360360)))))) / w
-    return (w - 0.5) * F.log(w) - w + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+    product = " * ".join(f"(g.z + {k})" for k in range(8))
+    r = "(1 / ((g.z + 8) * (g.z + 8)))"
+    series = f"(1D/12 - {r} * (1D/360 - {r} * (1D/1260 - {r} * (1D/1680 - {r} * (1D/1188 - {r} * 691D/360360))))) / (g.z + 8)"
+    return bound("g", {"z": z}, f"((g.z + 7.5D) * ln(g.z + 8) - (g.z + 8) + {0.5 * math.log(2 * math.pi)!r}D + {series} - ln({product}))")
 
 
-def betainc(a: Number, b: Number, x: Number) -> Column:
+def betainc_sql(a: Text, b: Text, x: Text) -> str:
     """The regularised incomplete beta function, for a, b > 0 and 0 <= x <= 1."""
-    a, b, x = _col(a), _col(b), _col(x)
-    swap = x > (a + 1) / (a + b + 2)
-    p, q, y = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b), F.when(swap, 1 - x).otherwise(x)
-
-    def step(v: Column, j: Column) -> Column:
-        m = F.floor(j / 2)
-        even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
-        odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
-        return 1 + F.when(j % 2 == 0, even).otherwise(odd) / v
-
-    depth = 60 + 8 * F.sqrt(F.greatest(a, b))
-    fraction = F.aggregate(_down(depth), F.lit(1.0), step)
-    front = F.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + p * F.log(y) + q * F.log1p(-y)) / p
-    inside = front / fraction
-    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when((a > 0) & (b > 0), F.when(swap, 1 - inside).otherwise(inside))
+    even = "floor(j / 2) * (w.q - floor(j / 2)) * w.y / ((w.p + 2 * floor(j / 2) - 1) * (w.p + 2 * floor(j / 2)))"
+    odd = "-(w.p + floor(j / 2)) * (w.p + w.q + floor(j / 2)) * w.y / ((w.p + 2 * floor(j / 2)) * (w.p + 2 * floor(j / 2) + 1))"
+    fraction = f"aggregate(sequence(CAST(60 + 8 * sqrt(greatest(w.p, w.q)) AS INT), 1, -1), 1D, (v, j) -> 1 + (CASE WHEN j % 2 = 0 THEN {even} ELSE {odd} END) / v)"
+    front = f"exp({lgamma_sql('w.p + w.q')} - {lgamma_sql('w.p')} - {lgamma_sql('w.q')} + w.p * ln(w.y) + w.q * log1p(-w.y)) / w.p"
+    swap = "u.x > (u.a + 1) / (u.a + u.b + 2)"
+    inside = bound("w", {"p": f"if({swap}, u.b, u.a)", "q": f"if({swap}, u.a, u.b)", "y": f"if({swap}, 1 - u.x, u.x)"}, f"({front} / {fraction})")
+    return bound("u", {"a": a, "b": b, "x": x}, f"(CASE WHEN u.x <= 0 THEN 0D WHEN u.x >= 1 THEN 1D WHEN u.a > 0 AND u.b > 0 THEN if({swap}, 1 - {inside}, {inside}) END)")
 
 
-def gamma_q(a: Number, x: Number) -> Column:
+def gamma_q_sql(a: Text, x: Text) -> str:
     """The regularised upper incomplete gamma function, for a > 0 and x >= 0."""
-    a, x = _col(a), _col(x)
-    scale = F.exp(a * F.log(x) - x - lgamma(a))
-    low = F.aggregate(_down(80 + 12 * F.sqrt(a)), F.lit(1.0), lambda v, k: 1 + x / (a + k) * v) * scale / a
+    scale = f"exp(u.a * ln(u.x) - u.x - {lgamma_sql('u.a')})"
+    low = "aggregate(sequence(CAST(80 + 12 * sqrt(u.a) AS INT), 1, -1), 1D, (v, k) -> 1 + u.x / (u.a + k) * v)"
     # x + 1 - a - 1 (1 - a) / (x + 3 - a - 2 (2 - a) / (x + 5 - a - ...)), where all of it is positive.
-    tail = F.aggregate(_down(60 + 12 * F.sqrt(a)), F.lit(1e300), lambda v, k: x + 2 * k - 1 - a - k * (k - a) / v)
-    return F.when(x <= 0, 1.0).when(a > 0, F.when(x < a + 1, F.greatest(1 - low, F.lit(0.0))).otherwise(scale / tail))
+    tail = "aggregate(sequence(CAST(60 + 12 * sqrt(u.a) AS INT), 1, -1), 1e300D, (v, k) -> u.x + 2 * k - 1 - u.a - k * (k - u.a) / v)"
+    return bound("u", {"a": a, "x": x}, f"(CASE WHEN u.x <= 0 THEN 1D WHEN u.a > 0 THEN if(u.x < u.a + 1, greatest(1 - {low} * {scale} / u.a, 0D), {scale} / {tail}) END)")
+
+
+def t_sf2_sql(t: Text, dof: Text) -> str:
+    body = betainc_sql("s.d / 2", 0.5, "s.d / (s.d + s.t * s.t)")
+    return bound("s", {"t": t, "d": dof}, f"(CASE WHEN s.d > 0 THEN {body} END)")
+
+
+def t_quantile_sql(dof: Text, level: float = 0.95) -> str:
+    ln_c = f"{lgamma_sql('(h.d + 1) / 2')} - {lgamma_sql('h.d / 2')} - 0.5D * ln(h.d * pi())"
+    density = "exp(c.c - (c.d + 1) / 2 * log1p(r * r / c.d))"
+    step = f"r + ({t_sf2_sql('r', 'c.d')} - {1 - level!r}D) / (2 * {density})"
+    fold = f"aggregate(sequence(1, 14), {NormalDist().inv_cdf((1 + level) / 2)!r}D, (r, i) -> {step})"
+    return bound("h", {"d": dof}, f"(CASE WHEN h.d > 0 THEN {bound('c', {'c': ln_c, 'd': 'h.d'}, fold)} END)")
 
 
-def chi2_sf(x: Number, dof: Number) -> Column:
+def lgamma(z: Text) -> Column:
+    return F.expr(lgamma_sql(z))
+
+
+def betainc(a: Text, b: Text, x: Text) -> Column:
+    return F.expr(betainc_sql(a, b, x))
+
+
+def gamma_q(a: Text, x: Text) -> Column:
+    return F.expr(gamma_q_sql(a, x))
+
+
+def chi2_sf(x: Text, dof: Text) -> Column:
     """P(X > x) of a chi-squared variable."""
-    return gamma_q(_col(dof) / 2, _col(x) / 2)
+    return F.expr(gamma_q_sql(f"({dof}) / 2D", f"({x}) / 2D"))
 
 
-def normal_sf2(z: Number) -> Column:
+def normal_sf2(z: Text) -> Column:
     """Two-sided tail of the standard normal."""
-    z = _col(z)
-    return gamma_q(0.5, z * z / 2)
+    return F.expr(gamma_q_sql(0.5, f"({z}) * ({z}) / 2D"))
 
 
-def t_sf2(t: Number, dof: Number) -> Column:
+def t_sf2(t: Text, dof: Text) -> Column:
     """Two-sided tail of Student's t; null without degrees of freedom."""
-    t, dof = _col(t), _col(dof)
-    return F.when(dof > 0, betainc(dof / 2, 0.5, dof / (dof + t * t)))
+    return F.expr(t_sf2_sql(t, dof))
 
 
-def t_quantile(dof: Number, level: float = 0.95) -> Column:
+def t_quantile(dof: Text, level: float = 0.95) -> Column:
     """The t with ``level`` of the probability within it on both sides. Newton steps from the normal's
     quantile, below the root of a convex function, rise to it."""
-    from statistics import NormalDist
-
-    dof = _col(dof)
-    ln_c = lgamma((dof + 1) / 2) - lgamma(dof / 2) - 0.5 * F.log(dof * math.pi)
-
-    def step(t: Column, _: Column) -> Column:
-        density = F.exp(ln_c - (dof + 1) / 2 * F.log1p(t * t / dof))
-        return t + (t_sf2(t, dof) - (1 - level)) / (2 * density)
-
-    start = F.lit(NormalDist().inv_cdf((1 + level) / 2))
-    return F.when(dof > 0, F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step))
+    return F.expr(t_quantile_sql(dof, level))

@@ -1,8 +1,8 @@
 """Effect estimators: difference-in-differences and interrupted time series.
 
-On a balanced panel the fixed effects are window averages and everything is relational; the
-operator checks the balance and chooses. The general path takes the cell x period panel, an
-aggregate whose size the contract's grain bounds, to a numpy kernel.
+On a balanced panel the fixed effects are window averages. Panels with holes of up to
+``KERNEL_ROWS`` rows (counted first) go to a numpy kernel, larger ones through alternating
+projections over tables (``fixed_effects``). Many interrupted series at once: ``interrupted``.
 """
 
 from __future__ import annotations
@@ -17,10 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiscope.functions import stats
+from kpiscope.operators import fixed_effects
 from kpiscope.operators.panel import is_balanced
 
 #: All assignments are enumerated up to this many; beyond it a seeded sample is declared.
 MAX_ASSIGNMENTS = 20_000
+#: Panels of cells and periods of up to so many rows come to the driver; larger ones do not.
+KERNEL_ROWS = 50_000
 
 
 def did_2x2(panel: DataFrame, y: str, treated: str = "treated", post: str = "post") -> DataFrame:
@@ -88,13 +91,29 @@ def _frame(panel: DataFrame, columns: Sequence[str], cell: str, period: str) ->
 def did(panel: DataFrame, y: str, treated: str = "treated", post: str = "post", cell: str = "cell", period: str = "date", group: str | None = None, assignments: bool = True, seed: int = 7) -> dict[str, object]:
     """Cell and (group x) period effects, error clustered by cell with t(G-1), and the
     randomisation p-value over assignments of as many treated cells (the actual one included)."""
+    if not _fits(panel, y):
+        return _did_relational(panel, y, treated, post, cell, period, group)
     pdf = did_frame(panel, y, treated, post, cell, period, group)
     out, kernel = did_kernel(pdf, y, treated, post, cell, period, group)
+    out["path"] = "KERNEL"
     if assignments and kernel is not None:
         out |= randomisation(panel.sparkSession, *kernel, seed)
     return out
 
 
+def _fits(panel: DataFrame, y: str) -> bool:
+    return panel.where(F.col(y).isNotNull()).limit(KERNEL_ROWS + 1).count() <= KERNEL_ROWS
+
+
+def _did_relational(panel: DataFrame, y: str, treated: str, post: str, cell: str, period: str, group: str | None) -> dict[str, object]:
+    """The same estimate without the kernel; assignments are not run, which ``ri_mode`` says."""
+    row = fixed_effects.did(panel, y, treated, post, cell, period, group).first().asDict()
+    if row["estimate"] is None:
+        return {"status": "NOT_ESTIMABLE", "path": "RELATIONAL"}
+    before = panel.where(F.col(treated) & ~F.col(post)).agg(F.avg(F.col(y).cast("double"))).first()[0]
+    return {"status": "OK", **row, "pct": 100 * row["estimate"] / before if before else None, "path": "RELATIONAL", "ri_p": None, "ri_assignments": 0, "ri_mode": "NOT_RUN"}
+
+
 def did_frame(panel: DataFrame, y: str, treated: str = "treated", post: str = "post", cell: str = "cell", period: str = "date", group: str | None = None) -> pd.DataFrame:
     cols = list(dict.fromkeys([cell, period, y, treated, post, *([group] if group else [])]))
     return _frame(panel.where(F.col(y).isNotNull()), cols, cell, period)
@@ -173,6 +192,11 @@ def randomisation(spark, names: np.ndarray, at: np.ndarray, post: np.ndarray, tr
 
 def parallel_trends(panel: DataFrame, y: str, treated: str = "treated", post: str = "post", cell: str = "cell", period: str = "date", group: str | None = None, alpha: float = 0.10) -> dict[str, object]:
     """The treated cells' extra trend before the change; compatible if its p is over alpha."""
+    if not _fits(panel, y):
+        row = fixed_effects.parallel_trends(panel, y, treated, post, cell, period, group).first().asDict()
+        if row["estimate"] is None:
+            return {"status": "NOT_ESTIMABLE"}
+        return {"status": "COMPATIBLE" if row["p"] > alpha else "VIOLATED", **row}
     cols = list(dict.fromkeys([cell, period, y, treated, *([group] if group else [])]))
     pdf = _frame(panel.where(~F.col(post) & F.col(y).isNotNull()), cols, cell, period)
     if len(pdf) <= 30:
@@ -203,7 +227,7 @@ def estimate_did(panel: DataFrame, y: str, **options) -> dict[str, object]:
     if not options.get("assignments", True) and is_balanced(panel, **keys):
         row = did_balanced(panel, y, **{k: v for k, v in options.items() if k != "assignments"}).first()
         return {"status": "OK", "path": "BALANCED", **stats.inference(row["att"], row["se"] ** 2, row["g"] - 1), "cells": row["g"], "n": row["n"]}
-    return {"path": "GENERAL", **did(panel, y, **options)}
+    return did(panel, y, **options)
 
 
 def fourier(t, harmonics: int = 2, period: float = 7.0) -> list:
@@ -243,8 +267,11 @@ def its(series: DataFrame, t0: dt.date, y: str = "value", placebo: bool = True,
             out["placebo"] = {"status": "INSUFFICIENT"}
         else:
             fake = its(before, t0 - dt.timedelta(days=21), y, placebo=False)
-            p = fake["level"]["p"] if fake["status"] == "OK" else math.nan
-            out["placebo"] = {"status": "PASS" if p > alpha else "FAIL", "p": p}
+            if fake["status"] == "OK":
+                p = fake["level"]["p"]
+                out["placebo"] = {"status": "PASS" if p > alpha else "FAIL", "p": p}
+            else:
+                out["placebo"] = {"status": "INSUFFICIENT"}
     return out
 
 

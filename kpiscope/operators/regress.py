@@ -4,12 +4,13 @@ Each group's normal equations are sums of one aggregation, swept to an inverse b
 arrays; nothing of a group but its few sums meets in a task. Robust errors take a second
 aggregation, of outer products of scores: within rows (hc1), within rows and with earlier
 ones (hac, Bartlett weights), or of their sums by cluster.
+
+Expressions over matrices are SQL texts: an array of rows each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,180 +21,150 @@ from kpiscope.functions import tails
 #: A column that others explain but for this share of its square is left out (coefficient 0).
 TOLERANCE = 1e-10
 KINDS = ("classic", "hc1", "hac", "cluster")
+#: Lags of hac at most, where none are given: those of 50 000 rows.
+MOST_LAGS = 16
 
 
-def _sum(cols: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, cols)
-
-
-def swept(matrix: Column, k: int) -> Column:
-    """Inverse of a symmetric positive matrix (an array of rows), by sweeping each pivot in turn.
-    Rows and columns of pivots within the tolerance of zero stay zero."""
-    def step(m: Column, i: Column) -> Column:
-        pivot_row = F.element_at(m, i)
-        pivot = F.element_at(pivot_row, i)
-        fine = pivot > TOLERANCE
-        inverse = F.when(fine, 1 / pivot).otherwise(F.lit(0.0))
-        scaled = F.transform(pivot_row, lambda v: v * inverse)
+def swept(matrix: str, k: int) -> str:
+    """Inverse of a symmetric positive matrix of size k, by sweeping each pivot in turn. Rows and columns of
+    pivots within the tolerance of zero stay zero."""
+    pivot = "m[i - 1][i - 1]"
+    own = f"transform(m[i - 1], (v, c) -> if(c = i - 1, 1 / {pivot}, v / {pivot}))"
+    other = f"transform(row, (v, c) -> if(c = i - 1, -row[i - 1] / {pivot}, v - row[i - 1] * m[i - 1][c] / {pivot}))"
+    fine = f"transform(m, (row, r) -> if(r = i - 1, {own}, {other}))"
+    gone = "transform(m, (row, r) -> transform(row, (v, c) -> if(r = i - 1 OR c = i - 1, 0D, v)))"
+    return f"aggregate(sequence(1, {k}), {matrix}, (m, i) -> if({pivot} > {TOLERANCE!r}D, {fine}, {gone}))"
 
-        def row_of(row: Column, r: Column) -> Column:
-            mine = F.element_at(row, i)
-            other = F.zip_with(F.transform(row, lambda v, c: F.when(c + 1 == i, 0.0).otherwise(v)), F.transform(scaled, lambda v, c: F.when(c + 1 == i, inverse).otherwise(v)), lambda x, y: x - mine * y)
-            own = F.transform(scaled, lambda v, c: F.when(c + 1 == i, inverse).otherwise(v))
-            gone = F.transform(row, lambda v, c: F.when(c + 1 == i, 0.0).otherwise(v))
-            return F.when(fine, F.when(r + 1 == i, own).otherwise(other)).when(r + 1 == i, F.transform(row, lambda v: F.lit(0.0))).otherwise(gone)
 
-        return F.transform(m, row_of)
+def dot(a: str, b: str) -> str:
+    return f"aggregate(zip_with({a}, {b}, (p, q) -> p * q), 0D, (s, v) -> s + v)"
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(k)), matrix, step)
 
+def times(m: str, v: str) -> str:
+    return f"transform({m}, line -> {dot('line', v)})"
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
-
-def times(m: Column, v: Column) -> Column:
-    return F.transform(m, lambda row: dot(row, v))
+def matmul(a: str, b: str) -> str:
+    """a b, for a symmetric ``b``: its columns are its rows."""
+    return f"transform({a}, line -> transform({b}, col -> {dot('line', 'col')}))"
 
 
-def quadratic(m: Column, v: Column) -> Column:
-    """v' m v"""
-    return dot(times(m, v), v)
+def _symmetric(k: int, cell: str = "_{i}_{j}") -> str:
+    """Rows of a symmetric matrix from columns named for i <= j."""
+    return "array(" + ", ".join("array(" + ", ".join(cell.format(i=min(i, j), j=max(i, j)) for j in range(k)) + ")" for i in range(k)) + ")"
 
 
-def matmul(a: Column, b: Column) -> Column:
-    """a b, for a symmetric ``b``: its columns are its rows."""
-    return F.transform(a, lambda row: F.transform(b, lambda col: dot(row, col)))
+def _pairs(k: int) -> list[tuple[int, int]]:
+    return list(combinations_with_replacement(range(k), 2))
 
 
-def _symmetric(cell, k: int) -> Column:
-    """Rows of a symmetric matrix from ``cell(i, j)`` for i <= j."""
-    return F.array(*[F.array(*[cell(min(i, j), max(i, j)) for j in range(k)]) for i in range(k)])
+def _keyed(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join by the group; without groups the right side is one row."""
+    return left.join(right, list(by), how) if by else left.join(F.broadcast(right), F.lit(True), how)
 
 
 def moments(df: DataFrame, by: Sequence[str], y: str, x: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(rows with _x and _y, sums by group): only rows where y and all of x are known count."""
     k = len(x)
     rows = df.withColumns({"_y": F.col(y).cast("double"), "_x": F.array(*[c.cast("double") for c in x.values()])})
-    rows = rows.where(F.col("_y").isNotNull() & ~F.exists("_x", lambda v: v.isNull()))
-    at = [F.get("_x", F.lit(i)) for i in range(k)]
-    pairs = list(combinations_with_replacement(range(k), 2))
-    sums = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sum("_y").alias("_sy"), F.sum(F.col("_y") * F.col("_y")).alias("_syy"),
-        *[F.sum(at[i] * at[j]).alias(f"_{i}_{j}") for i, j in pairs], *[F.sum(at[i] * F.col("_y")).alias(f"_y{i}") for i in range(k)],
-    )
-    return rows, sums
+    rows = rows.where("_y IS NOT NULL AND NOT exists(_x, v -> v IS NULL)")
+    sums = [f"sum(_x[{i}] * _x[{j}]) AS _{i}_{j}" for i, j in _pairs(k)] + [f"sum(_x[{i}] * _y) AS _y{i}" for i in range(k)]
+    return rows, rows.groupBy(*by).agg(*map(F.expr, ["count(*) AS n", "sum(_y) AS _sy", "sum(_y * _y) AS _syy", *sums]))
 
 
 def solved(sums: DataFrame, by: Sequence[str], k: int) -> DataFrame:
-    """(by, n, rank, beta, inverse, _sy, _syy, ssr): columns are brought to like size before the sweep."""
-    size = F.array(*[F.when(F.col(f"_{i}_{i}") > 0, F.sqrt(F.col(f"_{i}_{i}"))).otherwise(1.0) for i in range(k)])
-    s = sums.withColumn("_size", size)
-    at = [F.get("_size", F.lit(i)) for i in range(k)]
-    s = s.withColumn("_inv", swept(_symmetric(lambda i, j: F.col(f"_{i}_{j}") / (at[i] * at[j]), k), k))
-    s = s.withColumn("inverse", F.transform("_inv", lambda row, r: F.zip_with(row, F.col("_size"), lambda v, z: v / z / F.get(F.col("_size"), r))))
-    s = s.withColumn("_xy", F.array(*[F.col(f"_y{i}") for i in range(k)]))
-    s = s.withColumn("beta", times(F.col("inverse"), F.col("_xy")))
-    rank = F.size(F.filter("_inv", lambda row: F.exists(row, lambda v: v != 0)))
-    return s.select(*by, "n", rank.cast("long").alias("rank"), "beta", "inverse", "_sy", "_syy")
+    """(by, n, rank, beta, inverse, _sy, _syy): columns are brought to like size before the sweep."""
+    s = sums.withColumn("_size", F.expr("array(" + ", ".join(f"if(_{i}_{i} > 0, sqrt(_{i}_{i}), 1D)" for i in range(k)) + ")"))
+    like = "transform({m}, (line, r) -> transform(line, (v, c) -> v / (_size[r] * _size[c])))"
+    s = s.withColumn("_inv", F.expr(swept(like.format(m=_symmetric(k)), k))).withColumn("inverse", F.expr(like.format(m="_inv")))
+    s = s.withColumn("beta", F.expr(times("inverse", "array(" + ", ".join(f"_y{i}" for i in range(k)) + ")")))
+    rank = F.expr("CAST(size(filter(_inv, line -> exists(line, v -> v != 0))) AS BIGINT)")
+    return s.select(*by, "n", rank.alias("rank"), "beta", "inverse", "_sy", "_syy")
 
 
 def fitted(df: DataFrame, by: Sequence[str], y: str, x: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """(rows with the residual _u, fits with beta, inverse, n, rank, ssr, r2)."""
+    """(rows with the residual _u, fits with beta, inverse, n and rank)."""
     rows, sums = moments(df, by, y, x)
     fits = solved(sums, by, len(x))
-    keyed = fits.select(*by, "beta")
-    rows = rows.join(keyed, list(by)) if by else rows.crossJoin(F.broadcast(keyed))  # without groups: one row of coefficients
-    rows = rows.withColumn("_u", F.col("_y") - dot(F.col("_x"), F.col("beta"))).drop("beta")
-    return rows, fits
+    rows = _keyed(rows, fits.select(*by, "beta"), by)
+    return rows.withColumn("_u", F.expr(f"_y - {dot('_x', 'beta')}")).drop("beta"), fits
 
 
 def meat(rows: DataFrame, by: Sequence[str], k: int, kind: str, order: str | None = None, lags: int | None = None, cluster: str | None = None) -> DataFrame:
-    """(by, ssr, _meat, _g): squared residuals, outer products of scores, clusters."""
-    score = [F.get("_x", F.lit(i)) * F.col("_u") for i in range(k)]
-    pairs = list(combinations_with_replacement(range(k), 2))
-    ssr = F.sum(F.col("_u") * F.col("_u")).alias("ssr")
+    """(by, ssr, _g, _meat): squared residuals, clusters, outer products of scores."""
+    ssr, pairs = "sum(_u * _u) AS ssr", _pairs(k)
     if kind == "classic":
-        return rows.groupBy(*by).agg(ssr, F.lit(None).cast("array<array<double>>").alias("_meat"), F.lit(0).cast("long").alias("_g"))
+        return rows.groupBy(*by).agg(F.expr(ssr), F.lit(0).cast("long").alias("_g"))
+    scores = [f"_x[{i}] * _u AS _s{i}" for i in range(k)]
     if kind == "cluster":
-        sums = rows.groupBy(*by, cluster).agg(*[F.sum(score[i]).alias(f"_s{i}") for i in range(k)], ssr)
-        out = sums.groupBy(*by).agg(F.sum("ssr").alias("ssr"), F.count("*").alias("_g"), *[F.sum(F.col(f"_s{i}") * F.col(f"_s{j}")).alias(f"_{i}_{j}") for i, j in pairs])
+        sums = rows.groupBy(*by, cluster).agg(F.expr(ssr), *[F.expr(f"sum(_x[{i}] * _u) AS _s{i}") for i in range(k)])
+        out = sums.groupBy(*by).agg(*map(F.expr, ["sum(ssr) AS ssr", "count(*) AS _g", *[f"sum(_s{i} * _s{j}) AS _{i}_{j}" for i, j in pairs]]))
+    elif kind == "hc1":
+        s = rows.select(*by, "_u", *map(F.expr, scores))
+        out = s.groupBy(*by).agg(*map(F.expr, [ssr, "0L AS _g", *[f"sum(_s{i} * _s{j}) AS _{i}_{j}" for i, j in pairs]]))
     else:
-        most = F.lit(lags) if lags is not None else F.floor(4 * F.pow(F.count("*").over(Window.partitionBy(*by)) / 100, 2 / 9))
-        s = rows.select(*by, "_u", *([F.col(order).alias("_o")] if order else []), *[c.alias(f"_s{i}") for i, c in enumerate(score)])
-        cross = lambda i, j: F.col(f"_s{i}") * F.col(f"_s{j}")
-        if kind == "hac":
-            w = Window.partitionBy(*by).orderBy("_o")
-            if lags is None:
-                s = rows.withColumn("_most", most).select(*by, "_u", "_most", F.col(order).alias("_o"), *[c.alias(f"_s{i}") for i, c in enumerate(score)])
-                bound = 4 * 4  # 4 (n / 100) ^ (2 / 9) at n = 50 000
-            else:
-                s = s.withColumn("_most", F.lit(lags))
-                bound = lags
-            # The weighted sum of the bound's earlier scores: one array window a score.
-            for i in range(k):
-                past = F.collect_list(f"_s{i}").over(w.rowsBetween(-bound, -1))
-                s = s.withColumn(f"_p{i}", F.aggregate(F.transform(F.reverse(past), lambda v, l: v * F.greatest(1 - (l + 1) / (F.col("_most") + 1), F.lit(0.0))), F.lit(0.0), lambda a, b: a + b))
-            inner = cross
-            cross = lambda i, j: inner(i, j) + F.col(f"_s{i}") * F.col(f"_p{j}") + F.col(f"_s{j}") * F.col(f"_p{i}")
-        out = s.groupBy(*by).agg(ssr, F.lit(0).cast("long").alias("_g"), *[F.sum(cross(i, j)).alias(f"_{i}_{j}") for i, j in pairs])
-    return out.select(*by, "ssr", "_g", _symmetric(lambda i, j: F.col(f"_{i}_{j}"), k).alias("_meat"))
+        every = Window.partitionBy(*by)
+        most = F.lit(lags) if lags is not None else F.least(F.floor(4 * F.pow(F.count("*").over(every) / 100, 2 / 9)), F.lit(MOST_LAGS))
+        past = F.collect_list("_s").over(every.orderBy("_o").rowsBetween(-(MOST_LAGS if lags is None else lags), -1))
+        s = rows.select(*by, "_u", F.col(order).alias("_o"), most.alias("_most"), F.expr("transform(_x, v -> v * _u)").alias("_s"))
+        # What each score meets of earlier ones, the nearest weighing most.
+        s = s.withColumn("_past", F.reverse(past)).withColumn(
+            "_p", F.expr(f"aggregate(transform(_past, (e, l) -> transform(e, v -> v * greatest(1 - (l + 1) / (_most + 1), 0D))), array_repeat(0D, {k}), (a, e) -> zip_with(a, e, (p, q) -> p + q))")
+        )
+        out = s.groupBy(*by).agg(*map(F.expr, [ssr, "0L AS _g", *[f"sum(_s[{i}] * _s[{j}] + _s[{i}] * _p[{j}] + _s[{j}] * _p[{i}]) AS _{i}_{j}" for i, j in pairs]]))
+    return out.select(*by, "ssr", "_g", F.expr(_symmetric(k)).alias("_meat"))
 
 
 def regressions(df: DataFrame, by: Sequence[str], y: str, x: Mapping[str, Column], kind: str = "classic", order: str | None = None, lags: int | None = None, cluster: str | None = None) -> DataFrame:
     """(by, n, rank, dof, beta, cov, ssr, r2): one regression a group.
 
     ``kind``: classic, hc1, hac (``order`` within a group, ``lags`` or 4 (n / 100)^(2 / 9), at most 16), cluster.
-    Degrees of freedom are n - rank, or clusters - 1. ``by`` may be empty.
+    Degrees of freedom are n - rank, or clusters - 1. ``by`` may be empty. For hac a group is sorted in one
+    task: it should be a series, one row a day.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown covariance {kind!r}")
     if kind == "hac" and order is None or kind == "cluster" and cluster is None:
         raise ValueError(f"{kind} needs {'an order' if kind == 'hac' else 'clusters'}")
-    k = len(x)
     rows, fits = fitted(df, by, y, x)
-    sums = meat(rows, by, k, kind, order, lags, cluster)
-    got = fits.join(sums, list(by)) if by else fits.crossJoin(F.broadcast(sums))
-    n, r = F.col("n"), F.col("rank")
-    left = F.greatest(n - r, F.lit(1))
-    sandwich = matmul(matmul(F.col("inverse"), F.col("_meat")), F.col("inverse"))
-    factor = {
-        "classic": F.col("ssr") / left, "hc1": n / left, "hac": n / left,
-        "cluster": F.col("_g") / F.greatest(F.col("_g") - 1, F.lit(1)) * (n - 1) / left,
-    }[kind]
-    cov = F.transform(F.col("inverse") if kind == "classic" else sandwich, lambda row: F.transform(row, lambda v: v * factor))
-    total = F.col("_syy") - F.col("_sy") * F.col("_sy") / n
-    dof = F.col("_g") - 1 if kind == "cluster" else n - r
-    return got.select(*by, "n", "rank", dof.alias("dof"), "beta", cov.alias("cov"), "ssr", F.when(total > 0, 1 - F.col("ssr") / total).alias("r2"))
-
-
-def inferred(estimate: Column, variance: Column, dof: Column, level: float = 0.95) -> dict[str, Column]:
-    """se, t, p, low and high of an estimate, by Student's t."""
-    se = F.sqrt(F.greatest(variance, F.lit(0.0)))
-    t = F.try_divide(estimate, se)
-    half = tails.t_quantile(dof, level) * se
-    return {"estimate": estimate, "se": se, "t": t, "p": tails.t_sf2(t, dof), "low": estimate - half, "high": estimate + half}
+    return covariances(rows, fits, by, len(x), kind, order, lags, cluster)
+
+
+def covariances(rows: DataFrame, fits: DataFrame, by: Sequence[str], k: int, kind: str, order: str | None = None, lags: int | None = None, cluster: str | None = None) -> DataFrame:
+    """What ``regressions`` gives, from the rows and fits of ``fitted``."""
+    got = _keyed(fits, meat(rows, by, k, kind, order, lags, cluster), by)
+    left = "greatest(n - rank, 1)"
+    factor = {"classic": f"ssr / {left}", "hc1": f"n / {left}", "hac": f"n / {left}", "cluster": f"_g / greatest(_g - 1, 1) * (n - 1) / {left}"}[kind]
+    sandwich = "inverse" if kind == "classic" else matmul(matmul("inverse", "_meat"), "inverse")
+    got = got.withColumn("_f", F.expr(factor)).withColumn("cov", F.expr(f"transform({sandwich}, line -> transform(line, v -> v * _f))"))
+    total = "(_syy - _sy * _sy / n)"
+    return got.select(*by, "n", "rank", F.expr("_g - 1" if kind == "cluster" else "n - rank").alias("dof"), "beta", "cov", "ssr", F.expr(f"if({total} > 0, 1 - ssr / {total}, NULL)").alias("r2"))
+
+
+def inferred(estimate: str, variance: str, dof: str, level: float = 0.95) -> dict[str, Column]:
+    """se, t, p, low and high of an estimate (SQL texts), by Student's t."""
+    se = f"sqrt(greatest({variance}, 0D))"
+    t = f"try_divide({estimate}, {se})"
+    half = f"({tails.t_quantile_sql(dof, level)} * {se})"
+    texts = {"estimate": estimate, "se": se, "t": t, "p": tails.t_sf2_sql(t, dof), "low": f"{estimate} - {half}", "high": f"{estimate} + {half}"}
+    return {k: F.expr(v) for k, v in texts.items()}
 
 
 def terms(fits: DataFrame, by: Sequence[str], names: Sequence[str], level: float = 0.95) -> DataFrame:
     """One row a group and term, with its inference."""
     each = fits.select("*", F.posexplode(F.array(*map(F.lit, names))).alias("_at", "term"))
-    var = F.get(F.get("cov", F.col("_at")), F.col("_at"))
-    each = each.withColumns({"_b": F.get("beta", F.col("_at")), "_v": var})
-    got = inferred(F.col("_b"), F.col("_v"), F.col("dof"), level)
-    return each.select(*by, "term", *[c.alias(n) for n, c in got.items()], "n", "dof", "r2")
+    each = each.withColumns({"_b": F.expr("beta[_at]"), "_v": F.expr("cov[_at][_at]")})
+    return each.select(*by, "term", *[c.alias(n) for n, c in inferred("_b", "_v", "dof", level).items()], "n", "dof", "r2")
 
 
 def residual_tests(rows: DataFrame, by: Sequence[str], order: str, lags: int = 10) -> DataFrame:
     """(by, dw, lb, lb_p): Durbin-Watson, Ljung-Box and its p-value of each group's residuals ``_u``."""
     w, every = Window.partitionBy(*by).orderBy(order), Window.partitionBy(*by)
-    c = rows.withColumn("_c", F.col("_u") - F.avg("_u").over(every)).withColumn("_d", F.col("_u") - F.lag("_u").over(w))
-    c = c.select(*by, "_u", "_c", "_d", *[(F.col("_c") * F.lag("_c", j).over(w)).alias(f"_p{j}") for j in range(1, lags + 1)])
-    sums = c.groupBy(*by).agg(
-        F.count("*").alias("_n"), F.sum(F.col("_u") * F.col("_u")).alias("_uu"), F.sum(F.col("_d") * F.col("_d")).alias("_dd"), F.sum(F.col("_c") * F.col("_c")).alias("_cc"),
-        *[F.sum(f"_p{j}").alias(f"_p{j}") for j in range(1, lags + 1)],
-    )
-    most = F.least(F.lit(lags), F.col("_n") - 1)
-    q = _sum([F.when(F.lit(j) <= most, F.pow(F.try_divide(f"_p{j}", "_cc"), 2) / (F.col("_n") - j)).otherwise(0.0) for j in range(1, lags + 1)])
-    s = sums.withColumn("lb", F.col("_n") * (F.col("_n") + 2) * q).withColumn("_most", most)
-    return s.select(*by, F.try_divide("_dd", "_uu").alias("dw"), "lb", tails.chi2_sf(F.col("lb"), F.col("_most")).alias("lb_p"))
+    c = rows.select(*by, order, "_u", (F.col("_u") - F.avg("_u").over(every)).alias("_c"), (F.col("_u") - F.lag("_u").over(w)).alias("_d"))
+    c = c.withColumn("_past", F.reverse(F.collect_list("_c").over(w.rowsBetween(-lags, -1))))
+    near = [f"sum(_c * get(_past, {j - 1})) AS _p{j}" for j in range(1, lags + 1)]
+    sums = c.groupBy(*by).agg(*map(F.expr, ["count(*) AS _n", "sum(_u * _u) AS _uu", "sum(_d * _d) AS _dd", "sum(_c * _c) AS _cc", *near]))
+    most = f"least({lags}, _n - 1)"
+    q = " + ".join(f"if({j} <= {most}, pow(try_divide(_p{j}, _cc), 2) / (_n - {j}), 0D)" for j in range(1, lags + 1))
+    s = sums.withColumn("lb", F.expr(f"_n * (_n + 2) * ({q})"))
+    return s.select(*by, F.expr("try_divide(_dd, _uu)").alias("dw"), "lb", tails.chi2_sf("lb", most).alias("lb_p"))

@@ -128,13 +128,6 @@ def block_permutation_p(spark: SparkSession, sf: str) -> DataFrame:
     return movement.permutation_p(monthly(spark, sf), n=400)
 
 
-@query()
-def its_hac(spark: SparkSession, sf: str) -> DataFrame:
-    s = monthly(spark, sf).withColumns({"is_holiday": F.month("date") == 12, "is_promo": F.month("date") == 8})
-    r = estimate.its(s, m.T0)
-    return spark.createDataFrame([(r["level"]["estimate"], r["level"]["se"], r["level"]["p"], r["slope"]["estimate"], r["cumulative"]["estimate"], r["durbin_watson"], r["placebo"]["status"])], "level double, level_se double, level_p double, slope double, cumulative double, dw double, placebo string")
-
-
 #: Partial correlations given a trend and up to one more column, by the recursion from plain ones;
 #: p is the share of Student's density outside t, summed over 2000 steps of its angle.
 _SCREEN = f"""WITH {_DAYS}, s AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM d), k AS (SELECT w FROM generate_series(-1, 11) g(w)),
