@@ -8,6 +8,7 @@ one number a day, which the callers bound by their window.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -109,12 +110,39 @@ def split_statistic(y: np.ndarray, min_segment: int = MIN_SEGMENT) -> tuple[int,
     return int(i[k]), float(stat[k])
 
 
-def permutation_p(series: DataFrame, value: str = "value", order: str = "date", n: int = 800, seed: int = 7, block: int = 7) -> DataFrame:
-    """(stat, hits, n, p): permuting blocks of about a week, p = (hits + 1) / (n + 1).
+def block_mark(seed: int, permutation: object, block: object) -> str:
+    """What a permutation sorts its blocks by; every engine has this hash."""
+    return hashlib.md5(f"{seed}|{permutation}|{block}".encode()).hexdigest()
+
 
-    Each permutation is a row with its own seed, so the result does not depend on how rows are
-    dealt to tasks.
+def permutation_test(series: DataFrame, value: str = "value", order: str = "date", by: Sequence[str] = (), n: int = 800, seed: int = 7, block: int = 7) -> DataFrame:
+    """(by, split, stat, hits, n, p): the block permutation test of many series, all in the plan.
+
+    A series is cut into max(2, values div ``block``) blocks of like size; permutation k puts them in the order of
+    md5("seed|k|block"). Permuted series are (series, k) groups with a split search each, so the work is dealt by both,
+    and no result depends on how rows are dealt.
     """
+    every = Window.partitionBy(*by)
+    known = series.where(F.col(value).isNotNull()).select(*by, F.col(order).alias("_at"), F.col(value).cast("double").alias("_v"))
+    observed = best_split(known, "_v", "_at", by)
+    rows = known.select(*by, "_v", (F.row_number().over(Window.partitionBy(*by).orderBy("_at")) - 1).alias("_i"), F.count("*").over(every).alias("_n"))
+    rows = rows.withColumn("_nb", F.expr(f"greatest(2, _n div {block})")).withColumns({"_q": F.expr("_n div _nb"), "_r": F.col("_n") % F.col("_nb")})
+    wide = F.col("_r") * (F.col("_q") + 1)  # values of the first blocks, which hold one more
+    rows = rows.withColumn("_b", F.when(F.col("_i") < wide, F.expr("_i div (_q + 1)")).otherwise(F.col("_r") + F.expr("try_divide(_i - _r * (_q + 1), _q)").cast("long")))
+    blocks = rows.groupBy(*by, "_b").agg(F.min("_i").alias("_first"), F.count("*").alias("_size"))
+    shuffled = blocks.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_k").cast("string"), F.col("_b").cast("string")).cast("binary"))
+    before = Window.partitionBy(*by, "_k").orderBy(mark, "_b").rowsBetween(Window.unboundedPreceding, -1)
+    shuffled = shuffled.select(*by, "_k", "_b", (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first")).alias("_move"))
+    permuted = rows.select(*by, "_b", "_i", "_v").join(shuffled, [*by, "_b"]).select(*by, "_k", (F.col("_i") + F.col("_move")).alias("_place"), "_v")
+    null = best_split(permuted, "_v", "_place", [*by, "_k"]).select(*by, F.col("stat").alias("_stat"))
+    both = null.join(observed, list(by)) if by else null.crossJoin(F.broadcast(observed))  # one row
+    got = both.groupBy(*by, "split", "stat").agg(F.count_if(F.col("_stat") >= F.col("stat") * (1 - 1e-9)).alias("hits"), F.count("*").alias("n"))
+    return got.withColumn("p", (F.col("hits") + 1) / (F.col("n") + 1))
+
+
+def permutation_p(series: DataFrame, value: str = "value", order: str = "date", n: int = 800, seed: int = 7, block: int = 7) -> DataFrame:
+    """``permutation_test`` of one short series (a row a day, collected): the same p in one small job."""
     spark = series.sparkSession
     y = np.array([float(r[0]) for r in series.where(F.col(value).isNotNull()).orderBy(order).select(value).collect()])
     at, observed = split_statistic(y)
@@ -125,12 +153,12 @@ def permutation_p(series: DataFrame, value: str = "value", order: str = "date",
         for part in parts:
             stats = []
             for i in part["id"]:
-                order_ = np.random.default_rng([seed, int(i)]).permutation(len(sent.value))
+                order_ = sorted(range(len(sent.value)), key=lambda k: (block_mark(seed, i, k), k))
                 stats.append(split_statistic(np.concatenate([sent.value[k] for k in order_]))[1] if len(sent.value) else 0.0)
             yield pd.DataFrame({"id": part["id"], "stat": stats})
 
     null = spark.range(n).mapInPandas(run, "id long, stat double")
-    got = null.agg(F.count_if(F.col("stat") >= observed).alias("hits"), F.count("*").alias("n"))
+    got = null.agg(F.count_if(F.col("stat") >= observed * (1 - 1e-9)).alias("hits"), F.count("*").alias("n"))
     return got.select(F.lit(at).alias("split"), F.lit(observed).alias("stat"), "hits", "n", ((F.col("hits") + 1) / (F.col("n") + 1)).alias("p"))
 
 

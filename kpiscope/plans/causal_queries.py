@@ -123,9 +123,27 @@ def fourier_terms(spark: SparkSession, sf: str) -> DataFrame:
     return monthly(spark, sf).select("date", (F.round(s1, 6) + 0.0).alias("s1"), (F.round(c2, 6) + 0.0).alias("c2"))
 
 
-@query()
+#: Blocks of about a week's length in the order of a hash, prefix sums of each permutation, its best split.
+_PERMUTED = f"""WITH {m.SQL_CELLS}, s AS (SELECT product_line, month AS day, sum(units_sold) AS v FROM cells GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY product_line ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY product_line) AS n FROM s), z AS (SELECT *, greatest(2, n // 7) AS nb FROM r),
+b AS (SELECT product_line, v, i, n, CASE WHEN i < (n % nb) * (n // nb + 1) THEN i // (n // nb + 1) ELSE (n % nb) + (i - (n % nb) * (n // nb + 1)) // (n // nb) END AS b FROM z),
+k AS (SELECT product_line, b, min(i) AS first, count(*) AS size, unnest(generate_series(0, 399)) AS k FROM b GROUP BY product_line, b),
+o AS (SELECT product_line, b, k, coalesce(sum(size) OVER (PARTITION BY product_line, k ORDER BY md5('7|' || k || '|' || b), b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - first AS move FROM k),
+y AS (SELECT product_line, -1 AS k, i AS place, n, v FROM b UNION ALL SELECT b.product_line, k, i + move, n, v FROM b JOIN o ON o.product_line = b.product_line AND o.b = b.b),
+w AS (SELECT product_line, k, place AS i, n, sum(v) OVER (PARTITION BY product_line, k ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, sum(v * v) OVER (PARTITION BY product_line, k ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS aa,
+ sum(v) OVER (PARTITION BY product_line, k) AS t, sum(v * v) OVER (PARTITION BY product_line, k) AS tt FROM y),
+q AS (SELECT product_line, k, i, abs((t - a) / (n - i) - a / i) / sqrt(greatest((aa - a * a / i) / (i - 1), 0) / i + greatest((tt - aa - (t - a) * (t - a) / (n - i)) / (n - i - 1), 0) / (n - i)) AS stat FROM w WHERE i >= 10 AND i <= n - 11),
+t AS (SELECT product_line, k, max(stat) AS stat, arg_max(i, stat) AS split FROM q GROUP BY product_line, k), u AS (SELECT * FROM t WHERE k = -1)
+SELECT u.product_line, CAST(any_value(u.split) AS BIGINT) AS split, round(any_value(u.stat), 4) AS stat, count(CASE WHEN t.stat >= u.stat * (1 - 1e-9) THEN 1 END) AS hits, count(*) AS n, round((count(CASE WHEN t.stat >= u.stat * (1 - 1e-9) THEN 1 END) + 1) / (count(*) + 1.0), 6) AS p
+FROM t JOIN u ON u.product_line = t.product_line WHERE t.k >= 0 GROUP BY u.product_line"""
+
+
+@query(_PERMUTED)
 def block_permutation_p(spark: SparkSession, sf: str) -> DataFrame:
-    return movement.permutation_p(monthly(spark, sf), n=400)
+    """Whether each line's monthly units shifted, by 400 permutations of blocks."""
+    s = m.facts(spark, sf).groupBy("product_line", "month").agg(F.sum("units_sold").cast("double").alias("value"))
+    got = movement.permutation_test(s, order="month", by=["product_line"], n=400)
+    return got.select("product_line", "split", F.round("stat", 4).alias("stat"), "hits", "n", F.round("p", 6).alias("p"))
 
 
 #: Partial correlations given a trend and up to one more column, by the recursion from plain ones;

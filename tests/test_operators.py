@@ -39,6 +39,8 @@ def test_step_is_split_where_it_is(spark):
     p = movement.permutation_p(df, n=100).first()
     assert p["p"] == pytest.approx((p["hits"] + 1) / 101) and p["p"] < 0.1
     assert str(movement.permutation_p(df.repartition(3), n=100).first()) == str(p)
+    plan = movement.permutation_test(df.repartition(5), n=100).first()
+    assert (plan.split, plan.hits, plan.n, plan.p) == (p.split, p.hits, p.n, p.p) and abs(plan.stat - p.stat) < 1e-9
 
 
 def test_lagged_pair(spark):
