@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kpiscope.plans import causal_queries, conform_queries, decision_queries, inference_queries, kpi_queries, quality_queries, stream_queries
+from kpiscope.plans import causal_queries, conform_queries, decision_queries, graph_queries, inference_queries, kpi_queries, quality_queries, stream_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (kpi_queries, quality_queries, conform_queries, causal_queries, inference_queries, decision_queries, stream_queries)
+MODULES = (kpi_queries, quality_queries, conform_queries, causal_queries, inference_queries, graph_queries, decision_queries, stream_queries)
 
 
 def queries() -> dict[str, Query]:
