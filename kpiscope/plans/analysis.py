@@ -205,11 +205,21 @@ class Engine:
             results = side_by_side(judge, sc.hypotheses)
             family = identify.multiplicity(self.spark, results)
         with tel.span("evidence"):
-            found = self.evidence(kpi, move, terms, results, cover, sc).cache()
+            found = self.evidence(kpi, move, terms, results, cover, sc, d).cache()
             facts = [r.asDict() for r in found.collect()]
-            cited = {h.hypothesis_id: [r["evidence_id"] for r in decision.retrieve(found, h.hypothesis_id).orderBy("evidence_id").collect()] for h in sc.hypotheses}
-            edges = {(r["source"], r["target"]): r["verdict"] for r in structure.screen(p, self.contract.dag).collect()}
-            stakes = side_by_side(lambda x: self.exposure(*x, d, sc, terms), list(zip(results, sc.hypotheses)))
+            def cite(h: identify.Hypothesis) -> list[str]:
+                return [r["evidence_id"] for r in decision.retrieve(found, h.hypothesis_id).orderBy("evidence_id").collect()]
+
+            def screened(_: None) -> dict:
+                return {(r["source"], r["target"]): r["verdict"] for r in structure.screen(p, self.contract.dag).collect()}
+
+            def stake(x: tuple) -> float:
+                return self.exposure(*x, d, sc, terms)
+
+            tasks = [(cite, h) for h in sc.hypotheses] + [(screened, None)] + [(stake, x) for x in zip(results, sc.hypotheses)]
+            got = side_by_side(lambda t: t[0](t[1]), tasks)
+            k = len(sc.hypotheses)
+            cited, edges, stakes = {h.hypothesis_id: c for h, c in zip(sc.hypotheses, got)}, got[k], got[k + 1 :]
             hyp = self.assess(results, facts, kpi, move, cover, edges, {h.hypothesis_id: s for h, s in zip(sc.hypotheses, stakes)})
         with tel.span("actions"):
             frame = self.spark.createDataFrame([(h["hypothesis_id"], h["driver"], h["status"], h["action"]) for h in hyp], "hypothesis string, driver string, status string, action string")
@@ -231,6 +241,8 @@ class Engine:
             contract = claims.build(out, status, d.regions, foreign, claims.PROFILES[persona].sections, (), PERSONAS[persona].max_words)
             try:
                 check_payload(sections, d)  # nothing that the persona may not see reaches a drafter
+                if kinds := claims.type_faults(claims.statements(out, persona), status):
+                    raise Tripwire(f"claims of a type that their status forbids: {kinds}")
                 out["narrative"] = claims.render(sections, contract, self.drafter) | {"contract": contract.digest}
             except Tripwire as e:
                 out["narrative"] = {"mode": "DEGRADED", "sections": {s: "This section was withheld." for s in contract.required}, "calls": 0, "faults": [("Y5", str(e))], "contract": contract.digest}
@@ -268,7 +280,7 @@ class Engine:
             return []
         return [{"term": t, "value": row[t], "pp": row[f"{t}_pp"], "share": row[f"{t}_share"]} for t in decompose.TERMS]
 
-    def evidence(self, kpi, move, terms, results, cover, sc) -> DataFrame:
+    def evidence(self, kpi, move, terms, results, cover, sc, d: Decision) -> DataFrame:
         parts = []
         if move.pct is not None:
             parts.append(evidence.movement(self.spark.createDataFrame([(kpi.kpi_id, float(move.pct), 60)], "kpi string, pct double, n int")))
@@ -281,7 +293,8 @@ class Engine:
         parts.append(evidence.gaps(self.data.freshness, self.spark.createDataFrame(rows, "variable string, pct double, status string"), self.data.defects))
         treated = next((h.treated[0] for h in sc.hypotheses if h.treated), None)
         if treated:
-            parts.append(evidence.operational(self.data.ops_region, sc.baseline, sc.focus, treated))
+            mine = self.data.ops_region.where(F.col("region").isin(*d.regions))  # no reading of a place out of scope
+            parts.append(evidence.operational(mine, sc.baseline, sc.focus, treated))
         return evidence.union(parts)
 
     def assess(self, results, facts, kpi, move, cover, edges, stakes: Mapping[str, float]) -> list[dict]:

@@ -118,18 +118,30 @@ def test_did_paths_agree_and_recover(spark):
     x = np.column_stack([estimate._dummies(pdf["cell"].to_numpy()), estimate._dummies(pdf["date"].astype(str).to_numpy())[:, 1:], (pdf["treated"] & pdf["post"]).to_numpy(float)])
     assert np.linalg.lstsq(x, pdf["y"].to_numpy(), rcond=None)[0][-1] == pytest.approx(full["estimate"], abs=1e-6)
     holes = p.where("not (cell = 'c5' and day(date) = 3)")
-    assert estimate.estimate_did(holes, "y", assignments=False)["path"] == "GENERAL"
+    assert estimate.estimate_did(holes, "y", assignments=False)["path"] == "KERNEL"
     assert estimate.parallel_trends(p, "y")["status"] == "COMPATIBLE"
 
 
 def test_claims_are_held():
     g = claims.build({"x": 12.345, "n": "7 of 9"}, {"marketing_spend": "ASSOCIATION_ONLY"}, ["North"], ["South"], ["headline"], ("Fixed sentence.",), 100)
-    ok = {"headline": "Marketing spend moved together with sales; 12.35 and 7. Fixed sentence."}
+    ok = {"headline": "Marketing spend was associated with sales (association 12.35). It fell on 2026-08-01 by 9. Fixed sentence."}
     assert claims.validate(ok, g).ok
     faults = {k for k, _ in claims.validate({"drivers": "Marketing spend caused 99 in South."}, g).faults}
-    assert faults == {"V1", "V2", "V3", "V4", "V5"}
+    assert faults == {"V1", "V2", "V3", "V4", "V5", "V6"}
     assert claims.render({"headline": "99"}, g)["mode"] == "DEGRADED"
     assert claims.render(ok, g, draft=lambda s: {"headline": "caused"})["mode"] == "TEMPLATE"
+    for status, grammar in claims.GRAMMAR.items():
+        text = {"headline": "Fulfilment caused the fall, the root cause. Fixed sentence."}
+        bad = claims.validate(text, claims.build({}, {"fulfilment": status}, [], [], [], ("Fixed sentence.",), 100)).faults
+        assert {"V1"} == {k for k, _ in bad} and any("root cause" in d for _, d in bad) and any("caused" in d for _, d in bad)
+        assert not set(grammar.allowed_types) & set(grammar.forbidden_types)
+    effect = {"kind": "DID", "estimate": -0.2231435513, "low": -0.3566749439, "high": -0.1053605157}
+    said = claims.about({"driver": "fulfilment", "status": "SUPPORTED_BY_DESIGN", "effect": effect})[0].text
+    assert "reduced the outcome by 20.00 percent (95 percent interval -30.00 to -10.00)" in said
+    assert claims.validate({"drivers": said}, claims.build({"hypotheses": [{"status": "SUPPORTED_BY_DESIGN", "effect": effect}]}, {"fulfilment": "SUPPORTED_BY_DESIGN"}, [], [], [], (), 99)).ok
+    low = claims.build({"x": 4.5}, {"spend": "NOT_POINT_IDENTIFIED"}, [], [], [], (), 99)
+    assert {k for k, _ in claims.validate({"d": "Spend moved it by 4.50, interval 4.5."}, low).faults} == {"V6"}
+    assert claims.type_faults([claims.Statement("drivers", "x", "CAUSAL_EFFECT_CONDITIONAL", "spend")], low.status)[0][0] == "V7"
     assert claims.clarification({"STALE_SOURCE": "a", "CONFOUNDER": "b"})["kind"] == "CONFOUNDER"
     with pytest.raises(RankMisuse):
         status_from_rank(0.9)
