@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kpiscope.operators import claim_scan
 from kpiscope.operators import decision as d
 from kpiscope.plans import model as m
 from kpiscope.plans.registry import registry
@@ -184,3 +185,28 @@ def worst_defect_rate(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey") % 3
     rows = m.t(spark, sf, "supplier").select(F.when(k == 0, "ERP-00").when(k == 1, "OPS-00").otherwise("MKT-00").alias("defect_id"), F.round(F.col("s_acctbal") / 10000, 4).alias("rate"))
     return d.worst_defect_rate(rows, {"ERP": "SRC_ERP", "OPS": "SRC_OPS", "MKT": "SRC_MKT"})
+
+
+_EXEMPT = ", ".join(f"'{x}'" for x in ("0", "1", "100", "12", "2", "24", "3", "30", "4", "5", "7", "95"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, n_chars, coalesce(text, '') AS text FROM documents),
+k AS (SELECT doc_id, n_chars, unnest(regexp_extract_all(regexp_replace(text, '\\b\\d{{4}}-\\d{{2}}-\\d{{2}}\\b', ' ', 'g'), '(?:^|[^\\w.+-])([-+]?\\d[\\d,]*(?:\\.\\d+)?)', 1)) AS raw FROM t),
+n AS (SELECT doc_id, n_chars, regexp_replace(raw, '[+,-]', '', 'g') AS number FROM k),
+v AS (SELECT doc_id, x.s * n_chars AS v FROM t, (SELECT unnest([1.0, 1e-5, 1e-7]) AS s) x), f AS (SELECT DISTINCT doc_id, form AS number FROM (SELECT doc_id, unnest([printf('%.0f', v), printf('%.1f', v), printf('%.2f', v), printf('%.3f', v), printf('%.4f', v)]) AS form FROM v)
+ UNION SELECT doc_id, CASE WHEN contains(form, '.') THEN rtrim(rtrim(form, '0'), '.') ELSE form END FROM (SELECT doc_id, unnest([printf('%.1f', v), printf('%.2f', v), printf('%.3f', v), printf('%.4f', v)]) AS form FROM v)),
+u AS (SELECT n.doc_id, count(*) AS unsourced FROM n LEFT JOIN f ON f.doc_id = n.doc_id AND f.number = n.number WHERE f.number IS NULL AND n.number NOT IN ({_EXEMPT}) GROUP BY n.doc_id),
+b AS (SELECT DISTINCT array_to_string(list_slice(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), 1, 3), ' ') AS phrase FROM benchmark WHERE len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) >= 3),
+s AS (SELECT doc_id, no, regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}]+') AS w FROM (SELECT doc_id, unnest(parts) AS sentence, unnest(generate_series(1, len(parts))) AS no FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM t))),
+g AS (SELECT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS phrase FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM s WHERE len(w) >= 3)),
+p AS (SELECT doc_id, count(*) AS said FROM g JOIN b ON b.phrase = g.phrase GROUP BY doc_id)
+SELECT t.doc_id, coalesce(unsourced, 0) AS unsourced, coalesce(said, 0) AS said FROM t LEFT JOIN u ON u.doc_id = t.doc_id LEFT JOIN p ON p.doc_id = t.doc_id WHERE unsourced IS NOT NULL OR said IS NOT NULL""")
+def claim_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with numerals other than their length, or with the opening three words of a benchmark item in a sentence."""
+    docs = m.t(spark, sf, "documents").select("doc_id", "text", "n_chars")
+    first = claim_scan.words(F.col("text"))
+    opening = m.t(spark, sf, "benchmark").where(F.size(first) >= 3).select(F.array_join(F.slice(first, 1, 3), " ").alias("phrase"))
+    numbers = claim_scan.unsourced(docs, docs.select("doc_id", "n_chars"), "doc_id", "text", "n_chars").groupBy("id").agg(F.count("*").alias("unsourced"))
+    said = claim_scan.phrase_hits(docs, opening, "doc_id", "text", "phrase").groupBy("id").agg(F.sum("n").alias("said"))
+    got = numbers.join(said, "id", "full").select(F.col("id").alias("doc_id"), F.coalesce("unsourced", F.lit(0)).alias("unsourced"), F.coalesce("said", F.lit(0)).alias("said"))
+    return got

@@ -9,6 +9,7 @@ from kpiscope.plans import model as m
 from kpiscope.plans.registry import registry
 from kpiscope.sources.files import scratch_path
 from kpiscope.streaming import ops_stream
+from kpiscope.streaming.audit import AuditTable
 
 QUERIES, SQL = {}, {}
 query = registry(QUERIES, SQL)
@@ -30,3 +31,30 @@ def user_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """The stream's sessions over the whole table; users have a few events a day."""
     got = ops_stream.sessions(m.t(spark, sf, "events"), gap="12 hours")
     return got.select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("session_start", "session_end")], "n")
+
+
+def _audited(spark: SparkSession, sf: str) -> AuditTable:
+    """Events as decisions on requests: errors are refusals; appended by a stream, and once more by hand."""
+    raw = spark.readStream.schema(ops_stream.EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf)
+    rows = raw.select(
+        F.col("ts").cast("timestamp").alias("at"), F.concat(F.lit("R"), F.col("user_id").cast("string")).alias("request_id"), F.lit("user").alias("persona"), F.col("event_type").alias("action"),
+        (F.col("event_type") != "error").alias("granted"), F.when(F.col("event_type") == "error", "REFUSED").otherwise("OK").alias("code"), F.col("event_id").cast("string").alias("detail"),
+    )
+    table = AuditTable(scratch_path(spark, "audit"))
+    table.run(rows).awaitTermination()
+    table.append(table.events(spark), 0)  # the first batch again: it adds nothing
+    return table
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, 'R' || user_id AS request_id, event_type AS action, event_type <> 'error' AS granted, CAST(event_id AS VARCHAR) AS detail FROM events ORDER BY ts DESC, 'R' || user_id DESC, event_type DESC, CAST(event_id AS VARCHAR) DESC LIMIT 50""")
+def audit_tail(spark: SparkSession, sf: str) -> DataFrame:
+    """The last 50 decisions of an audit table that a stream filled."""
+    got = _audited(spark, sf).tail(spark)
+    return got.select(F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "request_id", "action", "granted", "detail")
+
+
+@query("SELECT 'R' || user_id AS request_id, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at FROM events WHERE event_type = 'error' GROUP BY user_id")
+def audit_denials(spark: SparkSession, sf: str) -> DataFrame:
+    """Refusals of each request."""
+    got = _audited(spark, sf).denials(spark).groupBy("request_id").agg(F.count("*").alias("n"), F.max("at").alias("last_at"))
+    return got.withColumn("last_at", F.date_format("last_at", "yyyy-MM-dd HH:mm:ss"))

@@ -9,7 +9,7 @@ import pytest
 from kpiscope.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents benchmark".split()
 
 
 @pytest.fixture(scope="module")
