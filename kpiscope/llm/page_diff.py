@@ -1,18 +1,19 @@
 """Main text of web pages by differencing each page with those of the nearest URLs.
 
-Pages of a host are ordered by URL path. Each page is paired with the nearest page before it and
-the nearest after it, both of its host; of pages that copy it (most of its text is
-shared) the next one is taken, up to ``REACH`` pages away. Pages become lines, their text blocks in
+Pages of a host are ordered by URL path. Each page is paired with the two nearest pages before it and
+the two nearest after it, all of its host; pages that copy it (most of its text is
+shared) are passed over, up to ``REACH`` pages away. Pages become lines, their text blocks in
 order, and are aligned with each pair by a longest common subsequence. What the site's template
-repeats is shared with the pairs, and these lines are deleted:
+repeats is shared with most pairs (with all, if they are two or one), and these lines are deleted:
 
-* outside an explicit article or main element, lines shared with every pair (one or two);
-* inside one, lines shared with two pairs at the same place in all three, counted from the start
-  or the end of the article: a label that each article carries. A passage that one neighbour
-  quotes, or that stands elsewhere there, is content and stays.
+* outside an explicit article or main element, lines shared with most pairs;
+* inside one, lines shared with most pairs at the same place there, counted from the start
+  or the end of the article, that are no prose (six words and more, ended as a sentence): a label that each
+  article carries. A passage that articles quote, or that stands elsewhere there, is content and stays.
 
 Markup is a prior: blocks inside menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments go in any case, as their text may change from page to page. Where
+scripts, styles and reader comments go in any case, as their text may change from page to page. Within an article a class name
+like "related" or "search" only makes an element doubtful: it stays if it holds prose. Where
 an article or main element holds most of what is left, lines outside it go as well.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
@@ -60,10 +61,16 @@ HINTS = frozenset(
 )
 _OPEN = re.compile(r"<!--|<[!?]|<([a-zA-Z][^\s/>]*+)")
 _CLOSE = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*+>?", re.I) for name in RAW}
-_TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>")
+#: Quotes hold a value, with any characters, after an equals sign only; one that is never closed is a character.
+_TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*+)((?:[^<>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>")
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORDS = re.compile(r"[a-z0-9]+")
-OUT, PLAIN, MAIN = 0, 1, 2
+#: PROSE: a MAIN line that reads as a sentence or more. From DOUBT on: the MAIN lines of an element with a hint.
+OUT, PLAIN, MAIN, PROSE, DOUBT = 0, 1, 2, 3, 8
+#: Hints that hold in an article as well, whatever the element says.
+HARD = frozenset("ad ads advert adverts advertisement sponsor sponsored comment comments reply replies disqus cookie cookies consent".split())
+#: Pages paired with on each side.
+SIDE = 2
 #: How far a pair may be away, in pages of the url order.
 REACH = 8
 #: A pair is a copy if it has more than this share of the article's text, or, on pages without
@@ -75,24 +82,39 @@ COPY_SHARE = {MAIN: 0.5, PLAIN: 0.8}
 RANGE_BYTES, MAX_RANGES = 16 << 20, 4096
 
 
-def hinted(attrs: str, inside: bool) -> bool:
-    """Whether class, id, role or style mark an element as no part of the main text."""
+def hinted(attrs: str, inside: bool) -> int:
+    """Whether class, id, role or style mark an element as no part of the main text: 2 yes, 1 in doubt.
+
+    Within an article (``inside``) only whole class names count, and but for HARD ones they are in doubt; outside it
+    the words of class names do. An id counts as a whole only.
+    """
     if "=" not in attrs:
-        return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", attrs))
+        return 2 if re.search(r"(?:^|\s)hidden(?:\s|/|$)", attrs) else 0
+    doubt = 0
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id"):
-            if not HINTS.isdisjoint(_WORDS.findall(value)):
-                return True
+        if name == "class":
+            whole = set(value.split())
+            if not HARD.isdisjoint(whole) or not inside and not HINTS.isdisjoint(_WORDS.findall(value)):
+                return 2
+            doubt = doubt or int(not HINTS.isdisjoint(whole))
+        elif name == "id":
+            if value.strip() in (HARD if inside else HINTS):
+                return 2
         elif name == "role":
             if value in ROLES and not inside:
-                return True
+                return 2
         elif name == "aria-hidden":
             if value == "true":
-                return True
+                return 2
         elif name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return 2
+    return doubt
+
+
+def is_prose(text: str) -> bool:
+    """Six words or more that end as a sentence does."""
+    return text.count(" ") >= 5 and text.rstrip("\"')]»”’")[-1:] in tuple(".!?…")
 
 
 def without_raw(page: str) -> str:
@@ -112,11 +134,13 @@ def without_raw(page: str) -> str:
                 break
         else:
             name, stop = m[1].lower(), 0
+            tag = _TAG.match(page, m.start())
+            if tag:
+                end = tag.end()  # what its attributes hold is no markup
             if name in RAW and name not in unclosed:
-                # The start tag's own end; a self-closing one holds nothing.
-                tag = page.find(">", end)
-                if tag > 0 and page[tag - 1] == "/" and name not in TO_THE_END:
-                    stop = tag + 1
+                # A self-closing tag holds nothing.
+                if tag and page[end - 2] == "/" and name not in TO_THE_END:
+                    stop = end
                 elif close := _CLOSE[name].search(page, end):
                     stop = close.end()
                 else:
@@ -136,7 +160,7 @@ def lines_of(page: str) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     held: list[str] = []
     stack: list[tuple[str, int]] = []  # element, region it began
-    region, at = PLAIN, 0
+    region, at, doubts = PLAIN, 0, 0
 
     def close() -> None:
         if held:
@@ -170,30 +194,37 @@ def lines_of(page: str) -> list[tuple[int, str]]:
                 if name in VOID_LIKE and stack[i][0] not in VOID_LIKE:
                     break  # a stray end of a small element does not end larger ones
             continue
-        inside = region == MAIN
+        inside = region >= MAIN
         new = region
         if name in ("article", "main"):
             # An article within a menu or advert that was never closed ends it; one within
             # the comments is a comment.
-            new = OUT if hinted(m[3], inside) or any(n == "#comments" for n, _ in stack) else MAIN
+            new = OUT if hinted(m[3], True) == 2 or any(n == "#comments" for n, _ in stack) else MAIN
         elif region != OUT:
-            if (name in AWAY and not (inside and name == "header")) or hinted(m[3], inside):
+            hint = hinted(m[3], inside)
+            if (name in AWAY and not (inside and name == "header")) or hint == 2 or hint and not inside:
                 new = OUT
+            elif hint:
+                doubts += 1
+                new = DOUBT + doubts
         if name in VOID_LIKE and stack and stack[-1][0] == name:
             stack.pop()  # the next paragraph, item or cell ends the one before
-            if region == OUT and name != "span" and not hinted(m[3], inside):
+            if region == OUT and name != "span" and not hinted(m[3], inside) == 2:
                 base = stack[-1][1] if stack else PLAIN
                 new = base
         if new != region:
             close()
-        label = "#comments" if new == OUT and re.search(r"comment|repl(?:y|ies)|disqus", m[3].lower()) else name
+        label = "#comments" if new == OUT and region != OUT and re.search(r"comment|repl(?:y|ies)|disqus", m[3].lower()) else name
         if label == "#comments":
             stack.append((label, OUT))
         stack.append((name, new))
         region = new
     held.append(page[at:])
     close()
-    return out
+    # An element in doubt is the article's if it says something.
+    said = {r for r, t in out if r >= DOUBT and is_prose(t)}
+    settled = ((MAIN if r in said else OUT) if r >= DOUBT else r for r, _ in out)
+    return [(PROSE if r == MAIN and is_prose(t) else r, t) for r, (_, t) in zip(settled, out)]
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -255,23 +286,23 @@ class Page:
     @cached_property
     def places(self) -> dict[int, tuple[int, int]]:
         """Each main line's number from the start and from the end of the main lines."""
-        at = [i for i, r in enumerate(self.regions) if r == MAIN]
+        at = [i for i, r in enumerate(self.regions) if r >= MAIN]
         return {i: (k, len(at) - k) for k, i in enumerate(at)}
 
     @cached_property
     def best(self) -> int:
-        return max(self.regions, default=OUT)
+        return min(max(self.regions, default=OUT), MAIN)
 
     @cached_property
     def size(self) -> int:
-        return sum(n for n, r in zip(self.sizes, self.regions) if r == self.best)
+        return sum(n for n, r in zip(self.sizes, self.regions) if min(r, MAIN) == self.best)
 
     def shared(self, other: Page) -> dict[int, int]:
         """My lines that are aligned with the other's, by place."""
         return dict(common_lines(self.hashes, other.hashes))
 
     def copied(self, shared: dict[int, int]) -> bool:
-        same = sum(self.sizes[i] for i in shared if self.regions[i] == self.best)
+        same = sum(self.sizes[i] for i in shared if min(self.regions[i], MAIN) == self.best)
         return self.best != OUT and same > COPY_SHARE[self.best] * self.size
 
 
@@ -285,35 +316,38 @@ def page_of(lines: Sequence[tuple[int, str]], host: str = "") -> Page:
     return Page(host, line_hashes(lines), bytes(r for r, _ in lines), [len(t) for _, t in lines])
 
 
-def pair_with(page: Page, near: Sequence[Page]) -> tuple[Page, dict[int, int]] | None:
-    """The nearest page of the same host that is no copy, and the lines shared with it."""
+def pairs_with(page: Page, near: Sequence[Page]) -> list[tuple[Page, dict[int, int]]]:
+    """The nearest pages of the same host that are no copies, and the lines shared with each."""
+    out: list[tuple[Page, dict[int, int]]] = []
     for other in near[:REACH]:
-        if other.host != page.host:
-            return None
+        if other.host != page.host or len(out) == SIDE:
+            break
         shared = page.shared(other)
         if not page.copied(shared):
-            return other, shared
-    return None
+            out.append((other, shared))
+    return out
 
 
 def kept_lines(page: Page, before: Sequence[Page], after: Sequence[Page]) -> list[int]:
     """Places of the main text's lines, given the pages around, nearest first."""
-    pairs = [p for p in (pair_with(page, before), pair_with(page, after)) if p]
+    pairs = pairs_with(page, before) + pairs_with(page, after)
+    most = len(pairs) if len(pairs) < 3 else len(pairs) // 2 + 1
 
     def template(i: int) -> bool:
-        if not pairs or not all(i in shared for _, shared in pairs):
+        if not pairs or page.regions[i] == PROSE:
             return False
+        there = [(other, shared[i]) for other, shared in pairs if i in shared]
         if page.regions[i] != MAIN:
-            return True
+            return len(there) >= most
         if len(pairs) < 2:
             return False
-        there = [other.places.get(shared[i]) for other, shared in pairs]
-        return any(all(t is not None and t[end] == page.places[i][end] for t in there) for end in (0, 1))
+        places = [other.places[k] for other, k in there if k in other.places]
+        return any(sum(x[end] == page.places[i][end] for x in places) >= most for end in (0, 1))
 
     left = [i for i, r in enumerate(page.regions) if r != OUT and not template(i)]
-    main = sum(page.sizes[i] for i in left if page.regions[i] == MAIN)
+    main = sum(page.sizes[i] for i in left if page.regions[i] >= MAIN)
     if main and 2 * main >= sum(page.sizes[i] for i in left):
-        left = [i for i in left if page.regions[i] == MAIN]
+        left = [i for i in left if page.regions[i] >= MAIN]
     return left
 
 

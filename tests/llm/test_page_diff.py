@@ -2,6 +2,7 @@ import random
 import tracemalloc
 
 from kpiscope.llm import page_diff as p
+from kpiscope.llm.queries import op8_page_diff
 
 HEAD = "<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t=\"</p>\";</script></head><body><nav><ul><li><a href='/x'>Menu</a></li></ul></nav>"
 FOOT = "<footer>&copy; us</footer></body></html>"
@@ -68,12 +69,79 @@ def test_names_that_begin_like_raw_elements():
     assert text("<header-bar><p>A</p></header-bar><p>B<svg/>C</p>") == "A\n\nBC"
 
 
+def test_quoted_values_hold_any_characters():
+    assert text('<article><p title="1 < 2">Hello there</p></article>') == "Hello there"
+    assert text("<article><p data-x='<b>'>Two</p></article>") == "Two"
+    assert text('<article><p title="a > b" data-y="<script>" data-z="<!-- ">One</p><p>it\'s two</p><p it\'s>Three</p></article>') == "One\n\nit's two\n\nThree"
+    assert text('<p>A</p><svg title="x/>"><text>gone</text></svg><p title="never closed>B</p><p>C</p>').startswith("A")
+    assert text("<p title = \"x\n<y>\" >One</p>") == "One"
+
+
+def test_names_in_an_article_take_nothing_that_is_said():
+    said = "Two results of the study were found in it."
+    assert text(f'<article><p>One.</p><div class="search-results">Two results of the study</div><section id="related-laws"><p>important text</p></section></article>') == "One.\n\nTwo results of the study\n\nimportant text"
+    assert text(f'<article><p>One.</p><div class="related"><p>{said}</p><p>See it</p></div><div class="share">Mail it</div></article>') == f"One.\n\n{said}\n\nSee it"
+    assert text(f'<article><p>One.</p><div class="ad">{said}</div><div class="comments"><p>{said}</p></div></article>') == "One."
+    assert text(f'<div id="search-results"><p>{said}</p></div><div id="sidebar"><p>{said}</p></div>') == said
+
+
+def test_more_than_two_neighbours_vote():
+    def page(k, label="Read more of us"):
+        return f"<article><h1>Head {k}</h1><p>{label}</p><p>Text {k} is told here in {k * 60} words {k}.</p><p>This prose ends each of our articles here.</p></article>"
+
+    want = f"Head a\n\nText a is told here in {'a' * 60} words a.\n\nThis prose ends each of our articles here."
+    assert text(page("a"), [page("b"), page("c", "Another label")], [page("d"), page("e")]) == want  # three of four have the label
+    assert text(page("a"), [page("b"), page("c", "One")], [page("d", "Two"), page("e")]) == want.replace("Head a", "Head a\n\nRead more of us")
+    shell = lambda own, foot="Made by us": f"<div>Site</div><div>{own}</div><div>{foot}</div>"
+    assert text(shell("Own words a"), [shell("Own b"), shell("Own c", "Odd")], [shell("Own d")]) == "Own words a"
+
+
+def test_query_against_brute_force_alignment(spark, tmp_path):
+    """The query's result, with each page aligned by a quadratic table and pairs looked up in a plain list."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for i in range(70):
+        site = f"http://s{i % 3}.org"
+        inner = "".join(f"<p>{' '.join(word() for _ in range(rng.randint(2, 9)))}{rng.choice(['.', ''])}</p>" for _ in range(rng.randint(1, 4)))
+        shell = f"<div>Top {i % 3}</div>" + (f"<article><p>By staff {i % 3}</p>{inner}</article>" if i % 2 else inner) + f"<div>End {i % 3}</div>"
+        rows.append((i, f"{site}/{rng.choice('xyz')}/{i}", shell))
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in op8_page_diff(spark, str(tmp_path)).collect()}
+
+    def lcs(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                t[i][j] = t[i + 1][j + 1] + 1 if a[i] == b[j] else max(t[i + 1][j], t[i][j + 1])
+        return t[0][0]
+
+    ordered = sorted(rows, key=lambda r: (r[1].split("/")[2], "/" + r[1].split("/", 3)[3], r[1]))
+    lines = {r[0]: p.lines_of(r[2]) for r in rows}
+    host = {r[0]: r[1].split("/")[2] for r in rows}
+    order = [r[0] for r in ordered]
+    for at, i in enumerate(order):
+        near = [j for j in order[max(0, at - 2) : at] + order[at + 1 : at + 3] if host[j] == host[i]]
+        mine = [t for _, t in lines[i]]
+        shared = {j: p.common_lines(*map(p.line_hashes, (lines[i], lines[j]))) for j in near}
+        assert all(len(shared[j]) == lcs(mine, [t for _, t in lines[j]]) for j in near)
+        most = len(near) if len(near) < 3 else len(near) // 2 + 1
+        shell = {t for t in (f"Top {i % 3}", f"End {i % 3}", f"By staff {i % 3}") if sum(t in [x for _, x in lines[j]] for j in near) >= most}
+        left = [(r, t) for r, t in lines[i] if t not in shell]
+        main = sum(len(t) for r, t in left if r >= p.MAIN)
+        if main and 2 * main >= sum(len(t) for _, t in left):
+            left = [(r, t) for r, t in left if r >= p.MAIN]
+        assert got[i] == "\n\n".join(t for _, t in left), (i, near)
+
+
 def test_broken_markup_does_not_crash_or_hang():
     rng = random.Random(2)
     pieces = ["<p>", "</p>", "<div class=\"", "\">", "<", ">", "'", "<!--", "-->", "<script>", "</script>", "text ", "&amp", "&#x41;", "<nav>", "</nav>", "<article>", "</div>", "<br/>", "\n"]
     for _ in range(3000):
         p.lines_of("".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))))
     p.lines_of("<a \"" * 20000)
+    p.lines_of("<a x=\"" * 20000)
+    p.lines_of("<a x='\"" * 20000)
     p.lines_of("<" * 100000)
 
 
