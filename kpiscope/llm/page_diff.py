@@ -8,12 +8,12 @@ repeats is shared with most pairs (with all, if they are two or one), and these
 
 * outside an explicit article or main element, lines shared with most pairs;
 * inside one, lines shared with most pairs at the same place there, counted from the start
-  or the end of the article, that are no prose (six words and more, ended as a sentence): a label that each
+  or the end of the article, that do not end as a sentence: a label that each
   article carries. A passage that articles quote, or that stands elsewhere there, is content and stays.
 
 Markup is a prior: blocks inside menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments go in any case, as their text may change from page to page. Within an article a class name
-like "related" or "search" only makes an element doubtful: it stays if it holds prose. Where
+like "related" or "search" only makes an element doubtful: it stays if it holds six words or more that end as a sentence. Where
 an article or main element holds most of what is left, lines outside it go as well.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
@@ -65,7 +65,7 @@ _CLOSE = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*+>?", re.I) for name in
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*+)((?:[^<>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>")
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORDS = re.compile(r"[a-z0-9]+")
-#: PROSE: a MAIN line that reads as a sentence or more. From DOUBT on: the MAIN lines of an element with a hint.
+#: PROSE: a MAIN line that ends as a sentence. From DOUBT on: the MAIN lines of an element with a hint.
 OUT, PLAIN, MAIN, PROSE, DOUBT = 0, 1, 2, 3, 8
 #: Hints that hold in an article as well, whatever the element says.
 HARD = frozenset("ad ads advert adverts advertisement sponsor sponsored comment comments reply replies disqus cookie cookies consent".split())
@@ -112,9 +112,13 @@ def hinted(attrs: str, inside: bool) -> int:
     return doubt
 
 
+def ends(text: str) -> bool:
+    """Whether a line ends as a sentence does."""
+    return text.rstrip("\"')]»”’")[-1:] in tuple(".!?…")
+
+
 def is_prose(text: str) -> bool:
-    """Six words or more that end as a sentence does."""
-    return text.count(" ") >= 5 and text.rstrip("\"')]»”’")[-1:] in tuple(".!?…")
+    return text.count(" ") >= 5 and ends(text)
 
 
 def without_raw(page: str) -> str:
@@ -224,7 +228,7 @@ def lines_of(page: str) -> list[tuple[int, str]]:
     # An element in doubt is the article's if it says something.
     said = {r for r, t in out if r >= DOUBT and is_prose(t)}
     settled = ((MAIN if r in said else OUT) if r >= DOUBT else r for r, _ in out)
-    return [(PROSE if r == MAIN and is_prose(t) else r, t) for r, (_, t) in zip(settled, out)]
+    return [(PROSE if r == MAIN and ends(t) else r, t) for r, (_, t) in zip(settled, out)]
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
