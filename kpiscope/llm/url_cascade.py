@@ -5,7 +5,7 @@ Bloom filter of the listed keys; the second encodes those keys of the universe,
 that the first lets through; the third the listed keys that the second lets through; and so
 on until a level lets nothing wrong through. A key of the universe is listed exactly if the
 first level that rejects it has an even number (counting from one), so membership needs no
-join: a level is an array literal of 64-bit words (several for long lists). The first level has so
+join: a level is one binary literal (several for very long lists), met once in an expression however many hashes it has. The first level has so
 many bits a key that it lets through about as many keys of the universe as are listed, so levels
 are bounded by the list, however large the corpus is.
 
@@ -21,6 +21,7 @@ input columns other than the url and the key are ignored.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -30,9 +31,11 @@ from pyspark.sql import functions as F
 from kpiscope.llm.common import require_columns
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A literal holds the bits of at most about this many keys (1 MB); a longer list is split by the
+#: A literal holds the bits of at most about this many keys (3 to 8 MB); a longer list is split by the
 #: keys' hashes, with a literal for each part, of which a lookup touches one.
-MAX_KEYS = 500_000
+MAX_KEYS = 2_000_000
+#: Words of 64 bits that come to the driver in one row.
+ROW_WORDS = 1 << 12
 #: Levels after the first see about as many keys as they hold and let half of a percent through.
 LATER_BITS = 12
 
@@ -76,34 +79,35 @@ def candidate_keys(host: Column, path: Column, lengths: Sequence[int]) -> Column
     return F.flatten(F.transform(host_suffixes(host), lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
 
 
-#: The 64-bit words with one bit set, as signed integers.
+#: The 64-bit words with one bit set, as signed integers, and such bytes.
 ONE_BIT = [1 << i for i in range(63)] + [-(1 << 63)]
+BITS = [1 << i for i in range(8)]
 HALF = (1 << 31) - 1
 
 
-def places(key: Column, salt: int, hashes: int, bits: int) -> list[Column]:
+def places(key: Column, salt: int, hashes: int, bits: int) -> Column:
     """The key's bit places: sums of two hashes."""
     one, two = (F.xxhash64(key, F.lit(salt + i)).bitwiseAND(F.lit(HALF)) for i in (0, 1))
-    return [F.pmod(one + F.lit(i) * two, F.lit(bits)) for i in range(hashes)]
+    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(one + i * two, F.lit(bits)))
 
 
 @dataclass(frozen=True)
 class Level:
-    parts: tuple[tuple[int, ...], ...]  # the words of each part of the keys
+    parts: tuple[bytes, ...]  # the bits of each part of the keys, lowest bit of a byte first
     salt: int
     hashes: int
 
     def passes(self, key: Column) -> Column:
-        """Whether all the key's bits are set."""
-        words, part = F.lit(list(self.parts[0])), part_of(key, self.salt, len(self.parts))
+        """Whether all the key's bits are set; the first that is not ends the search."""
+        raw, part = F.lit(bytearray(self.parts[0])), part_of(key, self.salt, len(self.parts))
         for i, more in enumerate(self.parts[1:], 1):
-            words = F.when(part == i, F.lit(list(more))).otherwise(words)
-        powers = F.lit(ONE_BIT)
-        out = F.lit(True)
-        for p in places(key, self.salt, self.hashes, 64 * len(self.parts[0])):
-            word = F.get(words, F.shiftright(p, 6).cast("int"))
-            out = out & (word.bitwiseAND(F.get(powers, p.bitwiseAND(F.lit(63)).cast("int"))) != 0)
-        return out
+            raw = F.when(part == i, F.lit(bytearray(more))).otherwise(raw)
+
+        def is_set(p: Column) -> Column:
+            byte = F.ascii(F.decode(F.substring(raw, (F.shiftright(p, 3) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+            return F.get(F.lit(BITS), p.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(byte) != 0
+
+        return F.forall(places(key, self.salt, self.hashes, 8 * len(self.parts[0])), is_set)
 
 
 def part_of(key: Column, salt: int, parts: int) -> Column:
@@ -112,17 +116,22 @@ def part_of(key: Column, salt: int, parts: int) -> Column:
 
 def build_level(keys: DataFrame, n_keys: int, salt: int, bits_per_key: int) -> Level:
     """A Bloom filter of the column ``key``: bit places are or-ed per 64-bit word, so the
-    driver gets at most one number a word, and ``n_keys`` bounds the words."""
+    driver gets at most one number a word, ``ROW_WORDS`` a row, and ``n_keys`` bounds the words."""
     parts = max(1, -(-n_keys // MAX_KEYS))
     words, hashes = max(1, -(-n_keys * bits_per_key // (64 * parts))), max(1, round(bits_per_key * math.log(2)))
     key, powers = F.col("key"), F.lit(ONE_BIT)
     got = (
-        keys.select(part_of(key, salt, parts).alias("part"), F.explode(F.array(*places(key, salt, hashes, 64 * words))).alias("p"))
+        keys.select(part_of(key, salt, parts).alias("part"), F.explode(places(key, salt, hashes, 64 * words)).alias("p"))
         .groupBy("part", F.shiftright("p", 6).alias("word"))
         .agg(F.bit_or(F.get(powers, F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+        .groupBy("part", F.floor(F.col("word") / ROW_WORDS))
+        .agg(F.collect_list("word").alias("words"), F.collect_list("bits").alias("bits"))
     )
-    found = {(r["part"], r["word"]): r["bits"] for r in got.collect()}
-    return Level(tuple(tuple(found.get((k, i), 0) for i in range(words)) for k in range(parts)), salt, hashes)
+    raw = [bytearray(8 * words) for _ in range(parts)]
+    for r in got.select("part", "words", "bits").toLocalIterator():
+        for word, bits in zip(r["words"], r["bits"]):
+            struct.pack_into("<q", raw[r["part"]], 8 * word, bits)
+    return Level(tuple(map(bytes, raw)), salt, hashes)
 
 
 @dataclass(frozen=True)
