@@ -19,6 +19,7 @@ from kpiscope.plans.policy import PERSONAS, AccessDenied, AuditLog, Decision, Tr
 from kpiscope.plans.telemetry import Telemetry
 from kpiscope.sources import loaders
 
+#: The periods compared.
 FOCUS = (dt.date(2026, 8, 1), dt.date(2026, 8, 25))
 BASELINE = (dt.date(2026, 6, 1), dt.date(2026, 7, 24))
 

@@ -32,6 +32,7 @@ class Persona:
     max_words: int = 200
 
 
+#: The KPIs, regions, private fields and limits of each persona.
 _ALL = ("net_revenue", "gross_revenue", "recognized_revenue_finance", "units_sold", "avg_selling_price", "on_time_dispatch_rate", "complaint_rate", "subscription_arr")
 _REGIONS = ("North", "South", "East", "West")
 _PRIVATE = ("customer_id", "customer_email", "employee_id", "shift_id", "staff_productivity_score", "ticket_body")
