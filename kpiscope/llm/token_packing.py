@@ -12,8 +12,8 @@ random access, and unpacking is one numpy gather. The first ``n_null`` documents
 
 Shards are rows of a Parquet table (written by Spark, so that any store works and lost
 executors cost only their tasks), ordered by (part, seq). Documents are dealt by ranges of
-doc_id, so shards in that order hold all documents in ascending doc_id order (null first, ties
-in no fixed order).
+doc_id, so shards in that order hold all documents in ascending doc_id order (null first, ties by a hash of
+the text, then by the text), the same on each run. Ids are integers; others are refused.
 Null and empty texts hold only the end id; an empty table gives no shards and no rows.
 """
 
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from kpiscope.llm.chunks import ChunkEncoder, batches, text_of
 from kpiscope.llm.common import new_path, require_columns, utf8
@@ -179,6 +180,8 @@ def write_shards(
     Each task encodes its range in order and closes a shard at ``shard_tokens`` ids.
     """
     require_columns(docs, [text, doc_id])
+    if not isinstance(docs.schema[doc_id].dataType, IntegralType):
+        raise ValueError(f"{doc_id} must be an integer, as shards hold ids in 64 bits")
     spark = docs.sparkSession
     path = path or new_path(spark, "shards")
     end = [] if end_id is None else [end_id]
@@ -215,7 +218,7 @@ def write_shards(
 
     n = max(1, docs.rdd.getNumPartitions())
     dealt = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), utf8(f"`{text}`").alias("raw"))
-    dealt = dealt.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    dealt = dealt.withColumn("mark", F.xxhash64("raw")).repartitionByRange(n, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "raw").select("doc_id", "raw")
     dealt.mapInArrow(run, SHARDS).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
     return path
 

@@ -93,3 +93,16 @@ def test_encode_then_decode_frames(spark, docs):
     got = bpe_segment.encode_documents(docs.withColumnRenamed("lang", "ids"), vocabulary(), keep=("doc_id", "source"), decoded="back")
     rows = {r["doc_id"]: r for r in bpe_segment.decode_documents(got, vocabulary(), out="again").collect()}
     assert all(rows[i]["back"] == rows[i]["again"] == (t or "") for i, t in enumerate(TEXTS))
+
+
+def test_ties_have_one_order_and_text_ids_are_refused(spark):
+    rows = [(i % 3 if i % 5 else None, f"text {i * 7919 % 40}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def starts(d):
+        path = token_packing.write_shards(d, vocabulary(), shard_tokens=40)
+        return sorted(tuple(str(v) for v in r) for r in token_packing.read_digests(spark, path).collect())
+
+    assert starts(df.coalesce(1)) == starts(df.repartition(1)) == starts(df.orderBy("text").coalesce(1))
+    with pytest.raises(ValueError):
+        token_packing.write_shards(df.selectExpr("concat('d', doc_id) doc_id", "text"), vocabulary())
