@@ -107,6 +107,20 @@ LABELLED = (
     "w, <email w## at w dot es> w",
     "w w <email w at w dot w dot com> w",
     "w <email w AT w DOT com> w w",
+    "<email w at w dot de>",
+    "<email w at w dot com>.",
+    "<email w.w at w dot org> w w w",
+    "w w w: <email w at w dot fr>",
+    "w <email w arroba w punto es> w w",
+    "w w <email w.w arroba w punto com>, w",
+    "<email w arroba w punto es>",
+    "w: <email w (arroba) w (punto) es> w",
+    "w <email w arobase w point fr> w w",
+    "w w <email w.w arobase w point com>. W",
+    "<email w arobase w point fr>",
+    "w w <email w (arobase) w (point) fr> w",
+    "w <email w at w punkt de> w w",
+    "w w <email w (at) w (punkt) de>, w",
     "w w <ip ##.###.##.#> w w",
     "w w <ip ###.###.###.###>, w",
     "w w <ip #.##.###.##>. W w",
@@ -133,6 +147,16 @@ LABELLED = (
     "w: <phone ###-###-####> w",
     "w <phone 00## ## #######> w w",
     "w <phone # (###) ###-####> w",
+    "w w <phone 0### #######> w w",
+    "w <phone 0### ########>, w",
+    "w: <phone 0##/#######> w w",
+    "w w <phone 0## #######> w",
+    "w <phone 0###-#######>. W w",
+    "w w <phone (0##) #######> w",
+    "w <phone 0# ## ## ## ##> w w",
+    "w w <phone 0#.##.##.##.##>, w",
+    "<phone 0### #######>",
+    "w w: <phone 0# ## ## ## ##>",
     "w <phone #-###-###-####> w w",
     "w%%% <phone (###) ###-####>&&& w$$$",
     "W W!! <phone (###) ###-####>!! W",
@@ -169,6 +193,16 @@ LABELLED = (
     "w w dot de w w es w",
     "w de w dot w fr w",
     "w w at w de w. W w",
+    "w w at the dot com w w w w",
+    "w at the dot w w, w w",
+    "w at a dot com w w",
+    "w w point de w w, w point w",
+    "w punto de w w en el punto es w",
+    "w w Punkt der w w. W",
+    "w w at w, w the dot w",
+    "w 0,## w w 0.### w",
+    "w w 0## w w w 0#",
+    "w ##0 ##0 w #0 0## w",
     "w w w dot com w w",
     "w ###### w #### w w ### w ## w",
     "w 20##.##.##.## w",
@@ -176,10 +210,16 @@ LABELLED = (
 )
 LABELS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
 #: Fixed words that carry meaning for the field; all others count by their shape only.
-LEXICON = ("at", "dot", "com", "org", "net", "de", "fr", "es", "http", "https", "www", "v", "token")
+LEXICON = (
+    "at", "dot", "com", "org", "net", "de", "fr", "es", "http", "https", "www", "v", "token", "arroba", "arobase", "punto", "point", "punkt",
+    "the", "a", "der", "el", "le",
+)
+#: Signs that are spelt out, and words that name no domain or person.
+AT_SIGN, DOT_SIGN = ("at", "arroba", "arobase"), ("dot", "punto", "point", "punkt")
+NO_NAME = frozenset("the a an der die das el la lo le les un une en de du des y et und and or at dot".split())
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
 #: What every span holds: a digit, an @, or one of the spelt-out signs, before any ending.
-_TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]|(?<![^\W_])dot [A-Za-z]{2}", re.I)
+_TRIGGER = re.compile(rf"[0-9@]|[(\[](?:{'|'.join(AT_SIGN + DOT_SIGN)})[)\]]|(?<![^\W_])(?:{'|'.join(DOT_SIGN)}) [A-Za-z]{{2}}", re.I)
 REACH = 40
 OFFSETS = range(-3, 4)
 
@@ -187,7 +227,7 @@ OFFSETS = range(-3, 4)
 def shape(token: str) -> str:
     """Digits by their number; letters by case and length; other signs stand for themselves."""
     if token[0] in "0123456789":
-        return f"d{min(len(token), 20)}" + ("z" if token.startswith("00") else "")
+        return f"d{min(len(token), 20)}" + ("z" if token.startswith("00") else "o" if token[0] == "0" and len(token) > 1 else "")
     if token[0].isalpha():
         case = "X" if token.isupper() and len(token) > 1 else "Xx" if token[0].isupper() else "x"
         return case + str(min(len(token), 3))
@@ -372,6 +412,9 @@ def default_field() -> Field:
     return train(expand())
 
 
+_DOT_WORD = re.compile(rf"(?<![^\W_])(?:{'|'.join(DOT_SIGN)})(?![^\W_])", re.I)
+_ANY_DOT = rf"(?:\.|\s*[(\[]?\s*(?:{'|'.join(DOT_SIGN)})\s*[)\]]?\s*)"
+_SPELT = re.compile(rf"([\w.+-]*\w)\s*[(\[]?\s*(?<![^\W_])(?:{'|'.join(AT_SIGN)})\s*[)\]]?\s*([\w-]+)(?:{_ANY_DOT}[\w-]+)*{_ANY_DOT}[A-Za-z]{{2,}}", re.I)
 _NUMBER = re.compile(r"\+?[0-9(][0-9() ./-]*[0-9]")
 
 
@@ -387,8 +430,11 @@ def plausible(kind: str, text: str, before: str = "", after: str = "") -> bool:
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "ip":
         return text.count(".") == 3 and len(digits) >= 4 and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in text.split("."))
-    low = text.lower()
-    return ("@" in text or "at" in low) and ("." in text or "dot" in low) and not low.endswith("dot")
+    if "@" in text:
+        return "." in text or bool(_DOT_WORD.search(text))
+    # Spelt out: a name, a sign, a domain with an ending after a dot; no article or conjunction is one.
+    m = _SPELT.fullmatch(text)
+    return bool(m) and m[1].lower() not in NO_NAME and m[2].lower() not in NO_NAME
 
 
 def windows(text: str) -> list[tuple[int, int]]:

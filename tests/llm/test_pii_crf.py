@@ -69,6 +69,18 @@ OTHERS = (
     "invoice 20231 of 14.03.2021 over 1,250.00",
     "555.666.777.888 is no address",
     "le point dot de vue at ease",
+    "{email:john at example dot de}",
+    "call {phone:0171 2345678} now",
+    "escribe a {email:maria arroba correo punto es} hoy",
+    "we met at the dot com of the year",
+    "appelez le {phone:01 42 68 53 00} demain",
+    "Rufen Sie {phone:030 4407716} an, bitte",
+    "son adresse : {email:luc.b arobase mairie point fr}, merci",
+    "von {email:eva at kanzlei punkt de} kam ein Brief",
+    "au point de vue de la loi, un point fr est rare",
+    "en el punto de partida, a las 10 y 0,5 km",
+    "Die Zahl 0815 und der Punkt der Ordnung",
+    "room 012 of 340 at the end",
 )
 
 
