@@ -45,7 +45,7 @@ from kpiscope.llm.common import materialise, require_columns, utf8
 #: Text bytes after which a block of documents closes.
 BLOCK_BYTES = 12 << 20
 #: Segments (and pairs) of all blocks are dealt into buckets of about so many.
-BUCKET = 1 << 20
+BUCKET = 1 << 18
 #: Segments whose documents are counted at a time within a block.
 RANGE = 1 << 19
 SHIFT = 32
