@@ -6,7 +6,8 @@ import math
 import numpy as np
 import pytest
 from kpiscope.functions import stats, tails
-from kpiscope.operators import estimate, fixed_effects, interrupted, regress
+from kpiscope.operators import estimate, fixed_effects, interrupted, regress, structure
+from kpiscope.operators.graph import Dag
 from pyspark.sql import functions as F
 
 
@@ -144,3 +145,36 @@ def test_interrupted_series_equal_the_kernel(spark):
     assert (got["short"].status, got["short"].level, got["short"].placebo) == ("INSUFFICIENT", None, None)
     one = interrupted.its_many(df.where("s = 'long'").drop("s"), [], t0).first()
     assert one.level.estimate == pytest.approx(got["long"].level.estimate, rel=1e-9)
+
+
+def test_structure_screen_equals_the_kernel(spark):
+    r = np.random.default_rng(3)
+    n = 160
+    z = r.normal(size=n).cumsum()
+    x = 0.5 * z + r.normal(size=n)
+    y = 2.0 + 0.8 * x - 0.3 * z + 0.02 * np.arange(n) + r.normal(size=n)
+    flat = np.full(n, 7.0)
+    data = {"x": x, "y": y, "z": z, "u": r.normal(size=n), "flat": flat}
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), *[None if k == "u" and i % 11 == 0 else float(v[i]) for k, v in data.items()]) for i in range(n)]
+    panel = spark.createDataFrame(rows, "date date, x double, y double, z double, u double, flat double").repartition(4)
+    dag = Dag.of([("x", "y"), ("z", "y"), ("z", "x"), ("u", "y"), ("flat", "x"), ("hidden", "y")])
+    got = {(e.source, e.target): e for e in structure.screen(panel, dag).collect()}
+    have = list(data)
+    table = np.array([[np.nan if v is None else v for v in row[1:]] for row in rows])
+    size = max(30, int(0.7 * n))
+    starts = np.linspace(0, n - size, structure.WINDOWS).astype(int)
+    assert set(got) == {(a, b) for a, b in dag.edges if a in have}
+    for (a, b), e in got.items():
+        given = structure.conditioning(dag, a, b, have)
+
+        def one(part):
+            return structure.partial_correlation(part[:, have.index(a)], part[:, have.index(b)], part[:, [have.index(c) for c in given]])
+
+        whole = one(table)
+        verdict = structure.edge_verdict(whole)
+        agree = np.mean([structure.edge_verdict(one(table[s : s + size])) == verdict for s in starts])
+        assert e.agreement == pytest.approx(agree) and (e.r is None) == (whole["r"] is None)
+        if whole["r"] is not None:
+            assert (e.r, e.p) == pytest.approx((whole["r"], whole["p"]), rel=1e-6, abs=1e-12)
+        assert e.verdict == (verdict if agree >= structure.AGREEMENT or verdict == "NOT_TESTABLE" else "INCONCLUSIVE")
+    assert structure.screen(panel.where("false"), dag).where("verdict != 'NOT_TESTABLE'").count() == 0
