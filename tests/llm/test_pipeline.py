@@ -87,3 +87,56 @@ def test_stages_take_an_empty_table(spark):
         assert got.count() == 0
         if name != "tokens":
             assert got.columns == docs.columns
+
+
+def test_the_whole_run_against_brute_force(spark, steps):
+    """``run`` itself: its documents are those that plain versions of all decisions leave, with the same texts' tokens."""
+    import re
+
+    from tokenizers import Tokenizer
+
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
+    docs = {r["doc_id"]: r["text"] for r in steps[0].collect()}
+    network = quality_cnn.fit(steps[0], spark.read.parquet(f"{SF}/labels.parquet"))
+    good = sorted(r["doc_id"] for r in quality_cnn.score(steps[0].select("doc_id", "text"), network).collect() if r["score"] >= 0.3)
+
+    def lower(t):
+        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+    def shingles(t):
+        w = re.findall("[^\x20\x09-\x0d]+", lower(t))
+        return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets, root = {i: shingles(docs[i]) for i in good}, {i: i for i in good}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in good:
+        for j in good:
+            if i < j and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    single = [i for i in good if find(i) == i]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows: set = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = word.findall(lower(r["text"]))
+        windows |= {tuple(w[i : i + 10]) for i in range(max(0, len(w) - 9))} | ({tuple(w)} if 0 < len(w) < 10 else set())
+    kept = []
+    for i in single:
+        w, hit = word.findall(lower(docs[i])), set()
+        for size in {len(x) for x in windows}:
+            for p in range(len(w) - size + 1):
+                if tuple(w[p : p + size]) in windows:
+                    hit |= set(range(p, p + size))
+        if 2 * len(hit) <= len(w):
+            kept.append(i)
+    assert sorted(got) == kept
+    tok = Tokenizer.from_file(vocabulary())
+    assert all(r["ids"] == tok.encode(r["decoded"], add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"]) for r in got.values())
+    for r in got.values():
+        w = word.findall(lower(r["decoded"]))
+        assert not any(tuple(w[p : p + 10]) in windows for p in range(len(w) - 9)) and not pii_crf.base_spans(r["decoded"])
