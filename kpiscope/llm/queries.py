@@ -127,7 +127,8 @@ def op12_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entropy_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "rate", "copies", "taken")
+    got = entropy_mix.mix(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
