@@ -4,20 +4,21 @@ Texts are lower-cased (A-Z), split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and th
 into words. Once, documents become blocks of one language: distinct words, and the text as their
 numbers with 0 between pieces. All further passes read blocks.
 
-1. Sketches. Level by level each task counts the hashed phrases of k words whose two parts of k - 1 words may
+1. Words are counted exactly. Blocks are written again with frequent words only (``least`` times or more),
+   as no frequent phrase holds another.
+2. Sketches. Level by level each task counts the hashed phrases of k words whose two parts of k - 1 words may
    be frequent, in two rows of saturating counters; rows are added up by segments, and one bit a counter
    that reaches the threshold goes to the next level's tasks. As counters are upper bounds, no frequent phrase is missed.
-2. Candidates are the phrases whose bounds hold at every level.
-3. Counting. Candidates are compiled into pyahocorasick automata, ``SHARD`` at a time: each word is a
-   character, a delimiter stands at both ends of each word, in patterns and texts, and another character, in
-   no pattern, between pieces and for words of no candidate. Each task scans its blocks with the automaton of
-   their language, counting overlapping matches, and sends its sums packed. Only the exact totals count further.
+3. Counting, in one pass. Each task compiles the phrases of its own blocks whose bounds hold at every level into
+   pyahocorasick automata, at most ``SHARD`` in one: a delimiter stands at both ends of each word, in patterns
+   and texts, and another character, in no pattern, between pieces and for words of no candidate. It scans its blocks
+   with them, counting overlapping matches, and sends packed sums by bucket of hash. Only the exact totals count further.
 4. Scores, in decimals: of all cuts of a phrase the lowest of floor(1000 a n / (l r)). Phrases inside one of
    a word more that is as frequent go (any longer one implies such a one), and the best of each language stay.
 
 Sketch widths grow with the number of words up to ``MOST_BITS`` bits a row, which bounds what is
-broadcast (``2 ** MOST_BITS / 8`` bytes a row); beyond it bounds are looser, so there are more candidates and
-shards, and the same results. A shard of candidates is the only list that the driver holds.
+broadcast (``2 ** MOST_BITS / 8`` bytes a row); beyond it bounds are looser, so there are more candidates, and
+the same results. Besides these bits the driver holds the hashes of the frequent words, 8 bytes each; no list of phrases.
 
 Null texts are empty, a null language is ``und``. Words count with repeats; copies of documents count each time. Ties
 go to the phrase first in UTF-8 order. Texts of any length are read in slices. An empty table gives no rows; other columns are ignored.
@@ -26,15 +27,17 @@ go to the phrase first in UTF-8 order. Texts of any length are read in slices. A
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiscope.llm.common import materialise, new_path, require_columns, utf8
+from kpiscope.llm.common import materialise, require_columns, utf8
 from kpiscope.llm.cross_align import _pack, _spread, _squeeze, _unpack
 
 UND = "und"
@@ -43,9 +46,9 @@ BLOCK_BYTES, OPEN_BYTES, SLICE = 4 << 20, 16 << 20, 1 << 20
 LEAST_BITS, MOST_BITS = 16, 26
 #: Counters of a segment, the unit in which sketches are added up; so many parts of one are added at a time.
 SEGMENT, FAN = 1 << 17, 64
-#: Candidates' sums of a task are sent in pieces of so many.
-SUM_SEGMENT = 1 << 14
-#: Candidates of one automaton pass; their words fit into Unicode's characters.
+#: So many words of a language (frequent ones, and what stands for the others) are scanned together.
+GATHERED = 1 << 21
+#: Candidates of one automaton; their words fit into Unicode's characters.
 SHARD = 150_000
 #: The first ranking of a language's phrases is done in so many parts.
 PARTS = 8
@@ -54,33 +57,60 @@ _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 BLOCK = "block long, lang string, words array<string>, counts array<long>, codes binary"
 
 
-def tokens(raw: bytes) -> Iterator[list[bytes]]:
-    """Lists of words, with ``\\n`` between pieces, in slices."""
+def tokens(raw: bytes) -> Iterator[pa.Array]:
+    """The words, with ``\\n`` between pieces, in slices."""
     at = 0
     while at < len(raw):
         end = at + SLICE
         if end < len(raw):  # to the next end of a word
             space = raw.find(b" ", end)
             end = len(raw) if space < 0 else space
-        yield [w for w in raw[at:end].translate(_MAP).replace(b"\n", b" \n ").split(b" ") if w]
+        words = pc.split_pattern(pa.array([raw[at:end].translate(_MAP).replace(b"\n", b" \n ")], pa.binary()), " ").values
+        yield words.filter(pc.greater(pc.binary_length(words), 0))
         at = end
 
 
+def _planes(codes: np.ndarray) -> bytes:
+    """Word numbers in one compressed value, the bytes of each order together."""
+    import zstandard
+
+    return zstandard.compress(np.ascontiguousarray(codes, "<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _codes(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    b = np.frombuffer(zstandard.decompress(raw), np.uint8)
+    return np.ascontiguousarray(b.reshape(4, -1).T).reshape(-1).view("<i4")
+
+
+def _one(words: pa.Array) -> pa.Array:
+    """A list column of one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+
+
 class _Open:
     """A block that is being filled."""
 
     def __init__(self) -> None:
-        self.index: dict[bytes, int] = {b"\n": 0}
+        self.words = pa.array([b"\n"], pa.binary())
         self.codes: list[np.ndarray] = []
+        self.waiting: list[bytes] = []
         self.size = 0
 
     def add(self, raw: bytes) -> None:
-        put, index = self.index.setdefault, self.index
-        for words in tokens(raw):
-            self.codes.append(np.fromiter((put(w, len(index)) for w in words), np.int32, len(words)))
-        self.codes.append(np.zeros(1, np.int32))
+        self.waiting += [raw, b"\n"]
         self.size += len(raw) + 64
 
+    def numbered(self) -> np.ndarray:
+        """The texts so far as numbers of ``words``."""
+        for some in batched(tokens(b"".join(self.waiting)), 8):
+            coded = pa.chunked_array(some, pa.binary()).combine_chunks().dictionary_encode()
+            own = coded.dictionary
+            self.words = pa.concat_arrays([self.words, own.filter(pc.invert(pc.is_in(own, self.words)))])
+            self.codes.append(pc.index_in(own, self.words).to_numpy()[coded.indices.to_numpy()])
+        return np.concatenate(self.codes)
+
 
 def blocks_of(docs: DataFrame, lang: str, text: str) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,11 +120,10 @@ def blocks_of(docs: DataFrame, lang: str, text: str) -> DataFrame:
             nonlocal no, total
             b = held.pop(name)
             total, no = total - b.size, no + 1
-            codes = np.concatenate(b.codes)
-            counts = np.bincount(codes, minlength=len(b.index))
-            row = [no, name, [w.decode() for w in b.index], counts, _squeeze(codes)]
-            kinds = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["block", "lang", "words", "counts", "codes"])
+            codes = b.numbered()
+            counts = np.bincount(codes, minlength=len(b.words))
+            row = [pa.array([no], pa.int64()), pa.array([name], pa.string()), _one(b.words.cast(pa.string())), _one(pa.array(counts, pa.int64())), pa.array([_planes(codes)], pa.binary())]
+            return pa.RecordBatch.from_arrays(row, names=["block", "lang", "words", "counts", "codes"])
 
         for part in parts:
             for name, raw in zip(part.column(0).to_pylist(), part.column(1)):
@@ -113,11 +142,42 @@ def blocks_of(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return slim.mapInArrow(run, BLOCK)
 
 
-def word_hashes(lang: str, words: list[str]) -> np.ndarray:
-    import xxhash
+def hashes_of(words: DataFrame) -> np.ndarray:
+    """The sorted hashes of a table (lang, word), 8 bytes a word."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary())], names=["hashes"])
 
-    seed = xxhash.xxh3_64_intdigest(lang.encode()) & 0x7FFFFFFF
-    return np.array([xxhash.xxh3_64_intdigest(w.encode(), seed) for w in words], np.uint64)
+    got = words.select(F.xxhash64("lang", "word")).mapInArrow(run, "hashes binary").collect()
+    return np.unique(np.frombuffer(b"".join(r["hashes"] for r in got), np.int64))
+
+
+def frequent_only(blocks: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """Blocks of the words of ``frequent`` and their hashes; all others stand as the 0 between pieces, runs of it as one.
+
+    A word that shares a frequent one's hash stays, and adds candidates only.
+    """
+    sent = blocks.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for part in parts:
+            for lang, words, hashes, codes in zip(*part.columns) if len(known) else ():
+                hashes = hashes.values.to_numpy()
+                ok = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+                ok[0] = True
+                kept = np.flatnonzero(ok)
+                number = np.zeros(len(hashes), np.int32)
+                number[kept] = np.arange(len(kept))
+                codes = number[_codes(codes.as_py())]
+                stays = codes > 0
+                stays[1:] |= stays[:-1]
+                row = [pa.array([lang.as_py()], pa.string()), _one(words.values.take(pa.array(kept))), pa.array([hashes[kept].tobytes()], pa.binary()), pa.array([_planes(codes[stays])], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, names=["lang", "words", "hashes", "codes"])
+
+    hashed = blocks.select("lang", "words", F.transform("words", lambda w: F.xxhash64("lang", w)).alias("hashes"), "codes")
+    return hashed.mapInArrow(run, "lang string, words array<string>, hashes binary, codes binary")
 
 
 def buckets(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,42 +187,35 @@ def buckets(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Bounds:
-    """Which counters of each level reach the threshold, as bits."""
+    """Which counters of each level, from phrases of two words on, reach the threshold, as bits."""
 
     def __init__(self, levels: list[tuple[int, tuple[np.ndarray, np.ndarray]]]) -> None:
         self.levels = levels
 
-    def may(self, level: int, hashes: np.ndarray) -> np.ndarray:
-        bits, rows = self.levels[level - 1]
+    def may(self, k: int, hashes: np.ndarray) -> np.ndarray:
+        bits, rows = self.levels[k - 2]
         ok = np.ones(len(hashes), bool)
         for at, row in zip(buckets(hashes, bits), rows):
             ok &= (row[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
         return ok
 
-    def walk(self, lang: str, words: list[str], codes: np.ndarray, upto: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(k, places, hashes) of the phrases of k words, up to ``upto`` of them, whose parts may be frequent."""
-        known = len(self.levels)
-        h1 = word_hashes(lang, words)
-        ok1 = self.may(1, h1)
-        ok1[0] = False
-        h, ok = h1[codes], ok1[codes]
-        single = h
+    def walk(self, single: np.ndarray, codes: np.ndarray, upto: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(k, places, hashes) of the phrases of k words, up to ``upto`` of them, whose parts may be
+        frequent; where the level's own bounds are known, those that may be frequent themselves."""
+        places = np.flatnonzero(codes)
+        h = single[codes[places]]
         for k in range(2, upto + 1):
-            n = len(codes) - k + 1
-            if n <= 0:
-                return
+            both = np.flatnonzero(places[1:] == places[:-1] + 1)
+            places = places[both]
             with np.errstate(over="ignore"):
-                h = h[:n] * _STEP + single[k - 1 :] + np.uint64(k)
+                h = h[both] * _STEP + single[codes[places + k - 1]] + np.uint64(k)
                 h ^= h >> np.uint64(31)
                 h *= _MIX
                 h ^= h >> np.uint64(29)
-            ok = ok[:n] & ok[1 : n + 1]
-            places = np.flatnonzero(ok)
-            yield k, places, h[places]
-            if k <= known:
-                sure = self.may(k, h[places])
-                ok = np.zeros(n, bool)
-                ok[places[sure]] = True
+            if k - 2 < len(self.levels):
+                sure = self.may(k, h)
+                places, h = places[sure], h[sure]
+            yield k, places, h
 
 
 class _Counters:
@@ -172,13 +225,9 @@ class _Counters:
         self.bits, self.most = bits, most
         self.rows = [np.zeros(1 << bits, np.uint8 if most < 256 else np.uint32) for _ in range(2)]
 
-    def add(self, hashes: np.ndarray, times: np.ndarray | None = None) -> None:
+    def add(self, hashes: np.ndarray) -> None:
         for row, at in zip(self.rows, buckets(hashes, self.bits)):
-            if times is None:
-                at, n = np.unique(at, return_counts=True)
-            else:
-                at, back = np.unique(at, return_inverse=True)
-                n = np.bincount(back, times).astype(np.int64)
+            at, n = np.unique(at, return_counts=True)
             row[at] = np.minimum(row[at].astype(np.int64) + n, self.most)
 
     def segments(self) -> Iterator[tuple[int, int, bytes]]:
@@ -200,7 +249,7 @@ def sketch(blocks: DataFrame, level: int, bits: int, least: int, known: list) ->
     import zstandard
 
     sent = blocks.sparkSession.sparkContext.broadcast(known)
-    kind = np.uint8 if least < 256 else np.uint32
+    kind, wide = (np.uint8, np.uint16) if least < 256 else (np.uint32, np.uint64)
     types = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     names = ["part", "row", "segment", "counters"]
 
@@ -208,10 +257,7 @@ def sketch(blocks: DataFrame, level: int, bits: int, least: int, known: list) ->
         bounds, counters = Bounds(sent.value), _Counters(bits, least)
         for part in parts:
             for row in part.to_pylist():
-                if level == 1:
-                    counters.add(word_hashes(row["lang"], row["words"][1:]), np.array(row["counts"][1:], np.int64))
-                    continue
-                for k, _, hashes in bounds.walk(row["lang"], row["words"], _spread(row["codes"]), level):
+                for k, _, hashes in bounds.walk(np.frombuffer(row["hashes"], np.uint64), _codes(row["codes"]), level):
                     if k == level:
                         counters.add(hashes)
         no = TaskContext.get().partitionId()
@@ -221,13 +267,13 @@ def sketch(blocks: DataFrame, level: int, bits: int, least: int, known: list) ->
     def merge(table: pa.Table, last: bool) -> pa.Table:
         total = None
         for raw in table["counters"]:
-            piece = np.frombuffer(zstandard.decompress(raw.as_py()), kind).astype(np.int64)
-            total = piece if total is None else np.minimum(total + piece, least)
+            piece = np.frombuffer(zstandard.decompress(raw.as_py()), kind)
+            total = piece.astype(wide) if total is None else np.minimum(np.add(total, piece, out=total), least, out=total)
         out = np.packbits(total >= least, bitorder="little").tobytes() if last else zstandard.compress(total.astype(kind).tobytes(), 1)
         return pa.table([pa.array([v], t) for v, t in zip((table["part"][0].as_py(), table["row"][0].as_py(), table["segment"][0].as_py(), out), types)], names=names)
 
-    columns = ["lang", "words", "counts"] if level == 1 else ["lang", "words", "codes"]
-    slim = blocks.select(*columns)
+    # A task's counters cost the same for few words and many.
+    slim = blocks.select("hashes", "codes").coalesce(max(1, -(-blocks.rdd.getNumPartitions() // 2)))
     parts, got = slim.rdd.getNumPartitions(), slim.mapInArrow(count, SKETCH)
     while parts > FAN:
         got = got.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part", "row", "segment").applyInArrow(lambda t: merge(t, False), SKETCH)
@@ -241,66 +287,6 @@ def sketch(blocks: DataFrame, level: int, bits: int, least: int, known: list) ->
     return bits, rows
 
 
-FOUND = "bucket int, lang string, phrases binary"
-
-
-def candidates(blocks: DataFrame, known: list, longest: int, least: int) -> DataFrame:
-    """(lang, phrase) of all phrases whose upper bounds reach the threshold at every level.
-
-    Of n tasks one at least holds a frequent phrase ``least`` / n times, so tasks leave out what they
-    hold less often. They send packed lists by bucket of hash, and a bucket's phrases are made distinct in one stream.
-    """
-    parts = blocks.rdd.getNumPartitions()
-    sent, here = blocks.sparkSession.sparkContext.broadcast(known), max(1, -(-least // max(parts, 1)))
-    kinds = [pa.int32(), pa.string(), pa.binary()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        bounds, held, size = Bounds(sent.value), {}, 0
-
-        def deal(at_least: int) -> Iterator[pa.RecordBatch]:
-            for lang, counts in held.items():
-                by_bucket: dict[int, list[str]] = {}
-                for phrase, n in counts.items():
-                    if n >= at_least:
-                        by_bucket.setdefault(xxhash.xxh3_64_intdigest(phrase.encode()) % parts, []).append(phrase)
-                for bucket, phrases in by_bucket.items():
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((bucket, lang, _pack(phrases)), kinds)], names=["bucket", "lang", "phrases"])
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, codes = row["words"], _spread(row["codes"])
-                counts = held.setdefault(row["lang"], {})
-                before = len(counts)
-                for k, places, hashes in bounds.walk(row["lang"], words, codes, longest):
-                    sure = bounds.may(k, hashes)
-                    places = places[sure]
-                    if not len(places):
-                        break
-                    for gram, n in distinct_grams(codes, places, hashes[sure], k):
-                        phrase = " ".join([words[c] for c in gram])
-                        counts[phrase] = counts.get(phrase, 0) + n
-                size += len(counts) - before
-                if size > 2_000_000:  # all of them go on, as the rest of the task may hold more of each
-                    yield from deal(1)
-                    held, size = {}, 0
-        yield from deal(here)
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen = None, set()
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] != now:
-                    now, seen = row["bucket"], set()
-                new = [p for p in _unpack(row["phrases"]) if (row["lang"], p) not in seen]
-                seen.update((row["lang"], p) for p in new)
-                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(new), pa.string()), pa.array(new, pa.string())], names=["lang", "phrase"])
-
-    lists = blocks.select("lang", "words", "codes").mapInArrow(run, FOUND)
-    return lists.repartitionById(max(parts, 1), "bucket").sortWithinPartitions("bucket").mapInArrow(distinct, "lang string, phrase string")
-
-
 def distinct_grams(codes: np.ndarray, places: np.ndarray, hashes: np.ndarray, k: int) -> Iterator[tuple[list[int], int]]:
     """The different phrases at the places and how often each occurs; equal hashes are compared word by word."""
     _, first, back, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
@@ -314,30 +300,40 @@ def distinct_grams(codes: np.ndarray, places: np.ndarray, hashes: np.ndarray, k:
     yield from zip(own.tolist(), n.tolist())
 
 
-#: Stands at both ends of each word; between pieces and for other words; the first word's character.
+#: Stands at both ends of each word; between pieces and for other words; the first digit's character.
 DELIMITER, GUARD, FIRST = "\x01", "\x02", 3
 
 
 def character(i: int) -> int:
-    """The i-th word's code point; surrogates are left out."""
+    """The i-th code point; surrogates are left out."""
     c = i + FIRST
     return c if c < 0xD800 else c + 0x800
 
 
 class Scanner:
-    """An automaton of delimited phrases, over texts that are given as word numbers."""
+    """An automaton of delimited phrases, over texts that are given as word numbers.
+
+    A word is three characters, its number's digits: pyahocorasick looks at a node's children one by one,
+    and with a character a word the node after the first delimiter had one for each first word.
+    """
 
     def __init__(self, phrases: list[str]) -> None:
         import ahocorasick
 
-        self.points: dict[str, int] = {}
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for n, phrase in enumerate(phrases):
-            points = [self.points.setdefault(w, character(len(self.points))) for w in phrase.split(" ")]
-            self.machine.add_word(DELIMITER + DELIMITER.join(map(chr, points)) + DELIMITER, n)
         self.size = len(phrases)
-        split = [[self.points[w] for w in p.split(" ")] for p in phrases]
-        self.pairs = np.unique(np.array([x << 32 | y for w in split for x, y in zip(w, w[1:])], np.int64))
+        self.points: dict[str, int] = {}  # words from 1
+        put, split = self.points.setdefault, [p.split(" ") for p in phrases]
+        numbers = [[put(w, len(self.points) + 1) for w in words] for words in split]
+        base = 2
+        while base**3 <= len(self.points):
+            base += 1
+        digits = np.arange(len(self.points) + 1)[:, None] // base ** np.arange(2, -1, -1) % base
+        self.digits = np.array([character(d) for d in range(base)], "<u4")[digits]
+        coded = [DELIMITER + "".join(map(chr, d)) for d in self.digits.tolist()]
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for n, words in enumerate(numbers):
+            self.machine.add_word("".join([coded[w] for w in words]) + DELIMITER, n)
+        self.pairs = np.unique(np.array([x << 32 | y for words in numbers for x, y in zip(words, words[1:])], np.int64))
         if phrases:
             self.machine.make_automaton()
 
@@ -363,89 +359,99 @@ class Scanner:
         begins[near + 1] = False
         place = np.flatnonzero(kept)
         new = begins[place]
-        slot = np.arange(len(place)) * 2 + 1 + 2 * np.cumsum(new)
-        text = np.full(int(slot[-1]) + 2, ord(DELIMITER), "<u4")
-        text[slot] = points[place]
-        text[slot[new] - 2] = ord(GUARD)
+        slot = np.arange(len(place)) * 4 + 2 * np.cumsum(new)  # of the delimiter before the word
+        text = np.full(int(slot[-1]) + 5, ord(DELIMITER), "<u4")
+        for d in range(3):
+            text[slot + d + 1] = self.digits[points[place], d]
+        text[slot[new] - 1] = ord(GUARD)
         hits = map(itemgetter(1), self.machine.iter(text.tobytes().decode("utf-32-le")))
         return np.bincount(np.fromiter(hits, np.int64), minlength=self.size)
 
 
-SUMS = "part long, lang string, segment int, counts binary"
+class _Gathered:
+    """Blocks of one language under one numbering."""
+
+    def __init__(self) -> None:
+        self.words, self.hashes, self.codes, self.size = {"\n": 0}, [np.zeros(1, np.uint64)], [], 0
+
+    def add(self, words: list[str], hashes: np.ndarray, codes: np.ndarray) -> None:
+        before = len(self.words)
+        number = np.fromiter((self.words.setdefault(w, len(self.words)) for w in words), np.int32, len(words))
+        new = number >= before  # a block's words are distinct
+        self.hashes.append(hashes[new])
+        self.codes += [number[codes], np.zeros(1, np.int32)]
+        self.size += len(codes) + 1
+
+    def counts(self, bounds: Bounds, longest: int, shard: int) -> Iterator[tuple[list[str], np.ndarray]]:
+        """The phrases whose bounds hold and how often an automaton meets each, ``shard`` phrases at a time."""
+        words, codes, single, phrases = list(self.words), np.concatenate(self.codes), np.concatenate(self.hashes), []
+        for k, places, hashes in bounds.walk(single, codes, longest):
+            phrases += [" ".join([words[c] for c in gram]) for gram, n in distinct_grams(codes, places, hashes, k) if n]
+        for at in range(0, len(phrases), shard):
+            some = phrases[at : at + shard]
+            yield some, Scanner(some).counts(words, codes)
+
 
+SUMS = "bucket int, lang string, phrases binary, counts binary"
 
-def count_exactly(blocks: DataFrame, found: DataFrame, least: int, shard: int = SHARD) -> DataFrame:
-    """(lang, phrase, a) of the phrases of ``found`` that occur at least ``least`` times.
 
-    Candidates are dealt by language and hash into shards; small ones share a pass over the blocks of
-    their languages. Each pass broadcasts one shard and writes its sums.
+def count_exactly(blocks: DataFrame, known: list, longest: int, least: int, shard: int = SHARD) -> DataFrame:
+    """(lang, phrase, a) of the phrases that occur at least ``least`` times.
+
+    Each task compiles the phrases of its own blocks whose bounds hold, ``GATHERED`` words of a language together, and
+    scans these blocks, so there is one pass however many phrases there are. Tasks send packed sums by
+    bucket of hash, and a bucket's sums are added up in one stream.
     """
-    spark = blocks.sparkSession
-    sizes = sorted(((r["lang"], r["count"]) for r in found.groupBy("lang").count().collect()), key=itemgetter(1))
-    passes: list[list[tuple[str, int, int]]] = []
-    room = 0
-    for lang, n in sizes:
-        cuts = -(-n // shard)
-        for i in range(cuts):
-            if not passes or room < n // cuts:
-                passes.append([])
-                room = shard
-            passes[-1].append((lang, cuts, i))
-            room -= n // cuts
-    path = new_path(spark, "phrase-counts")
-    kind = "lang string, phrase string, a long"
-    for one in passes:
-        mine = F.lit(False)
-        for lang, cuts, i in one:
-            mine = mine | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("phrase"), F.lit(cuts)) == i))
-        lists: dict[str, list[str]] = {}
-        for r in found.where(mine).collect():
-            lists.setdefault(r["lang"], []).append(r["phrase"])
-        for phrases in lists.values():
-            phrases.sort()  # equal sums' places on each worker
-        sent = spark.sparkContext.broadcast(lists)
-        kinds = [pa.int64(), pa.string(), pa.int32(), pa.binary()]
-        names = ["part", "lang", "segment", "counts"]
-
-        def scan(parts: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            machines: dict[str, Scanner] = {}
-            totals: dict[str, np.ndarray] = {}
-            for part in parts:
-                for row in part.to_pylist():
-                    lang = row["lang"]
-                    if lang not in machines:
-                        machines[lang] = Scanner(sent.value[lang])
-                        totals[lang] = np.zeros(machines[lang].size, np.int64)
-                    totals[lang] += machines[lang].counts(row["words"], _spread(row["codes"]))
-            no = TaskContext.get().partitionId()
-            for lang, total in totals.items():
-                for at in range(0, len(total), SUM_SEGMENT):
-                    row = (no, lang, at // SUM_SEGMENT, _squeeze(total[at : at + SUM_SEGMENT]))
+    parts = max(1, blocks.rdd.getNumPartitions())
+    sent = blocks.sparkSession.sparkContext.broadcast(known)
+    kinds = [pa.int32(), pa.string(), pa.binary(), pa.binary()]
+    names = ["bucket", "lang", "phrases", "counts"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        bounds, held = Bounds(sent.value), {}
+
+        def deal(lang: str) -> Iterator[pa.RecordBatch]:
+            for phrases, n in held.pop(lang).counts(bounds, longest, shard):
+                where = np.fromiter((xxhash.xxh3_64_intdigest(p.encode()) % parts for p in phrases), np.int64, len(phrases))
+                order = np.argsort(where, kind="stable")
+                for some in np.split(order, np.flatnonzero(np.diff(where[order])) + 1) if len(order) else ():
+                    row = (int(where[some[0]]), lang, _pack([phrases[i] for i in some.tolist()]), _squeeze(n[some]))
                     yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
 
-        def add(table: pa.Table) -> pa.Table:
-            total = sum(_spread(raw.as_py()) for raw in table["counts"])
-            row = (table["part"][0].as_py(), table["lang"][0].as_py(), table["segment"][0].as_py(), _squeeze(total))
-            return pa.table([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
-
-        def name(parts: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for part in parts:
-                for row in part.to_pylist():
-                    total, phrases = _spread(row["counts"]), sent.value[row["lang"]]
-                    there = np.flatnonzero(total >= least)
-                    mine = [phrases[row["segment"] * SUM_SEGMENT + i] for i in there.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(mine), pa.string()), pa.array(mine, pa.string()), pa.array(total[there], pa.int64())], names=["lang", "phrase", "a"])
-
-        near = blocks.where(F.col("lang").isin(list(lists))).select("lang", "words", "codes")
-        n, sums = near.rdd.getNumPartitions(), near.mapInArrow(scan, SUMS)
-        while n > 1:
-            sums = sums.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part", "lang", "segment").applyInArrow(add, SUMS)
-            n = -(-n // FAN)
-        sums.mapInArrow(name, kind).write.mode("append").parquet(path)
-        sent.unpersist()
-    if not passes:
-        return spark.createDataFrame([], kind)
-    return spark.read.schema(kind).parquet(path)
+        for batch in batches:
+            for row in batch.to_pylist():
+                mine = held.setdefault(row["lang"], _Gathered())
+                mine.add(row["words"], np.frombuffer(row["hashes"], np.uint64), _codes(row["codes"]))
+                if mine.size >= GATHERED:
+                    yield from deal(row["lang"])
+                elif sum(x.size for x in held.values()) >= GATHERED:
+                    yield from deal(max(held, key=lambda x: held[x].size))
+        for lang in list(held):
+            yield from deal(lang)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, {}
+
+        def reached() -> Iterator[pa.RecordBatch]:
+            for lang, counts in sums.items():
+                there = [(p, n) for p, n in counts.items() if n >= least]
+                columns = [pa.array([lang] * len(there), pa.string()), pa.array([p for p, _ in there], pa.string()), pa.array([n for _, n in there], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "a"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bucket"] != now:
+                    yield from reached()
+                    now, sums = row["bucket"], {}
+                counts = sums.setdefault(row["lang"], {})
+                for p, n in zip(_unpack(row["phrases"]), _spread(row["counts"]).tolist()):
+                    counts[p] = counts.get(p, 0) + n
+        yield from reached()
+
+    sums = blocks.select("lang", "words", "hashes", "codes").mapInArrow(scan, SUMS)
+    return sums.repartitionById(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "lang string, phrase string, a long")
 
 
 def scored(phrases: DataFrame, words: DataFrame, totals: DataFrame) -> DataFrame:
@@ -490,12 +496,12 @@ def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = 1
     sizes = blocks.select("lang", F.aggregate(F.slice("counts", F.lit(2), F.size("counts")), F.lit(0).cast("long"), lambda x, y: x + y).alias("n"))
     totals = materialise(sizes.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
     n = totals.agg(F.sum("n")).first()[0] or 0
+    frequent = materialise(words.where(F.col("f") >= least), "phrase-words")
+    blocks = materialise(frequent_only(blocks, hashes_of(frequent)), "phrase-frequent")
     bits = min(MOST_BITS, max(LEAST_BITS, (n // 4).bit_length()))
     known: list = []
-    for level in range(1, longest + 1):
-        known.append(sketch(blocks, level, max(LEAST_BITS, bits - abs(level - 2)), least, known))
-    found = materialise(candidates(blocks, known, longest, least), "phrase-candidates")
-    phrases = count_exactly(blocks, found, least, shard)
-    frequent = materialise(words.where(F.col("f") >= least), "phrase-words")
+    for level in range(2, longest + 1):
+        known.append(sketch(blocks, level, max(LEAST_BITS, bits - level + 2), least, known))
+    phrases = materialise(count_exactly(blocks, known, longest, least, shard), "phrase-counts")
     got = best_of_each(outermost(phrases, scored(phrases, frequent, totals)), top)
     return got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

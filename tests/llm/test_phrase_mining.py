@@ -112,3 +112,23 @@ def test_odd_tables(spark, empty):
     assert m.mine(empty).count() == 0
     df = frame(spark, [(None, None), ("en", ""), ("en", ".,;")]).withColumns({"phrase": F.lit(1), "a.b": F.lit(2)})
     assert m.mine(df, least=1).count() == 0
+
+
+def test_one_pass_however_many_candidates(spark, rows):
+    """As many Spark jobs for many automata as for one: the blocks are not scanned once for each shard."""
+    jobs = []
+    for shard in (150_000, 10):
+        spark.sparkContext.setJobGroup(f"shard {shard}", "")
+        assert len(got(m.mine(frame(spark, rows), least=5, shard=shard))) > 20
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"shard {shard}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] > 0
+
+
+def test_scanner_with_many_first_words():
+    """Words are digits, so that no node has a child for each of thousands of words."""
+    words = [f"w{i}" for i in range(3000)]
+    s = m.Scanner([f"{w} {v}" for w, v in zip(words, words[1:])])
+    codes = np.concatenate([np.arange(1, 3001), [0], np.arange(1, 3001)])
+    assert s.counts(["\n", *words], codes).tolist() == [2] * 2999
+    assert s.digits.max() < m.FIRST + 16
