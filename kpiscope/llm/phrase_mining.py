@@ -322,8 +322,9 @@ class Scanner:
 
         self.size = len(phrases)
         self.points: dict[str, int] = {}  # words from 1
-        put, split = self.points.setdefault, [p.split(" ") for p in phrases]
-        numbers = [[put(w, len(self.points) + 1) for w in words] for words in split]
+        for p in phrases:
+            for w in p.split(" "):
+                self.points.setdefault(w, len(self.points) + 1)
         base = 2
         while base**3 <= len(self.points):
             base += 1
@@ -331,9 +332,12 @@ class Scanner:
         self.digits = np.array([character(d) for d in range(base)], "<u4")[digits]
         coded = [DELIMITER + "".join(map(chr, d)) for d in self.digits.tolist()]
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for n, words in enumerate(numbers):
-            self.machine.add_word("".join([coded[w] for w in words]) + DELIMITER, n)
-        self.pairs = np.unique(np.array([x << 32 | y for words in numbers for x, y in zip(words, words[1:])], np.int64))
+        pairs: list[int] = []
+        for n, p in enumerate(phrases):
+            numbers = [self.points[w] for w in p.split(" ")]
+            self.machine.add_word("".join([coded[w] for w in numbers]) + DELIMITER, n)
+            pairs += [x << 32 | y for x, y in zip(numbers, numbers[1:])]
+        self.pairs = np.unique(np.array(pairs, np.int64))
         if phrases:
             self.machine.make_automaton()
 
@@ -387,6 +391,7 @@ class _Gathered:
         words, codes, single, phrases = list(self.words), np.concatenate(self.codes), np.concatenate(self.hashes), []
         for k, places, hashes in bounds.walk(single, codes, longest):
             phrases += [" ".join([words[c] for c in gram]) for gram, n in distinct_grams(codes, places, hashes, k) if n]
+        phrases.sort()  # nodes that are met together lie together, a fifth less time than in the order of hashes
         for at in range(0, len(phrases), shard):
             some = phrases[at : at + shard]
             yield some, Scanner(some).counts(words, codes)
