@@ -37,12 +37,22 @@ def newly_launched(as_of: Column, launch: Column, days: int = 60) -> Column:
     return F.coalesce(history_days(as_of, launch) < days, F.lit(False))
 
 
+def two_places(v: Column) -> Column:
+    """Two decimals as printf has them: from the exact binary value, ties to even.
+
+    ``format_string`` rounds the shortest decimals half up: 621.005, in binary less than that, would be 621.01.
+    Exact below 2^43; beyond that the shortest decimals may have fewer than two places.
+    """
+    odd = F.replace(F.lower(v.cast("string")), F.lit("infinity"), F.lit("inf"))
+    return F.when(F.abs(v) < float("inf"), F.call_function("format_number", v, F.lit("0.00"))).otherwise(odd)
+
+
 def money(v: Column) -> Column:
-    """Crore from 1e7, lakh from 1e5, else a grouped integer."""
+    """Crore from 1e7, lakh from 1e5, else a grouped integer (ties to even, no negative zero)."""
     return (
-        F.when(F.abs(v) >= 1e7, F.concat(F.format_string("%.2f", v / 1e7), F.lit(" crore")))
-        .when(F.abs(v) >= 1e5, F.concat(F.format_string("%.2f", v / 1e5), F.lit(" lakh")))
-        .otherwise(F.format_number(v, 0))
+        F.when(F.abs(v) >= 1e7, F.concat(two_places(v / 1e7), F.lit(" crore")))
+        .when(F.abs(v) >= 1e5, F.concat(two_places(v / 1e5), F.lit(" lakh")))
+        .otherwise(F.format_number(F.rint(v).cast("long"), 0))
     )
 
 

@@ -47,3 +47,15 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_other_queries_give_rows(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
+
+
+def test_scalar_functions_of_other_balances_equal_sql(spark, tmp_path):
+    """Sums at a tie, or near one in binary, zeros below zero and balances that are no numbers."""
+    con = duckdb.connect()
+    con.execute("create table customer (c_custkey bigint, c_name varchar, c_acctbal double, c_mktsegment varchar)")
+    balances = [(875000, 7097.2), (9, 1250000.0), (16, 70312.5), (3, 0.5), (1, -0.3), (0, -5.0), (7, None), (8, math.nan), (11, math.inf), (12, -math.inf)]
+    con.executemany("insert into customer values (?, ?, ?, 'BUILDING')", [(k, f"Customer#{k:09}", v) for k, v in balances])
+    con.execute(f"copy customer to '{tmp_path}/customer.parquet'")
+    cur = con.execute(catalog.oracle_sql()["scalar_functions"])
+    names = [c[0] for c in cur.description]
+    assert sorted(map(tuple, catalog.queries()["scalar_functions"](spark, str(tmp_path)).select(*names).collect())) == sorted(cur.fetchall())

@@ -64,3 +64,11 @@ def test_scalars(spark):
     assert got["n"] == [-1234.5, 7.0] and got["m"] == "-2.50 crore" and got["z"] is None and got["c"]
     df, gone = scalars.drop_denied(spark.createDataFrame([(1, 2)], "a int, b int"), ["b", "z"])
     assert df.columns == ["a"] and gone == ["b"]
+
+
+def test_money_rounds_exact_binary_values(spark):
+    values = [6210050000.0, 11250000.0, -11350000.0, 100500.0, 112500.0, -1e12, 0.5, 1.5, 99999.5, -0.3, -0.0, 12345.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r["m"] for r in df.orderBy("i").select(scalars.money(F.col("v")).alias("m")).collect()]
+    want = [f"{v / 1e7:.2f} crore" if abs(v) >= 1e7 else f"{v / 1e5:.2f} lakh" if abs(v) >= 1e5 else f"{round(v):,}" for v in values]
+    assert got == want and got[:2] == ["621.00 crore", "1.12 crore"]
